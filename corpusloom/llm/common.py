@@ -114,15 +114,15 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of Arrow batches with about CHUNK bytes of text each (a longer
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches with about ``most`` bytes of text each (a longer
     text comes alone), with the texts as bytes; null is empty."""
     for batch in batches:
         texts = batch.column(column).cast(pa.large_binary()).to_pylist()
         at = size = 0
         for i, text in enumerate(texts):
             n = len(text or b"")
-            if i > at and size + n > CHUNK:
+            if i > at and size + n > most:
                 yield batch.slice(at, i - at), [t or b"" for t in texts[at:i]]
                 at, size = i, 0
             size += n
