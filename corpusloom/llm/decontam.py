@@ -10,8 +10,9 @@ windows match there and the slots are consistent, that is, equal values of the
 item stand for equal values of the document and different ones for different
 ones. So a question is caught with its numbers, names or units exchanged.
 
-Windows with fewer than two plain words never count. Items shorter than a
-window are one window of all their words and need the whole of it.
+Windows with fewer than two plain words never count. An item or a document
+shorter than a window is one window of all its words, so a short item is found
+only as a whole document: in a longer text so few words prove nothing.
 
 The benchmark's window hashes are broadcast to the scan only while there are
 at most ``most_broadcast`` of them (16 MB); beyond that all windows go to the
