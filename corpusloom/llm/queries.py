@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, simhash, toxicity
+from . import decontam, html_extract, linededup, packing, quality, runindex, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_url_filter(spark, sf_dir):
+    out = url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -37,10 +42,24 @@ def op6_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op7_run_index(spark, sf_dir):
+    out = runindex.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark, sf_dir):
     out = decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "exact")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_simhash, op6_line_dedup, op8_decontamination)}
+def op9_quality(spark, sf_dir):
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_html(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_packing, op4_simhash, op6_line_dedup, op7_run_index, op8_decontamination, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
