@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, linededup, packing, quality, runindex, simhash, toxicity, url_filter
+from . import decontam, html_extract, katz, linededup, packing, quality, runindex, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op4_simhash(spark, sf_dir):
     return out.select("doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op5_katz(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    held = fold("doc", 7) == 2
+    model = katz.fit(docs.where(~held))
+    out = katz.score(docs, model)
+    return out.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_line_dedup(spark, sf_dir):
     out = linededup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
@@ -61,5 +69,5 @@ def op10_html(spark, sf_dir):
     return html_extract.extract(pages, html_extract.train(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_packing, op4_simhash, op6_line_dedup, op7_run_index, op8_decontamination, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_packing, op4_simhash, op5_katz, op6_line_dedup, op7_run_index, op8_decontamination, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
