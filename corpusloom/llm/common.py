@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHUNK = 2 << 20  # bytes of text that a task holds in numpy arrays at a time
 
 _MULT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -43,10 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it reread:
-    later stages neither recompute it nor depend on an executor's disk."""
+    later stages neither recompute it nor depend on an executor's disk. Its
+    shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 

@@ -6,21 +6,25 @@ to the shared folder:
 
 * ``unigrams`` (w, c): training counts; what the discounts free is the
   probability of one class of unknown words.
-* ``bigrams`` (v, w, c, log10_p): training counts of pairs and the discounted
-  probability of w after v.
-* ``contexts`` (v, c, log10_alpha): the mass that v's discounts free, divided
-  by the unigram mass of all words not seen after v, so that the
-  probabilities after every context sum to one exactly.
+* ``pairs`` (v, w, c): training counts of pairs.
+* ``contexts`` (v, cv, log10_alpha): how often v is a context, and the mass
+  that its discounts free, divided by the unigram mass of all words not seen
+  after v, so that the probabilities after every context sum to one exactly.
 
-A token is evaluated recursively: its bigram if there is one, else its
+A token is evaluated recursively: its pair if that was seen, else its
 context's backoff weight (1 for unseen contexts) and its unigram, else the
-unknown class. Counts of 1 to ``k`` are discounted by Good-Turing; where the
+unknown class. Counts of 1 to ``K`` are discounted by Good-Turing; where the
 counts of counts give no usable discount (too few of them), half a count is
 taken off. Larger counts give up ``SPARE`` of one count, so every context
 keeps some mass to back off with.
 
-Words are known by 64-bit hashes. Documents send one row per distinct pair, so
-a frequent pair is pre-aggregated in the document and again in each task.
+Words are known by 63-bit hashes, set negative. The at most ``FREQUENT`` most
+frequent training words have a small code instead (a bounded table that every
+task gets): the rows that move are short, and what belongs to a frequent word
+or context comes by a broadcast of that bounded size, so no task gathers the
+rows of a frequent key. Rows of the other words are shuffled; those words are
+rare. Documents send one row per distinct pair, and values of a pair are
+worked out once per distinct pair.
 
 Edge cases: null and empty texts are a single end token; with no training
 documents every token is unknown with probability one; equal doc_ids are
@@ -41,18 +45,41 @@ from .common import Words, chunks, stored
 
 K = 5
 SPARE = 0.01
-END, START = np.uint64(1), np.uint64(2)
+FREQUENT = 1 << 19
+END, START = np.int64(1), np.int64(2)
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Codes:
+    """Codes of word hashes: of a frequent word its rank from 3 on, else the
+    hash with its sign bit set."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        rank = np.empty(len(hashes), np.int64)
+        rank[np.lexsort((hashes, -counts))] = np.arange(len(hashes)) + 3
+        by = np.argsort(hashes)
+        self.hashes, self.ranks = hashes[by], rank[by]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return hashes
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, self.ranks[at], hashes)
+
+
+def _tokens(texts: list[bytes], codes: Codes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, tokens and text numbers of all texts in turn."""
     words = Words(texts)
     count = words.count + 1
     ends = np.cumsum(count) - 1
-    w = np.empty(int(count.sum()), np.uint64)
+    w = np.empty(int(count.sum()), np.int64)
     inner = np.ones(len(w), bool)
     inner[ends] = False
-    w[inner], w[ends] = words.key, END
+    hashes = (words.key | np.uint64(1 << 63)).view(np.int64)
+    if codes is not None:
+        distinct, at = np.unique(hashes, return_inverse=True)
+        hashes = codes.of(distinct)[at]
+    w[inner], w[ends] = hashes, END
     v = np.empty_like(w)
     v[1:] = w[:-1]
     v[ends - count + 1] = START
@@ -69,17 +96,18 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """doc, v, w, n: the pairs of every document."""
+def pairs(docs: DataFrame, codes) -> DataFrame:
+    """doc, learn, v, w, n: the pairs of every document; ``codes``: a
+    broadcast of Codes."""
 
     def run(batches):
         for batch, texts in chunks(batches, most=1 << 20):
-            v, w, doc = _tokens(texts)
+            v, w, doc = _tokens(texts, codes.value)
             at, n = _distinct(w, v, doc)
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)[doc[at]]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int64))], ["doc", "v", "w", "n"])
+            columns = [batch.column(c).take(pa.array(doc[at])) for c in ("doc", "learn")]
+            yield pa.record_batch([*columns, pa.array(v[at]), pa.array(w[at]), pa.array(n.astype(np.int32))], ["doc", "learn", "v", "w", "n"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, v long, w long, n long")
+    return docs.select("doc", "learn", "text").mapInArrow(run, "doc long, learn boolean, v long, w long, n int")
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -88,7 +116,7 @@ def words(docs: DataFrame) -> DataFrame:
     def run(batches):
         for _, texts in chunks(batches, most=8 << 20):
             keys, n = np.unique(_tokens(texts)[1], return_counts=True)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], ["w", "n"])
+            yield pa.record_batch([pa.array(keys), pa.array(n)], ["w", "n"])
 
     return docs.select("text").mapInArrow(run, "w long, n long")
 
@@ -113,43 +141,97 @@ def _discounted(c: Column, d: list[float]) -> Column:
 
 
 class Model:
-    def __init__(self, unigrams: DataFrame, bigrams: DataFrame, contexts: DataFrame, tokens: int, types: int, log10_unknown: float):
-        self.unigrams, self.bigrams, self.contexts = unigrams, bigrams, contexts
-        self.tokens, self.types, self.log10_unknown = tokens, types, log10_unknown
+    def __init__(self, codes, frequent: DataFrame, rare: DataFrame, pairs: DataFrame, contexts: DataFrame, tokens: int, types: int, d1: list[float], d2: list[float], log10_unknown: float):
+        self.codes, self.frequent, self.rare, self.pairs, self.contexts = codes, frequent, rare, pairs, contexts
+        self.tokens, self.types, self.d1, self.d2, self.log10_unknown = tokens, types, d1, d2, log10_unknown
 
+    def with_unigrams(self, table: DataFrame) -> DataFrame:
+        """``table`` with the count ``cw`` of its words."""
+        return _attached(table, self.frequent, self.rare, "w")
 
-def _counts_of_counts(table: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in table.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    def with_contexts(self, table: DataFrame) -> DataFrame:
+        """``table`` with ``cv`` and ``log10_alpha`` of its contexts."""
+        return _attached(table, self.contexts.where("v >= 0"), self.contexts.where("v < 0"), "v")
 
+    def evaluated(self, table: DataFrame) -> DataFrame:
+        """``table`` (v, w, c) with what the recursion needs: v, w, c, cw, cv
+        and the backoff weight of pairs that were not seen."""
+        found = self.with_contexts(self.with_unigrams(table))
+        return found.select("v", "w", "c", "cw", "cv", F.when(F.col("c") > 0, None).otherwise(F.col("log10_alpha")).alias("alpha"))
 
-def fit(docs: DataFrame) -> Model:
-    """Tables of the model of documents (doc, text)."""
-    counted = stored(words(docs).groupBy("w").agg(F.sum("n").alias("c")), "unigram-counts")
+    def log10_p(self) -> Column:
+        """Of a row of ``evaluated``."""
+        word = F.coalesce(F.log10(_discounted(F.col("cw"), self.d1) / float(max(self.tokens, 1))), F.lit(float(self.log10_unknown)))
+        back = F.coalesce("alpha", F.lit(0.0)) + word
+        return F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), self.d2) / F.col("cv"))).otherwise(back)
+
+
+def _attached(table: DataFrame, frequent: DataFrame, rare: DataFrame, key: str) -> DataFrame:
+    """Left join on a code: of frequent words (FREQUENT at most) by broadcast,
+    of the others by a shuffle."""
+    return table.where(F.col(key) >= 0).join(F.broadcast(frequent), key, "left").unionByName(table.where(F.col(key) < 0).join(rare, key, "left"))
+
+
+def _counts_of_counts(table: DataFrame) -> dict[int, int]:
+    return {r["c"]: r["n"] for r in table.where(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()}
+
+
+def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A count that at most ``most`` words reach, those words and counts."""
+    scale = F.floor(F.log2("c")).cast("int")
+    sizes = {r[0]: r[1] for r in counted.where("w < 0").groupBy(scale.alias("scale")).agg(F.count("*")).collect()}
+    least, total = 64, 0
+    while least > 0 and total + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        total += sizes.get(least, 0)
+    found = counted.where((F.col("w") < 0) & (F.col("c") >= 1 << min(least, 62))).toPandas()
+    return 1 << min(least, 62), found["w"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
+
+
+def fit(docs: DataFrame, frequent: int = FREQUENT) -> Model:
+    """Model of the documents (doc, text, learn) whose ``learn`` is true
+    (all without that column). The
+    table of pairs has those of all documents, with count 0 where none of the
+    former has them, so that ``score`` need not count them again."""
+    spark = docs.sparkSession
+    if "learn" not in docs.columns:
+        docs = docs.withColumn("learn", F.lit(True))
+    counted = stored(words(docs.where("learn")).groupBy("w").agg(F.sum("n").alias("c")), "unigram-counts")
     total, types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    d = discounts(_counts_of_counts(counted))
-    unigrams = counted.withColumn("p", _discounted(F.col("c"), d) / max(total, 1))
-    known = unigrams.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
+    d1 = discounts(_counts_of_counts(counted))
+    known = counted.agg(F.coalesce(F.sum(_discounted(F.col("c"), d1)), F.lit(0.0))).first()[0] / max(total, 1)
     unknown = math.log10(max(1 - known, 1e-300)) if total else 0.0
-    pair_counts = stored(pairs(docs).groupBy("v", "w").agg(F.sum("n").alias("c")), "bigram-counts")
-    d = discounts(_counts_of_counts(pair_counts))
-    left = _discounted(F.col("c"), d)
-    sums = pair_counts.join(unigrams.select("w", "p"), "w").groupBy("v").agg(F.sum("c").alias("c"), F.sum(left).alias("left"), F.sum("p").alias("seen"))
-    contexts = stored(sums.select("v", "c", F.log10((1 - F.col("left") / F.col("c")) / F.greatest(1 - F.col("seen"), F.lit(1e-300))).alias("log10_alpha")), "contexts")
-    bigrams = pair_counts.withColumn("left", left).join(contexts.select("v", F.col("c").alias("cv")), "v").select("v", "w", "c", F.log10(F.col("left") / F.col("cv")).alias("log10_p"))
-    return Model(unigrams, bigrams, contexts, total, types, unknown)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc, n_tokens, n_known, base_score, score of every document."""
-    rows = pairs(docs)
-    found = rows.join(model.bigrams.select("v", "w", "log10_p"), ["v", "w"], "left")
-    found = found.join(model.unigrams.select("w", F.col("c").alias("cw"), F.log10("p").alias("log10_w")), "w", "left")
-    found = found.join(model.contexts.select("v", "log10_alpha"), "v", "left")
-    back = F.coalesce("log10_alpha", F.lit(0.0)) + F.coalesce("log10_w", F.lit(float(model.log10_unknown)))
+    least, hashes, counts = _frequent(counted, frequent)
+    table = Codes(hashes, counts)
+    codes = spark.sparkContext.broadcast(table)
+    ends = counted.where("w >= 0").select("w", F.col("c").alias("cw"))
+    top = pa.table({"w": table.of(hashes), "cw": counts}) if len(hashes) else None
+    top = ends if top is None else ends.unionByName(spark.createDataFrame(top))
+    rare = counted.where((F.col("w") < 0) & (F.col("c") < least)).select("w", F.col("c").alias("cw"))
+    table = pairs(docs, codes).groupBy("v", "w").agg(F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("c"))
+    table = stored(table, "pair-counts")
+    d2 = discounts(_counts_of_counts(table))
+    model = Model(codes, top, rare, table, table, total, types, d1, d2, unknown)
+    seen = model.with_unigrams(table.where("c > 0"))
+    left, p = _discounted(F.col("c"), d2), _discounted(F.col("cw"), d1) / float(max(total, 1))
+    sums = seen.groupBy("v").agg(F.sum("c").alias("cv"), F.sum(left).alias("left"), F.sum(p).alias("seen"))
+    alpha = F.log10((1 - F.col("left") / F.col("cv")) / F.greatest(1 - F.col("seen"), F.lit(1e-300)))
+    model.contexts = stored(sums.select("v", "cv", alpha.alias("log10_alpha")), "contexts")
+    return model
+
+
+def score(docs: DataFrame, model: Model, new: bool = True) -> DataFrame:
+    """doc, n_tokens, n_known, base_score, score of every document (doc,
+    text). Without ``new`` they are the documents of ``fit``."""
+    rows = pairs(docs.select("doc", "text", F.lit(True).alias("learn")), model.codes).drop("learn")
+    table = model.pairs
+    if new:
+        table = rows.select("v", "w").distinct().join(table, ["v", "w"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    found = rows.join(model.evaluated(table), ["v", "w"])
     base = F.log10((F.coalesce("cw", F.lit(0)) + 1) / F.lit(float(model.tokens + model.types + 1)))
     return found.groupBy("doc").agg(
         F.sum("n").alias("n_tokens"),
         F.sum(F.when(F.col("cw").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("n") * base).alias("base_score"),
-        F.sum(F.col("n") * F.coalesce("log10_p", back)).alias("score"),
+        F.sum(F.col("n") * model.log10_p()).alias("score"),
     )

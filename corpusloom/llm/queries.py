@@ -38,10 +38,10 @@ def op4_simhash(spark, sf_dir):
 
 
 def op5_katz(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     held = fold("doc", 7) == 2
-    model = katz.fit(docs.where(~held))
-    out = katz.score(docs, model)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").withColumn("learn", ~held)
+    model = katz.fit(docs)
+    out = katz.score(docs, model, new=False)
     return out.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -47,16 +47,19 @@ def brute(train, texts):
     return out
 
 
-@pytest.mark.parametrize("real", [False, True])
-def test_scores(spark, sf, real):
+@pytest.mark.parametrize("real, frequent", [(False, katz.FREQUENT), (False, 3), (True, 500)])
+def test_scores(spark, sf, real, frequent):
     if real:
         df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as doc", "text", "lang as v", "source as w")
     else:
         rows = ["the cat sat on the mat", "The cat sat", None, "", "the dog sat on the log on the mat", "x y z x y z x y z x y", "unknown words here the cat"] + ["a b"] * 9
         df = spark.createDataFrame(list(enumerate(rows)), "doc long, text string")
     train = df.where("doc % 3 <> 1")
-    model = katz.fit(train)
+    model = katz.fit(train, frequent)
     got = {r["doc"]: r for r in katz.score(df, model).collect()}
+    both = df.selectExpr("doc", "text", "doc % 3 <> 1 as learn")
+    again = {r["doc"]: r for r in katz.score(both, katz.fit(both, frequent), new=False).collect()}
+    assert all(math.isclose(again[d]["score"], r["score"], rel_tol=1e-9) and again[d]["n_known"] == r["n_known"] for d, r in got.items())
     want = brute([r["text"] for r in train.collect()], {r["doc"]: r["text"] for r in df.collect()})
     assert got.keys() == want.keys()
     for doc, (n, known, base, score) in want.items():
