@@ -42,21 +42,28 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(rb"[+\-$\xc2\xa3\xe2\x82\xac]*\d[\d.,:/]*(?:%|st|nd|rd|th)?", re.I)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_JOIN = bytes.maketrans(b" \t\n\x0b\x0c\r", b"______")
 PLAIN, NUM, UNIT, NAME = 0, 1, 2, 3
 
 
-def _kind(word: bytes) -> tuple[int, int, bool]:
-    """Class of a word by itself, a code of its plain form, and whether it
-    ends a sentence."""
-    text = word.decode("utf-8", "replace")
-    core = _EDGE.sub("", text)
-    ends = text.rstrip("\"')]").endswith((".", "!", "?", ":"))
-    if _NUMBER.fullmatch(core.encode()):
-        return NUM, 0, ends
-    low = core.lower() or text
-    code = Words([low.encode().replace(b" ", b"_")]).key
-    kind = UNIT if low in UNITS else NAME if len(core) > 1 and core[0].isupper() and core[1:].islower() else PLAIN
-    return kind, int(code[0]) if len(code) else 0, ends
+def _facts(words: list[bytes]) -> list[tuple[int, int, bool]]:
+    """Of each word by itself its class, a code of its plain form, and whether
+    it ends a sentence."""
+    kinds, plain, ends = [], [], []
+    for word in words:
+        text = word.decode("utf-8", "replace")
+        core = text if text[0].isalnum() and text[-1].isalnum() else _EDGE.sub("", text)
+        last = text if text[-1].isalnum() else text.rstrip("\"')]")
+        ends.append(last.endswith((".", "!", "?", ":")))
+        low = core.lower() or text
+        plain.append(low.encode().translate(_JOIN))
+        if _NUMBER.fullmatch(core.encode()):
+            kinds.append(NUM)
+        else:
+            kinds.append(UNIT if low in UNITS else NAME if len(core) > 1 and core[0].isupper() and core[1:].islower() else PLAIN)
+    found = Words(plain)
+    code = found.key[np.minimum(found.first[:-1], max(0, len(found.key) - 1))] if len(found.key) else np.zeros(len(words), np.uint64)
+    return [(k, 0 if k == NUM else c, e) for k, c, e in zip(kinds, np.where(found.count > 0, code, 0).tolist(), ends)]
 
 
 class Templates:
@@ -71,12 +78,10 @@ class Templates:
         known = Templates._known
         if len(known) > 2_000_000:
             known.clear()
-        facts = []
-        for key, at in zip(keys.tolist(), first.tolist()):
-            fact = known.get(key)
-            if fact is None:
-                fact = known[key] = _kind(words.bytes_of(at))
-            facts.append(fact)
+        listed = keys.tolist()
+        new = [i for i, key in enumerate(listed) if key not in known]
+        known.update(zip([listed[i] for i in new], _facts([words.bytes_of(first[i]) for i in new])))
+        facts = [known[key] for key in listed]
         kind = np.array([f[0] for f in facts], np.int8)[inverse] if facts else np.zeros(0, np.int8)
         code = np.array([f[1] for f in facts], np.uint64)[inverse] if facts else np.zeros(0, np.uint64)
         ends = np.array([f[2] for f in facts], bool)[inverse] if facts else np.zeros(0, bool)
