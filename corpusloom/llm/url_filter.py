@@ -1,12 +1,14 @@
 """URL filters: fixed host and path rules, and mined association rules.
 Native throughout.
 
-The tokens of a URL are its host's labels (``h:``), the words of host labels
-(``w:``), and the words of path and parameter names (``p:``). Spark's FP-growth
+The tokens of a URL are its host's labels (``h:``), the words of labels that
+have several (``w:``), the words of its path (``p:``) and its parameter names
+(``q:``); a label of one word is one token, since two that always occur
+together would double the itemsets. Spark's FP-growth
 runs over the token sets of labelled URLs with the item ``bad`` added to bad
 ones; association rules whose consequent is ``bad`` stay when confidence and
-support suffice, and a rule goes when a part of its antecedent already makes a
-rule that is as sure. Rules match through an inverted index: each is entered
+support suffice, and a rule goes when its antecedent less one token already
+makes a rule that is as sure (it matches wherever the longer one does). Rules match through an inverted index: each is entered
 under its rarest token, URL tokens are joined to the entries, and the rest of
 the antecedent is checked on the URL's own token set.
 
@@ -26,6 +28,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Fixed rules: (verdict, host and path prefix).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 SEED_TERMS = ("casino", "pills", "bets", "spam", "ads", "porn", "warez")
@@ -63,7 +67,7 @@ def tokens_of(url: Column) -> Column:
     """Distinct tokens of a URL."""
     host, rest = host_of(url), _rest(url)
     labels = F.array_remove(F.split(host, "\\."), "")
-    words = F.array_remove(F.split(host, "[^a-z0-9]+"), "")
+    words = F.flatten(F.transform(labels, lambda x: F.when(x.rlike("[^a-z0-9]"), F.array_remove(F.split(x, "[^a-z0-9]+"), "")).otherwise(F.array().cast("array<string>"))))
     path = F.array_remove(F.split(F.lower(path_of(url)), "[^a-z0-9]+"), "")
     names = F.regexp_extract_all(F.lower(F.coalesce(rest, F.lit(""))), F.lit("[?&]([a-z0-9_]+)="), 1)
     mark = lambda prefix: lambda x: F.concat(F.lit(prefix), x)
@@ -73,7 +77,7 @@ def tokens_of(url: Column) -> Column:
 def labelled(pages: DataFrame, labels: DataFrame, seeds=SEED_TERMS) -> DataFrame:
     """tokens and bad (boolean) of every labelled page."""
     known = labels.groupBy(F.col("doc_id").alias("_doc")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("_bad"))
-    seed = F.arrays_overlap("tokens", F.array(*[F.lit(f"w:{s}") for s in seeds]))
+    seed = F.arrays_overlap("tokens", F.array(*[F.lit(f"{kind}:{s}") for kind in "hw" for s in seeds]))
     both = pages.select(F.col("page_id").alias("_page"), tokens_of(F.col("url")).alias("tokens")).join(known, F.col("_page") == F.col("_doc"), "left")
     return both.where(F.col("_bad").isNotNull() | seed).select("tokens", (seed | F.coalesce("_bad", F.lit(False))).alias("bad"))
 
@@ -90,19 +94,11 @@ def mine(train: DataFrame, least_support: float = 0.001, least_count: int = 5, c
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     keyed = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token")
     keyed = keyed.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    # a longer rule adds nothing where a part of it is as sure
-    short = keyed.select(F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"), F.explode("antecedent").alias("t"))
-    long = keyed.select("antecedent", "confidence", F.explode("antecedent").alias("t"))
-    covered = (
-        long.join(short, "t")
-        .where((F.size("part") < F.size("antecedent")) & (F.col("part_confidence") >= F.col("confidence")))
-        .groupBy("antecedent", "part")
-        .count()
-        .where(F.col("count") == F.size("part"))
-        .select("antecedent")
-        .distinct()
-    )
-    return keyed.join(covered, "antecedent", "left_anti")
+    keyed = stored(keyed, "url-rules")
+    known = keyed.select(F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
+    less = keyed.select("antecedent", "confidence", F.explode("antecedent").alias("t")).select("antecedent", "confidence", F.array_remove("antecedent", F.col("t")).alias("part"))
+    covered = less.join(known, "part").where("part_confidence >= confidence").select("antecedent").distinct()
+    return stored(keyed.join(covered, "antecedent", "left_anti"), "pruned-url-rules")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
