@@ -19,12 +19,14 @@ taken off. Larger counts give up ``SPARE`` of one count, so every context
 keeps some mass to back off with.
 
 Words are known by 63-bit hashes, set negative. The at most ``FREQUENT`` most
-frequent training words have a small code instead (a bounded table that every
-task gets): the rows that move are short, and what belongs to a frequent word
-or context comes by a broadcast of that bounded size, so no task gathers the
-rows of a frequent key. Rows of the other words are shuffled; those words are
-rare. Documents send one row per distinct pair, and values of a pair are
-worked out once per distinct pair.
+frequent training words have a small code instead, and the at most
+``FREQUENT_PAIRS`` most frequent pairs of such words are listed. Counts,
+backoff weights and listed pairs of that bounded size go to every task, which
+values their tokens where it reads them; so no row of a frequent word, context
+or pair is shuffled. What needs another count becomes a row: of each document
+one per other pair, joined to the table of pairs on both words, and one per
+rare word. In a training document a pair that no other document has occurs as
+often as it does there, so the joined table leaves such pairs out.
 
 Edge cases: null and empty texts are a single end token; with no training
 documents every token is unknown with probability one; equal doc_ids are
@@ -46,6 +48,8 @@ from .common import Words, chunks, stored
 K = 5
 SPARE = 0.01
 FREQUENT = 1 << 19
+FREQUENT_PAIRS = 1 << 20
+SUMS, PAIR, WORD, HELD = 0, 1, 2, 3
 END, START = np.int64(1), np.int64(2)
 
 
@@ -86,28 +90,36 @@ def _tokens(texts: list[bytes], codes: Codes | None = None) -> tuple[np.ndarray,
     return v, w, np.repeat(np.arange(len(texts)), count)
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of each distinct tuple, and how many there are."""
-    order = np.lexsort(columns)
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal tuples together, and where each begins. (By
+    a hash: two tuples with one hash may alternate, and their parts add up.)"""
+    mixed = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        mixed = (mixed ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
-    first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(order)))
+    return order, np.flatnonzero(new)
 
 
 def pairs(docs: DataFrame, codes) -> DataFrame:
-    """doc, learn, v, w, n: the pairs of every document; ``codes``: a
-    broadcast of Codes."""
+    """v, w, c (training count), docs (2 if in several documents) of the pairs
+    of every part of the documents; ``codes``: a broadcast of Codes."""
 
     def run(batches):
-        for batch, texts in chunks(batches, most=1 << 20):
+        for batch, texts in chunks(batches, most=2 << 20):
             v, w, doc = _tokens(texts, codes.value)
-            at, n = _distinct(w, v, doc)
-            columns = [batch.column(c).take(pa.array(doc[at])) for c in ("doc", "learn")]
-            yield pa.record_batch([*columns, pa.array(v[at]), pa.array(w[at]), pa.array(n.astype(np.int32))], ["doc", "learn", "v", "w", "n"])
+            learn = np.array(batch.column("learn").to_pylist(), bool)
+            order, first = _groups(v, w)
+            doc = doc[order]
+            c = np.add.reduceat(learn[doc].astype(np.int64), first)
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            at = order[first]
+            yield pa.record_batch([pa.array(v[at]), pa.array(w[at]), pa.array(c), pa.array(several + np.int64(1))], ["v", "w", "c", "docs"])
 
-    return docs.select("doc", "learn", "text").mapInArrow(run, "doc long, learn boolean, v long, w long, n int")
+    return docs.select("learn", "text").mapInArrow(run, "v long, w long, c long, docs long")
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -140,30 +152,34 @@ def _discounted(c: Column, d: list[float]) -> Column:
     return out
 
 
-class Model:
-    def __init__(self, codes, frequent: DataFrame, rare: DataFrame, pairs: DataFrame, contexts: DataFrame, tokens: int, types: int, d1: list[float], d2: list[float], log10_unknown: float):
-        self.codes, self.frequent, self.rare, self.pairs, self.contexts = codes, frequent, rare, pairs, contexts
-        self.tokens, self.types, self.d1, self.d2, self.log10_unknown = tokens, types, d1, d2, log10_unknown
+def _left(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Like ``_discounted``, for arrays."""
+    return np.where(c <= len(d), c * np.array([0.0, *d])[np.minimum(c, len(d))], c - SPARE)
 
-    def with_unigrams(self, table: DataFrame) -> DataFrame:
-        """``table`` with the count ``cw`` of its words."""
-        return _attached(table, self.frequent, self.rare, "w")
 
-    def with_contexts(self, table: DataFrame) -> DataFrame:
-        """``table`` with ``cv`` and ``log10_alpha`` of its contexts."""
-        return _attached(table, self.contexts.where("v >= 0"), self.contexts.where("v < 0"), "v")
+class Known:
+    """What every task gets: codes; by code the count, log10 probability and
+    backoff weight of frequent words; frequent pairs with their counts."""
 
-    def evaluated(self, table: DataFrame) -> DataFrame:
-        """``table`` (v, w, c) with what the recursion needs: v, w, c, cw, cv
-        and the backoff weight of pairs that were not seen."""
-        found = self.with_contexts(self.with_unigrams(table))
-        return found.select("v", "w", "c", "cw", "cv", F.when(F.col("c") > 0, None).otherwise(F.col("log10_alpha")).alias("alpha"))
+    def __init__(self, codes: Codes, counts: np.ndarray, unigram: np.ndarray, alpha: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+        self.codes, self.counts, self.unigram, self.alpha = codes, counts, unigram, alpha
+        order = np.argsort(pairs)
+        self.pairs, self.pair_counts = pairs[order], pair_counts[order]
 
-    def log10_p(self) -> Column:
-        """Of a row of ``evaluated``."""
-        word = F.coalesce(F.log10(_discounted(F.col("cw"), self.d1) / float(max(self.tokens, 1))), F.lit(float(self.log10_unknown)))
-        back = F.coalesce("alpha", F.lit(0.0)) + word
-        return F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), self.d2) / F.col("cv"))).otherwise(back)
+    def count(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Training counts of pairs of frequent words (0: not listed)."""
+        key = v * len(self.counts) + w
+        if not len(self.pairs):
+            return np.zeros(len(key), np.int64)
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.pair_counts[at], 0)
+
+
+class Model:
+    def __init__(self, known, rare: DataFrame, pairs: DataFrame, contexts: DataFrame, tokens: int, types: int, d1: list[float], d2: list[float], log10_unknown: float):
+        self.known, self.rare, self.pairs, self.contexts = known, rare, pairs, contexts
+        self.tokens, self.types, self.d1, self.d2, self.log10_unknown = tokens, types, d1, d2, log10_unknown
 
 
 def _attached(table: DataFrame, frequent: DataFrame, rare: DataFrame, key: str) -> DataFrame:
@@ -176,23 +192,21 @@ def _counts_of_counts(table: DataFrame) -> dict[int, int]:
     return {r["c"]: r["n"] for r in table.where(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()}
 
 
-def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """A count that at most ``most`` words reach, those words and counts."""
-    scale = F.floor(F.log2("c")).cast("int")
-    sizes = {r[0]: r[1] for r in counted.where("w < 0").groupBy(scale.alias("scale")).agg(F.count("*")).collect()}
-    least, total = 64, 0
-    while least > 0 and total + sizes.get(least - 1, 0) <= most:
+def _threshold(table: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows reach."""
+    fine = 64
+    scale = F.when(F.col("c") < fine, F.col("c")).otherwise(fine - 6 + F.floor(F.log2("c"))).cast("int")
+    sizes = {r[0]: r[1] for r in table.where("c > 0").groupBy(scale.alias("scale")).agg(F.count("*")).collect()}
+    least, total = fine + 58, 0
+    while least > 1 and total + sizes.get(least - 1, 0) <= most:
         least -= 1
         total += sizes.get(least, 0)
-    found = counted.where((F.col("w") < 0) & (F.col("c") >= 1 << min(least, 62))).toPandas()
-    return 1 << min(least, 62), found["w"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
+    return least if least <= fine else 1 << (least - fine + 6)
 
 
-def fit(docs: DataFrame, frequent: int = FREQUENT) -> Model:
+def fit(docs: DataFrame, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> Model:
     """Model of the documents (doc, text, learn) whose ``learn`` is true
-    (all without that column). The
-    table of pairs has those of all documents, with count 0 where none of the
-    former has them, so that ``score`` need not count them again."""
+    (all without that column)."""
     spark = docs.sparkSession
     if "learn" not in docs.columns:
         docs = docs.withColumn("learn", F.lit(True))
@@ -201,37 +215,128 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> Model:
     d1 = discounts(_counts_of_counts(counted))
     known = counted.agg(F.coalesce(F.sum(_discounted(F.col("c"), d1)), F.lit(0.0))).first()[0] / max(total, 1)
     unknown = math.log10(max(1 - known, 1e-300)) if total else 0.0
-    least, hashes, counts = _frequent(counted, frequent)
-    table = Codes(hashes, counts)
-    codes = spark.sparkContext.broadcast(table)
-    ends = counted.where("w >= 0").select("w", F.col("c").alias("cw"))
-    top = pa.table({"w": table.of(hashes), "cw": counts}) if len(hashes) else None
-    top = ends if top is None else ends.unionByName(spark.createDataFrame(top))
+    least = _threshold(counted.where("w < 0"), frequent)
+    top = counted.where((F.col("w") < 0) & (F.col("c") >= least)).toPandas()
+    codes = Codes(top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
+    # by code; the start is a context as often as there are ends
+    counts = np.zeros(len(top) + 3, np.int64)
+    counts[codes.ranks] = top["c"].to_numpy(np.int64)[np.argsort(top["w"].to_numpy(np.int64))]
+    counts[[END, START]] = counted.where("w >= 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     rare = counted.where((F.col("w") < 0) & (F.col("c") < least)).select("w", F.col("c").alias("cw"))
-    table = pairs(docs, codes).groupBy("v", "w").agg(F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("c"))
-    table = stored(table, "pair-counts")
+    frequent_words = spark.createDataFrame(pa.table({"w": np.arange(len(counts)), "cw": counts}))
+    shared = spark.sparkContext.broadcast(codes)
+    table = stored(pairs(docs, shared).groupBy("v", "w").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where("c > 0"), "pair-counts")
     d2 = discounts(_counts_of_counts(table))
-    model = Model(codes, top, rare, table, table, total, types, d1, d2, unknown)
-    seen = model.with_unigrams(table.where("c > 0"))
+
     left, p = _discounted(F.col("c"), d2), _discounted(F.col("cw"), d1) / float(max(total, 1))
-    sums = seen.groupBy("v").agg(F.sum("c").alias("cv"), F.sum(left).alias("left"), F.sum(p).alias("seen"))
+    sums = _attached(table, frequent_words, rare, "w").groupBy("v").agg(F.sum("c").alias("cv"), F.sum(left).alias("left"), F.sum(p).alias("seen"))
     alpha = F.log10((1 - F.col("left") / F.col("cv")) / F.greatest(1 - F.col("seen"), F.lit(1e-300)))
-    model.contexts = stored(sums.select("v", "cv", alpha.alias("log10_alpha")), "contexts")
-    return model
+    contexts = stored(sums.select("v", "cv", alpha.alias("log10_alpha")), "contexts")
+    found = contexts.where("v >= 0").toPandas()
+    weights = np.zeros(len(counts))
+    weights[found["v"].to_numpy(np.int64)] = found["log10_alpha"].to_numpy(float)
+    unigram = np.log10(np.maximum(_left(counts, d1), 1e-300) / max(total, 1))
+    unigram[counts == 0] = unknown
+
+    between = table.where("v >= 0 and w >= 0")
+    enough = _threshold(between, frequent_pairs)
+    listed = (F.col("v") >= 0) & (F.col("w") >= 0) & (F.col("c") >= enough)
+    top = table.where(listed).select((F.col("v") * len(counts) + F.col("w")).alias("pair"), "c").toPandas()
+    known = Known(codes, counts, unigram, weights, top["pair"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
+    return Model(spark.sparkContext.broadcast(known), rare, table.where(~listed), contexts.where("v < 0"), total, types, d1, d2, unknown)
+
+
+def _rows(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document (doc, learn, text) the sums of what tasks know, and what
+    must be joined. kind SUMS: n tokens, m known ones, base a, score b; PAIR:
+    a pair of a training document, or of frequent words with log10 of 1/cv (a)
+    and its backoff value (b); WORD: a rare word of a training document as
+    token (n) and as context (m); HELD: a pair of another document with a rare
+    word, with log10 of the unigram (a), backoff weight (b) and context count
+    (e) where known."""
+    shared, d2 = model.known, model.d2
+    scale = float(model.tokens + model.types + 1)
+
+    def run(batches):
+        known = shared.value
+        log_counts = np.log10(np.maximum(known.counts, 1))
+        base = np.log10((known.counts + 1) / scale)
+        for batch, texts in chunks(batches, most=1 << 20):
+            v, w, doc = _tokens(texts, known.codes)
+            ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+            learning = np.array(batch.column("learn").to_pylist(), bool)
+            order, first = _groups(v, w, doc)
+            n = np.diff(np.append(first, len(order)))
+            v, w, doc = (x[order[first]] for x in (v, w, doc))
+            learn, fv, fw = learning[doc], v >= 0, w >= 0
+            cv, cw = np.where(fv, v, 0), np.where(fw, w, 0)
+            both = fv & fw
+            c = np.where(both, known.count(cv, cw), 0)
+            hit = c > 0
+            per = lambda x: np.bincount(doc, weights=x, minlength=len(texts))
+            score = np.where(hit, np.log10(np.maximum(_left(c, d2), 1e-300)), 0.0) - np.where(fv & (learn | hit), log_counts[cv], 0.0)
+            sums = [per(n), per(n * np.where(fw, known.counts[cw] > 0, learn)), per(n * np.where(fw, base[cw], 0.0)), per(n * score)]
+            none = lambda k: pa.nulls(k, pa.float64())
+            some = lambda x, ok: pa.array(x, mask=~ok)
+
+            def out(kind, doc, v, w, n, m, a, b, e):
+                size = len(doc)
+                return pa.record_batch([pa.array(np.full(size, kind, np.int8)), pa.array(ids[doc]), pa.array(v), pa.array(w), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), a, b, e], ["kind", "doc", "v", "w", "n", "m", "a", "b", "e"])
+
+            every, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+            yield out(SUMS, every, zero, zero, sums[0], sums[1], pa.array(sums[2]), pa.array(sums[3]), none(len(texts)))
+            at = np.flatnonzero(~hit & (learn | both))
+            held = ~learn[at]
+            seen, back = -log_counts[cv[at]], known.alpha[cv[at]] + known.unigram[cw[at]]
+            yield out(PAIR, doc[at], v[at], w[at], n[at], np.zeros(len(at)), some(seen, held), some(back, held), none(len(at)))
+            word, context = np.flatnonzero(learn & ~fw), np.flatnonzero(learn & ~fv)
+            rare = np.concatenate([w[word], v[context]])
+            owner = np.concatenate([doc[word], doc[context]])
+            times = np.concatenate([n[word], np.zeros(len(context), np.int64)])
+            before = np.concatenate([np.zeros(len(word), np.int64), n[context]])
+            order, first = _groups(rare, owner)
+            if len(order):
+                times, before = np.add.reduceat(times[order], first), np.add.reduceat(before[order], first)
+                yield out(WORD, owner[order[first]], rare[order[first]], rare[order[first]], times, before, none(len(first)), none(len(first)), none(len(first)))
+            at = np.flatnonzero(~learn & ~both)
+            yield out(HELD, doc[at], v[at], w[at], n[at], np.zeros(len(at)), some(known.unigram[cw[at]], fw[at]), some(known.alpha[cv[at]], fv[at]), some(log_counts[cv[at]], fv[at]))
+
+    return docs.select("doc", "learn", "text").mapInArrow(run, "kind tinyint, doc long, v long, w long, n long, m long, a double, b double, e double")
 
 
 def score(docs: DataFrame, model: Model, new: bool = True) -> DataFrame:
     """doc, n_tokens, n_known, base_score, score of every document (doc,
-    text). Without ``new`` they are the documents of ``fit``."""
-    rows = pairs(docs.select("doc", "text", F.lit(True).alias("learn")), model.codes).drop("learn")
-    table = model.pairs
+    text). Without ``new`` they are the documents of ``fit`` (doc, text,
+    learn)."""
     if new:
-        table = rows.select("v", "w").distinct().join(table, ["v", "w"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    found = rows.join(model.evaluated(table), ["v", "w"])
+        docs = docs.select("doc", "text", F.lit(False).alias("learn"))
+    rows = stored(_rows(docs, model), "token-rows")
+    table = model.pairs.select("v", "w", "c")
+    kind = lambda k: rows.where(F.col("kind") == k)
+    nothing = F.lit(0).cast("long")
+    summed = kind(SUMS).select("doc", F.col("n").alias("n_tokens"), F.col("m").alias("n_known"), F.col("a").alias("base_score"), F.col("b").alias("score"))
+
+    several = table if new else model.pairs.where("docs > 1").select("v", "w", "c")
+    own = F.when(F.col("b").isNull(), F.col("n")).otherwise(0)
+    pair = kind(PAIR).select("doc", "v", "w", "n", "a", "b").join(several, ["v", "w"], "left").withColumn("c", F.coalesce("c", own))
+    value = F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), model.d2)) + F.coalesce("a", F.lit(0.0))).otherwise(F.col("b"))
+    pair = pair.select("doc", nothing.alias("n_tokens"), nothing.alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("n") * value).alias("score"))
+
     base = F.log10((F.coalesce("cw", F.lit(0)) + 1) / F.lit(float(model.tokens + model.types + 1)))
-    return found.groupBy("doc").agg(
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("cw").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * base).alias("base_score"),
-        F.sum(F.col("n") * model.log10_p()).alias("score"),
+    word = kind(WORD).select("doc", "w", "n", "m").join(model.rare, "w", "left")
+    word = word.select("doc", nothing.alias("n_tokens"), nothing.alias("n_known"), (F.col("n") * base).alias("base_score"), (-F.col("m") * F.log10("cw")).alias("score"))
+
+    held = kind(HELD).select("doc", "v", "w", "n", "a", "b", "e").join(table, ["v", "w"], "left").join(model.rare, "w", "left").join(model.contexts, "v", "left")
+    unigram = F.coalesce("a", F.log10(_discounted(F.col("cw"), model.d1) / float(max(model.tokens, 1))), F.lit(float(model.log10_unknown)))
+    back = F.coalesce("b", "log10_alpha", F.lit(0.0)) + unigram
+    value = F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), model.d2)) - F.coalesce("e", F.log10("cv"))).otherwise(back)
+    rare = F.col("w") < 0
+    held = held.select(
+        "doc",
+        nothing.alias("n_tokens"),
+        F.when(rare & F.col("cw").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
+        F.when(rare, F.col("n") * base).otherwise(0.0).alias("base_score"),
+        (F.col("n") * value).alias("score"),
     )
+    every = summed.unionByName(pair).unionByName(word).unionByName(held)
+    return every.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
