@@ -47,8 +47,8 @@ from .common import Words, chunks, stored
 
 K = 5
 SPARE = 0.01
-FREQUENT = 1 << 19
-FREQUENT_PAIRS = 1 << 20
+FREQUENT = 1 << 18
+FREQUENT_PAIRS = 1 << 18
 SUMS, PAIR, WORD, HELD = 0, 1, 2, 3
 END, START = np.int64(1), np.int64(2)
 
@@ -117,6 +117,8 @@ def pairs(docs: DataFrame, codes) -> DataFrame:
             c = np.add.reduceat(learn[doc].astype(np.int64), first)
             several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
             at = order[first]
+            by = np.argsort(v[at])  # equal contexts side by side: rows compress
+            at, c, several = at[by], c[by], several[by]
             yield pa.record_batch([pa.array(v[at]), pa.array(w[at]), pa.array(c), pa.array(several + np.int64(1))], ["v", "w", "c", "docs"])
 
     return docs.select("learn", "text").mapInArrow(run, "v long, w long, c long, docs long")
@@ -268,6 +270,9 @@ def _rows(docs: DataFrame, model: Model) -> DataFrame:
             order, first = _groups(v, w, doc)
             n = np.diff(np.append(first, len(order)))
             v, w, doc = (x[order[first]] for x in (v, w, doc))
+            many = len(known.counts)
+            by = np.argsort(doc * (many + 1) + np.where(v >= 0, v, many))  # rows compress
+            v, w, doc, n = v[by], w[by], doc[by], n[by]
             learn, fv, fw = learning[doc], v >= 0, w >= 0
             cv, cw = np.where(fv, v, 0), np.where(fw, w, 0)
             both = fv & fw
@@ -311,12 +316,11 @@ def score(docs: DataFrame, model: Model, new: bool = True) -> DataFrame:
     if new:
         docs = docs.select("doc", "text", F.lit(False).alias("learn"))
     rows = stored(_rows(docs, model), "token-rows")
-    table = model.pairs.select("v", "w", "c")
     kind = lambda k: rows.where(F.col("kind") == k)
     nothing = F.lit(0).cast("long")
     summed = kind(SUMS).select("doc", F.col("n").alias("n_tokens"), F.col("m").alias("n_known"), F.col("a").alias("base_score"), F.col("b").alias("score"))
 
-    several = table if new else model.pairs.where("docs > 1").select("v", "w", "c")
+    several = model.pairs.where(F.lit(new) | (F.col("docs") > 1)).select("v", "w", "c")
     own = F.when(F.col("b").isNull(), F.col("n")).otherwise(0)
     pair = kind(PAIR).select("doc", "v", "w", "n", "a", "b").join(several, ["v", "w"], "left").withColumn("c", F.coalesce("c", own))
     value = F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), model.d2)) + F.coalesce("a", F.lit(0.0))).otherwise(F.col("b"))
@@ -326,7 +330,7 @@ def score(docs: DataFrame, model: Model, new: bool = True) -> DataFrame:
     word = kind(WORD).select("doc", "w", "n", "m").join(model.rare, "w", "left")
     word = word.select("doc", nothing.alias("n_tokens"), nothing.alias("n_known"), (F.col("n") * base).alias("base_score"), (-F.col("m") * F.log10("cw")).alias("score"))
 
-    held = kind(HELD).select("doc", "v", "w", "n", "a", "b", "e").join(table, ["v", "w"], "left").join(model.rare, "w", "left").join(model.contexts, "v", "left")
+    held = kind(HELD).select("doc", "v", "w", "n", "a", "b", "e").join(several, ["v", "w"], "left").join(model.rare, "w", "left").join(model.contexts, "v", "left")
     unigram = F.coalesce("a", F.log10(_discounted(F.col("cw"), model.d1) / float(max(model.tokens, 1))), F.lit(float(model.log10_unknown)))
     back = F.coalesce("b", "log10_alpha", F.lit(0.0)) + unigram
     value = F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), model.d2)) - F.coalesce("e", F.log10("cv"))).otherwise(back)
