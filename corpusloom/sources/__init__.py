@@ -1,0 +1 @@
+"""Readers and writers of the tables that the operators take and give."""
