@@ -1,0 +1,152 @@
+"""Groups of texts that share most of their shingles, exact at the threshold.
+
+A text is the set of its ``shingle``-word runs. Of a set with n members any
+set at a Jaccard similarity of ``similarity`` or more shares at least
+``ceil(similarity * n)``, so under one order of all shingles the two share one
+of their first ``n - ceil(similarity * n) + 1``: the prefix. Prefixes are the
+postings; every pair of a posting is a candidate and is verified on the whole
+sets, so no pair is missed and none is guessed. The order decides only how
+long postings get: shingles that are frequent in a sample come last.
+
+Equal sets are one node. In every posting first each node is compared with the
+smallest; only where a posting still has two components after that, its pairs
+across components are compared too. A large group of near copies so takes one
+comparison a copy and posting, not one a pair.
+
+Edge cases: texts without a word are one group; texts shorter than a shingle
+have the whole word sequence as their only shingle; letters A-Z count as a-z;
+rows are told apart by ``row`` alone, ``doc_id`` can be null or repeated; an
+empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Words, chunks, connected_components, spread, stored
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Documents sampled for the order of shingles, and frequent ones kept of it.
+SAMPLE, MOST_COMMON = 5000, 1 << 17
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _sets(texts: list[bytes], size: int, common=NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and key of every distinct shingle, rare ones of a text
+    first, and how many each text has."""
+    words = Words(texts)
+    width = np.minimum(words.count, size)
+    number = np.where(words.count > 0, words.count - width + 1, 0)
+    first = spread(words.first[:-1], number)
+    length = np.repeat(width, number)
+    key = np.full(len(first), 0x2545F4914F6CDD1D, np.uint64)
+    for k in range(size):
+        inside = k < length
+        mixed = (key ^ words.key[np.where(inside, first + k, 0)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        key = np.where(inside, mixed, key)
+    doc = np.repeat(np.arange(len(texts)), number)
+    rank = np.zeros(len(key), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], key), len(common[0]) - 1)
+        rank = np.where(common[0][at] == key, common[1][at], 0)
+    order = np.lexsort((key, rank, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    return doc[new], key[new], np.bincount(doc[new], minlength=len(texts))
+
+
+def _lists(key: np.ndarray, count: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(key.view(np.int64)))
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """row and the distinct shingles (hashes) of every text."""
+
+    def run(batches):
+        for batch, texts in chunks(batches):
+            _, key, count = _sets(texts, shingle)
+            yield pa.record_batch([batch.column("row"), _lists(key, count)], ["row", "shingles"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample, sorted, and in how many texts each is."""
+    every = max(1, docs.count() // SAMPLE)
+    some = shingle_sets(docs.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0), shingle)
+    found = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    key = found["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], found["n"].to_numpy(np.int64)[order]
+
+
+def prefixes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """row, doc_id, print (hash of the whole set), n (its size), prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def run(batches):
+        for batch, texts in chunks(batches):
+            doc, key, count = _sets(texts, shingle, shared.value)
+            start = np.cumsum(count) - count
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64)))
+            whole = (total[start + count] - total[start]) ^ count.astype(np.uint64)
+            least = np.where(count > 0, count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1, 0)
+            chosen = np.arange(len(key)) - start[doc] < least[doc]
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(whole.view(np.int64)), pa.array(count.astype(np.int64)), _lists(key[chosen], least)], ["row", "doc_id", "print", "n", "prefix"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, print long, n long, prefix array<long>")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = stored(shingle_sets(docs.join(wanted, "row", "left_semi"), shingle), "near-sets")
+    of = lambda side: sets.select(F.col("row").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = (1 + similarity) * both >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
+    return stored(pairs.join(of("b"), "b").join(of("a"), "a").where(enough).select("a", "b"), "near-edges")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """row, doc_id and group of every row of ``docs`` (row, doc_id, text; a
+    stored table, ``row`` a key): groups are what pairs at ``similarity`` or
+    more connect."""
+    prints = stored(prefixes(docs, shingle, similarity), "near-prefixes")
+    lows = stored(prints.groupBy("print").agg(F.min("row").alias("node")), "near-nodes")
+    entries = prints.join(lows.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("prefix").alias("shingle"))
+    first = entries.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("shingle", "first")
+    postings = stored(entries.join(first, "shingle").select("shingle", "node", "n", F.col("first.node").alias("a"), F.col("first.n").alias("na")), "near-postings")
+
+    def near(x, y):
+        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+
+    tried = stored(postings.where((F.col("a") < F.col("node")) & near(F.col("n"), F.col("na"))).select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+    edges = _verified(docs, tried, shingle, similarity)
+    reached = connected_components(edges)
+    parted = postings.join(reached, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
+    several = parted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    open_ = stored(parted.join(several, "shingle", "left_semi"), "near-open")
+    x = open_.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = open_.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    across = x.join(y, (x.shingle == y.shingle) & (x.a < y.b) & (x.ca != y.cb) & near(x["na"], y["nb"])).select("a", "b").distinct()
+    rest = stored(across.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    edges = edges.unionByName(_verified(docs, rest, shingle, similarity))
+    reached = connected_components(edges)
+    classes = lows.join(reached, "node", "left").select("print", F.coalesce("component", "node").alias("group"))
+    return prints.join(classes, "print").select("row", "doc_id", "group")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of every group: that of the smallest doc_id (null last)."""
+    row = "_near_row"
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    found = groups(keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, similarity)
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    return keyed.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
