@@ -1,16 +1,18 @@
 """Quality rules with risk-controlled thresholds. Native throughout.
 
-Every rule rejects a document whose measure reaches a cutoff. On labelled
-documents (quality 1 good, 0 bad) each pair of a stratum (language) and a
-measure tries the cutoffs of a fixed grid. A cutoff is certified when an exact
-binomial test shows that it rejects at most ``risk / measures`` of the good
-documents of its stratum: with k of n good ones rejected, the chance of k or
-fewer at that rate is at most ``delta`` divided by the number of all tests
-(Bonferroni over strata, measures and cutoffs). So with probability
-``1 - delta`` no stratum loses more than ``risk`` of its good documents to all
-its rules together. Of the certified cutoffs that one is taken that rejects
-the most of the bad beyond what it rejects of the good; a stratum without
-enough labels has no rule and keeps all.
+A document's score is its highest measure, each divided by a fixed full value;
+a stratum (language) rejects documents whose score reaches its cutoff. On
+labelled documents (quality 1 good, 0 bad) the cutoffs of a fixed list are
+tested in a fixed sequence from the strictest (rejecting least) down, and the
+first failure ends the sequence. A cutoff passes when an exact binomial test
+shows that it rejects at most ``risk`` of the good documents: with k of n good
+ones rejected, the chance of k or fewer at that rate is at most ``delta``
+divided by the number of strata. Of true failures only the first one reached
+can pass wrongly, so the list needs no correction; with probability
+``1 - delta`` no stratum loses more than ``risk`` of its good documents. Of the
+certified cutoffs that one is taken that rejects the most of the bad beyond
+what it rejects of the good. With 4 strata a stratum needs 217 good labels at
+least; one with fewer has no cutoff and keeps all.
 
 The counts of a document are taken in one pass over its text and written as a
 table; labels are joined to that table only.
@@ -31,14 +33,10 @@ from pyspark.sql import functions as F
 from .common import stored, words_of
 
 RISK, DELTA = 0.02, 0.05
-#: Measure -> cutoffs tried.
-GRID = {
-    "symbols": [0.01 * k for k in range(1, 31)],
-    "shouting": [0.05 * k for k in range(2, 20)],
-    "marks": [0.01 * k for k in range(1, 31)],
-    "repeats": [0.05 * k for k in range(1, 20)],
-    "copies": [0.05 * k for k in range(1, 20)],
-}
+#: Measure -> value that counts as a score of 1.
+FULL = {"symbols": 0.3, "shouting": 0.95, "marks": 0.3, "repeats": 0.95, "copies": 0.95}
+#: Cutoffs of the score, in the order of their tests.
+CUTOFFS = [0.05 * k for k in range(20, 0, -1)]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -95,6 +93,10 @@ def measures() -> dict[str, Column]:
     return {"symbols": share("n_symbols", "word_chars"), "shouting": share("n_upper", "word_chars"), "marks": share("n_marks", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "copies": share("n_dup_lines", "n_lines")}
 
 
+def score() -> Column:
+    return F.greatest(*[value / F.lit(FULL[name]) for name, value in measures().items()])
+
+
 def at_most(k: int, n: int, rate: float) -> float:
     """Exact chance of k or fewer among n at this rate."""
     if k >= n:
@@ -109,31 +111,28 @@ def at_most(k: int, n: int, rate: float) -> float:
     return min(1.0, p)
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
-    """Certified cutoff of each (stratum, measure) that has one. Gathers one
-    number per stratum, measure, label and grid step."""
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, float]:
+    """Certified cutoff of each stratum that has one. Gathers one number per
+    stratum, label and cutoff."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_doc"), F.col("quality").alias("_quality"))
     table = measured.join(known, F.col("doc_id") == F.col("_doc"))
-    steps = [F.struct(F.lit(name).alias("measure"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in GRID[name]]), lambda c, v=value: c <= v)).alias("step")) for name, value in measures().items()]
-    found = table.select("lang", "_quality", F.inline(F.array(*steps))).groupBy("lang", "_quality", "measure", "step").count().collect()
+    reached = F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: score() >= c))
+    found = table.groupBy("lang", "_quality", reached.alias("reached")).count().collect()
     strata = sorted({r["lang"] for r in found}, key=str)
-    tests = max(1, len(strata) * sum(map(len, GRID.values())))
-    out: dict[tuple[str | None, str], float] = {}
+    out: dict[str | None, float] = {}
     for lang in strata:
-        for name, grid in GRID.items():
-            own = [r for r in found if r["lang"] == lang and r["measure"] == name]
-            total = [sum(r["count"] for r in own if r["_quality"] == q) for q in (0, 1)]
-            if not total[0] or not total[1]:
-                continue
-            best = (0.0, 0.0)
-            for step, cut in enumerate(grid, 1):
-                hit = [sum(r["count"] for r in own if r["_quality"] == q and r["step"] >= step) for q in (0, 1)]
-                if at_most(hit[1], total[1], risk / len(GRID)) <= delta / tests:
-                    gain = hit[0] / total[0] - hit[1] / total[1]
-                    if gain > 0:
-                        best = max(best, (gain, cut))
-            if best[0] > 0:
-                out[lang, name] = best[1]
+        own = [r for r in found if r["lang"] == lang]
+        total = [sum(r["count"] for r in own if r["_quality"] == q) for q in (0, 1)]
+        if not total[0] or not total[1]:
+            continue
+        best = (0.0, 0.0)
+        for i, cut in enumerate(CUTOFFS):
+            hit = [sum(r["count"] for r in own if r["_quality"] == q and r["reached"] >= len(CUTOFFS) - i) for q in (0, 1)]
+            if at_most(hit[1], total[1], risk) > delta / len(strata):
+                break
+            best = max(best, (hit[0] / total[0] - hit[1] / total[1], cut))
+        if best[0] > 0:
+            out[lang] = best[1]
     return out
 
 
@@ -141,9 +140,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     """doc_id, the counts, base_failed and kept of every document."""
     measured = stored(counts(docs), "quality-counts")
     cutoffs = thresholds(measured, labels, risk, delta)
-    value = measures()
     rejected = F.lit(False)
-    for (lang, name), cut in cutoffs.items():
-        rejected = rejected | (F.col("lang").eqNullSafe(F.lit(lang)) & (value[name] >= cut))
+    for lang, cut in cutoffs.items():
+        rejected = rejected | (F.col("lang").eqNullSafe(F.lit(lang)) & (score() >= cut))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))

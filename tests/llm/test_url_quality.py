@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import quality, url_filter
 
@@ -78,3 +79,17 @@ def test_exact_binomial():
     assert abs(quality.at_most(0, 10, 0.1) - 0.9**10) < 1e-12
     assert abs(quality.at_most(1, 3, 0.5) - 0.5) < 1e-12
     assert quality.at_most(5, 5, 0.2) == 1.0
+
+
+def test_quality_cutoff_is_certified_and_bites(spark):
+    plain, noisy = " ".join(f"word{i}" for i in range(80)), " ".join(f"w{i}#####" for i in range(80))
+    rows = [(i, plain, "en", 1) for i in range(300)] + [(300 + i, noisy, "en", 0) for i in range(40)]
+    rows += [(400 + i, plain, None, 1) for i in range(30)] + [(430 + i, noisy, None, 0) for i in range(10)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int")
+    assert set(quality.thresholds(quality.counts(docs), labels)) == {"en"}  # too few labels in the other
+    kept = {r["doc_id"] for r in quality.judge(docs, labels).where("kept").collect()}
+    assert kept == {r[0] for r in rows} - set(range(300, 340))
+    # good documents like the bad ones beyond the risk: the sequence ends before its first cutoff
+    mixed = labels.withColumn("quality", F.expr("if(doc_id between 300 and 320, 1, quality)"))
+    assert quality.thresholds(quality.counts(docs), mixed) == {}
