@@ -1,138 +1,82 @@
 """Katz backoff language model: Good-Turing discounts and exact backoff mass.
 
-Tokens are lower-cased (A-Z) words and one end per text; the first token of a
-text has a start context. Tables, each hash-partitioned on its key and written
-to the shared folder:
-
-* ``unigrams`` (w, c): training counts; what the discounts free is the
-  probability of one class of unknown words.
-* ``pairs`` (v, w, c): training counts of pairs.
-* ``contexts`` (v, cv, log10_alpha): how often v is a context, and the mass
-  that its discounts free, divided by the unigram mass of all words not seen
-  after v, so that the probabilities after every context sum to one exactly.
-
-A token is evaluated recursively: its pair if that was seen, else its
-context's backoff weight (1 for unseen contexts) and its unigram, else the
-unknown class. Counts of 1 to ``K`` are discounted by Good-Turing; where the
-counts of counts give no usable discount (too few of them), half a count is
-taken off. Larger counts give up ``SPARE`` of one count, so every context
-keeps some mass to back off with.
-
-Words are known by 63-bit hashes, set negative. The at most ``FREQUENT`` most
-frequent training words have a small code instead, and the at most
-``FREQUENT_PAIRS`` most frequent pairs of such words are listed. Counts,
-backoff weights and listed pairs of that bounded size go to every task, which
-values their tokens where it reads them; so no row of a frequent word, context
-or pair is shuffled. What needs another count becomes a row: of each document
-one per other pair, joined to the table of pairs on both words, and one per
-rare word. In a training document a pair that no other document has occurs as
-often as it does there, so the joined table leaves such pairs out.
+Tokens are lower-cased (A-Z) words and one end per text, after ``order - 1``
+start symbols. An n-gram is known by a 64-bit hash that is built token by
+token, so the hash of its context is the hash one token before.
+
+The documents are dealt to blocks of a few MB. Every block sends its distinct
+n-grams of each order with their counts to key ranges (``groupBy`` on order
+and range), where the counts of all blocks are added: an n-gram, however
+frequent, moves once a block. The answers go back to the blocks, in the order
+of what was sent. Two tables, partitioned by key range, make up the model:
+
+* ``counts``: the training counts of the n-grams of every order;
+* ``contexts``: of every context its denominator and log10 backoff weight: the
+  mass that its discounts free, divided by the lower-order mass of the words
+  not seen after it, so that the probabilities after it sum to one exactly.
+
+A token is evaluated recursively: its unigram (the unknown class if never
+seen), then for each higher order the discounted n-gram if that was seen, else
+the backoff weight of its context (one if unseen) times what the order below
+gives. Counts of 1 to ``K`` are discounted by Good-Turing; where the counts of
+counts give no usable discount (too few of them), half a count is taken off.
+Larger counts stay whole, as Katz has them. A context without a count of
+``K`` or less would free nothing; its denominator is one more than its count,
+so some mass is left to back off with (likewise the unknown class).
 
 Edge cases: null and empty texts are a single end token; with no training
-documents every token is unknown with probability one; equal doc_ids are
-added together (one result row); an empty table gives an empty result; further
-columns are ignored.
+documents every token is unknown with probability one; every row has a result
+row of its own, equal doc_ids included; an empty table gives an empty result;
+further columns are ignored. Hashes aren't verified: among 10**9 distinct
+n-grams the chance that any two share one is 3 %.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, stored
+from .common import Words, stored
 
 K = 5
-SPARE = 0.01
-FREQUENT = 1 << 18
-FREQUENT_PAIRS = 1 << 18
-SUMS, PAIR, WORD, HELD = 0, 1, 2, 3
-END, START = np.int64(1), np.int64(2)
+ORDER = 2
+BLOCK_BYTES = 4 << 20  # text that a block has, about
+RANGE_KEYS = 2_000_000  # n-grams that the blocks send to a key range, about
+END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
+SENT = "order int, range int, block long, keys binary, counts binary"
 
 
-class Codes:
-    """Codes of word hashes: of a frequent word its rank from 3 on, else the
-    hash with its sign bit set."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        rank = np.empty(len(hashes), np.int64)
-        rank[np.lexsort((hashes, -counts))] = np.arange(len(hashes)) + 3
-        by = np.argsort(hashes)
-        self.hashes, self.ranks = hashes[by], rank[by]
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return hashes
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.ranks[at], hashes)
-
-
-def _tokens(texts: list[bytes], codes: Codes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, tokens and text numbers of all texts in turn."""
+def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of the texts' tokens in turn, starts included: the hash of the k-gram
+    that ends there (one array for each k), the text, and whether it is a
+    start."""
     words = Words(texts)
-    count = words.count + 1
-    ends = np.cumsum(count) - 1
-    w = np.empty(int(count.sum()), np.int64)
-    inner = np.ones(len(w), bool)
-    inner[ends] = False
-    hashes = (words.key | np.uint64(1 << 63)).view(np.int64)
-    if codes is not None:
-        distinct, at = np.unique(hashes, return_inverse=True)
-        hashes = codes.of(distinct)[at]
-    w[inner], w[ends] = hashes, END
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[ends - count + 1] = START
-    return v, w, np.repeat(np.arange(len(texts)), count)
-
-
-def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal tuples together, and where each begins. (By
-    a hash: two tuples with one hash may alternate, and their parts add up.)"""
-    mixed = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        mixed = (mixed ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    order = np.argsort(mixed)
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
-    return order, np.flatnonzero(new)
-
-
-def pairs(docs: DataFrame, codes) -> DataFrame:
-    """v, w, c (training count), docs (2 if in several documents) of the pairs
-    of every part of the documents; ``codes``: a broadcast of Codes."""
-
-    def run(batches):
-        for batch, texts in chunks(batches, most=2 << 20):
-            v, w, doc = _tokens(texts, codes.value)
-            learn = np.array(batch.column("learn").to_pylist(), bool)
-            order, first = _groups(v, w)
-            doc = doc[order]
-            c = np.add.reduceat(learn[doc].astype(np.int64), first)
-            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            at = order[first]
-            by = np.argsort(v[at])  # equal contexts side by side: rows compress
-            at, c, several = at[by], c[by], several[by]
-            yield pa.record_batch([pa.array(v[at]), pa.array(w[at]), pa.array(c), pa.array(several + np.int64(1))], ["v", "w", "c", "docs"])
-
-    return docs.select("learn", "text").mapInArrow(run, "v long, w long, c long, docs long")
-
-
-def words(docs: DataFrame) -> DataFrame:
-    """w and n: counts of the tokens of every part of the documents."""
-
-    def run(batches):
-        for _, texts in chunks(batches, most=8 << 20):
-            keys, n = np.unique(_tokens(texts)[1], return_counts=True)
-            yield pa.record_batch([pa.array(keys), pa.array(n)], ["w", "n"])
-
-    return docs.select("text").mapInArrow(run, "w long, n long")
+    pad = max(order - 1, 1)
+    size = words.count + pad + 1
+    stop = np.cumsum(size)
+    token = np.empty(int(stop[-1]) if len(size) else 0, np.uint64)
+    start = np.zeros(len(token), bool)
+    for k in range(pad):
+        start[stop - size + k] = True
+    inner = ~start
+    inner[stop - 1] = False
+    token[start], token[stop - 1], token[inner] = START, END, _mix(words.key)
+    found = [token]
+    for k in range(2, order + 1):
+        before = np.concatenate((np.zeros(1, np.uint64), found[-1][:-1]))
+        found.append(_mix(before * np.uint64(0x9E3779B97F4A7C15) + token + np.uint64(k)))
+    return found, np.repeat(np.arange(len(texts)), size), start
 
 
 def discounts(counts: dict[int, int], k: int = K) -> list[float]:
@@ -146,201 +90,330 @@ def discounts(counts: dict[int, int], k: int = K) -> list[float]:
     return out
 
 
-def _discounted(c: Column, d: list[float]) -> Column:
-    """Count after the discount."""
-    out = c - SPARE
-    for r, rate in enumerate(d, 1):
-        out = F.when(c == r, r * rate).otherwise(out)
-    return out
-
-
-def _left(c: np.ndarray, d: list[float]) -> np.ndarray:
-    """Like ``_discounted``, for arrays."""
-    return np.where(c <= len(d), c * np.array([0.0, *d])[np.minimum(c, len(d))], c - SPARE)
-
-
-class Known:
-    """What every task gets: codes; by code the count, log10 probability and
-    backoff weight of frequent words; frequent pairs with their counts."""
-
-    def __init__(self, codes: Codes, counts: np.ndarray, unigram: np.ndarray, alpha: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        self.codes, self.counts, self.unigram, self.alpha = codes, counts, unigram, alpha
-        order = np.argsort(pairs)
-        self.pairs, self.pair_counts = pairs[order], pair_counts[order]
-
-    def count(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Training counts of pairs of frequent words (0: not listed)."""
-        key = v * len(self.counts) + w
-        if not len(self.pairs):
-            return np.zeros(len(key), np.int64)
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.where(self.pairs[at] == key, self.pair_counts[at], 0)
+def left(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts after the discount."""
+    rate = np.append(np.array([1.0, *d]), 1.0)
+    return c * rate[np.minimum(c, len(d) + 1)]
 
 
 class Model:
-    def __init__(self, known, rare: DataFrame, pairs: DataFrame, contexts: DataFrame, tokens: int, types: int, d1: list[float], d2: list[float], log10_unknown: float):
-        self.known, self.rare, self.pairs, self.contexts = known, rare, pairs, contexts
-        self.tokens, self.types, self.d1, self.d2, self.log10_unknown = tokens, types, d1, d2, log10_unknown
-
-
-def _attached(table: DataFrame, frequent: DataFrame, rare: DataFrame, key: str) -> DataFrame:
-    """Left join on a code: of frequent words (FREQUENT at most) by broadcast,
-    of the others by a shuffle."""
-    return table.where(F.col(key) >= 0).join(F.broadcast(frequent), key, "left").unionByName(table.where(F.col(key) < 0).join(rare, key, "left"))
-
-
-def _counts_of_counts(table: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in table.where(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()}
-
+    """Tables, and the few numbers that all tasks need: ranges, order, tokens,
+    types, discounts of each order, and the denominator of unigrams."""
+
+    def __init__(self, counts: DataFrame, contexts: DataFrame | None, ranges: int, order: int, tokens: int, types: int, discount: list[list[float]], freed: float):
+        self.counts, self.contexts, self.ranges, self.order = counts, contexts, ranges, order
+        self.tokens, self.types, self.discount = tokens, types, discount
+        self.total = max(tokens if freed > 0 else tokens + 1, 1)
+        self.unknown = freed / self.total if freed > 0 else 1 / self.total
+
+    def numbers(self):
+        return self.ranges, self.order, self.tokens, self.types, self.discount, self.total, self.unknown
+
+
+def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (learn, text) as a table with a row number and a block of about
+    ``BLOCK_BYTES``, and the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    row = F.monotonically_increasing_id()
+    number = max(1, -(-int(total) // BLOCK_BYTES))
+    return stored(docs.withColumn("row", row).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(number))), "lm-blocks"), int(total)
+
+
+def _texts(frame: pd.DataFrame) -> list[bytes]:
+    return [(t or "").encode() for t in frame["text"]]
+
+
+def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, their weights added, and where each input went."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0], back
+
+
+def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each key range begins in sorted keys, and the end."""
+    bound = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
+    return np.append(np.searchsorted(keys, bound), len(keys))
+
+
+def _rows(order: int, block: int, ranges: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    cut = _cut(keys, ranges)
+    for r in range(ranges):
+        if cut[r] < cut[r + 1]:
+            yield order, r, block, *(c[cut[r] : cut[r + 1]].tobytes() for c in (keys, *columns))
+
+
+def _context(found: list[np.ndarray], k: int, at: np.ndarray) -> np.ndarray:
+    """Contexts of the k-grams that end at these places."""
+    return found[k - 2][at - 1]
+
+
+def sent(docs: DataFrame, ranges: int, order: int, learn_only: bool) -> DataFrame:
+    """What blocks ask about: their distinct n-grams, with their counts in
+    training documents. Order 0 are the starts, counted as contexts."""
+
+    def run(key, frame):
+        if learn_only:
+            frame = frame[frame["learn"]]
+        learn = frame["learn"].to_numpy(bool)
+        found, doc, start = grams(_texts(frame), order)
+        weight = learn[doc].astype(np.int64)
+        at = np.flatnonzero(~start)
+        out = []
+        for k in range(1, order + 1):
+            keys, n, _ = _distinct(found[k - 1][at], weight[at])
+            out += _rows(k, int(key[0]), ranges, keys, n.astype(np.uint32))
+        first = np.flatnonzero(start & ~np.append(start[1:], True))  # the last start of each text
+        for k in range(1, order):
+            keys, n, _ = _distinct(found[k - 1][first], weight[first])
+            out += _rows(0, int(key[0]), ranges, keys, n.astype(np.uint32))
+        return pd.DataFrame(out, columns=["order", "range", "block", "keys", "counts"])
+
+    return docs.select("block", "row", "learn", "text").groupBy("block").applyInPandas(run, SENT)
+
+
+def _counted(order: int, place: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """The counts of a key range (block -1), and the answer to every block:
+    counts of what it sent, negative where another block answers for it."""
+    frame = frame.sort_values("block", kind="stable")
+    keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+    size = np.array([len(x) for x in keys])
+    all_keys = np.concatenate(keys)
+    by = np.argsort(all_keys, kind="stable")
+    new = np.ones(len(by), bool)
+    new[1:] = all_keys[by][1:] != all_keys[by][:-1]
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
+    total = np.add.reduceat(n[by], np.flatnonzero(new))
+    answer = np.empty(len(by), np.int64)
+    answer[by] = np.where(new, 1, -1) * total[np.cumsum(new) - 1]
+    cut = np.cumsum(size)[:-1]
+    found = [(order, place, int(b), b"", a.tobytes()) for b, a in zip(frame["block"], np.split(answer, cut))]
+    return pd.DataFrame([(order, place, -1, all_keys[by][new].tobytes(), total.tobytes()), *found], columns=["order", "range", "block", "keys", "counts"])
+
+
+def count(docs: DataFrame, ranges: int, order: int) -> DataFrame:
+    return sent(docs, ranges, order, True).groupBy("order", "range").applyInPandas(lambda key, frame: _counted(int(key[0]), int(key[1]), frame), SENT)
+
+
+def _spectrum(counts: DataFrame) -> dict[int, tuple[int, int, dict[int, int]]]:
+    """By order: tokens, types, counts of the counts up to K + 1."""
+    names = ["tokens", "types", *[f"n{r}" for r in range(1, K + 2)]]
 
-def _threshold(table: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` rows reach."""
-    fine = 64
-    scale = F.when(F.col("c") < fine, F.col("c")).otherwise(fine - 6 + F.floor(F.log2("c"))).cast("int")
-    sizes = {r[0]: r[1] for r in table.where("c > 0").groupBy(scale.alias("scale")).agg(F.count("*")).collect()}
-    least, total = fine + 58, 0
-    while least > 1 and total + sizes.get(least - 1, 0) <= most:
-        least -= 1
-        total += sizes.get(least, 0)
-    return least if least <= fine else 1 << (least - fine + 6)
-
-
-def fit(docs: DataFrame, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> Model:
-    """Model of the documents (doc, text, learn) whose ``learn`` is true
-    (all without that column)."""
-    spark = docs.sparkSession
+    def run(batches):
+        for batch in batches:
+            out = []
+            for order, blob in zip(batch["order"], batch["counts"]):
+                c = np.frombuffer(blob, np.int64)
+                few = np.bincount(c[c <= K + 1], minlength=K + 2)
+                out.append((int(order), int(c.sum()), len(c), *few[1:].tolist()))
+            yield pd.DataFrame(out, columns=["order", *names])
+
+    table = counts.select("order", "counts").mapInPandas(run, ", ".join(["order int", *[f"{n} long" for n in names]]))
+    rows = table.groupBy("order").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    return {r["order"]: (r["tokens"], r["types"], {k: r[f"n{k}"] for k in range(1, K + 2)}) for r in rows}
+
+
+def _answers(frame: pd.DataFrame, order: int, column: str, dtype) -> np.ndarray:
+    """What the key ranges said about the keys of one order, in key order."""
+    some = frame[frame["order"] == order].sort_values("range", kind="stable")
+    return np.concatenate([np.frombuffer(x, dtype) for x in some[column]]) if len(some) else np.zeros(0, dtype)
+
+
+def _masses(docs: DataFrame, answers: DataFrame, lower: DataFrame | None, model: Model, k: int) -> DataFrame:
+    """What the blocks know of the contexts of k-grams: keys, discounted
+    counts, counts, and lower-order probabilities of the words seen, each seen
+    k-gram in one block only. ``lower``: answers on the denominators of the
+    contexts of (k - 1)-grams."""
+    ranges, order, tokens, types, discount, total, _ = model.numbers()
+
+    def run(key, docs, told):
+        has = told["counts"].notna()
+        answers, low = told[has], told[~has]
+        docs = docs[docs["learn"]]
+        found, doc, start = grams(_texts(docs), order)
+        at = np.flatnonzero(~start)
+        if not len(at):
+            return pd.DataFrame([], columns=["order", "range", "block", "keys", "sums"])
+        keys, first = np.unique(found[k - 1][at], return_index=True)
+        c = _answers(answers, k, "counts", np.int64)
+        own = np.flatnonzero(c > 0)
+        place, c = at[first[own]], c[own]
+        below, back = np.unique(found[k - 2][at], return_inverse=True)
+        cb = np.abs(_answers(answers, k - 1, "counts", np.int64))[back[first[own]]]
+        if k == 2:
+            p = left(cb, discount[1]) / total
+        else:
+            contexts, back = np.unique(_context(found, k - 1, at), return_inverse=True)
+            p = left(cb, discount[k - 1]) / _answers(low, k - 1, "values", np.float64).reshape(-1, 2)[back[first[own]], 0]
+        kept = left(c, discount[k])
+        context = _context(found, k, place)
+        by = np.argsort(context)
+        new = np.ones(len(by), bool)
+        new[1:] = context[by][1:] != context[by][:-1]
+        head = np.flatnonzero(new)
+        sums = np.stack([np.add.reduceat(x[by], head) for x in (c.astype(float), c - kept, p)], 1) if len(head) else np.zeros((0, 3))
+        return pd.DataFrame(list(_rows(k, int(key[0]), ranges, context[by][new], sums)), columns=["order", "range", "block", "keys", "sums"])
+
+    layout = "order int, range int, block long, keys binary, sums binary"
+    empty = F.lit(None).cast("binary")
+    both = answers.select("block", "order", "range", "counts", empty.alias("values"))
+    if lower is not None:
+        both = both.unionByName(lower.select("block", "order", "range", empty.alias("counts"), "values"))
+    return docs.select("block", "row", "learn", "text").groupBy("block").cogroup(both.groupBy("block")).applyInPandas(run, layout)
+
+
+def _weights(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Denominator and log10 backoff weight of the contexts of a key range."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
+    sums = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, 3) for x in frame["sums"]])
+    by = np.argsort(keys)
+    new = np.ones(len(by), bool)
+    new[1:] = keys[by][1:] != keys[by][:-1]
+    c, freed, seen = np.add.reduceat(sums[by], np.flatnonzero(new), axis=0).T
+    none = freed <= 0
+    total, freed = c + none, np.where(none, 1.0, freed)
+    values = np.stack([total, np.log10(freed / total) - np.log10(np.maximum(1 - seen, 1e-300))], 1)
+    return pd.DataFrame([(int(key[0]), int(key[1]), keys[by][new].tobytes(), values.tobytes())], columns=["order", "range", "keys", "values"])
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """Model of the documents (text, learn) whose ``learn`` is true (all
+    without that column); ``order`` 2 or more is the longest n-gram."""
     if "learn" not in docs.columns:
         docs = docs.withColumn("learn", F.lit(True))
-    counted = stored(words(docs.where("learn")).groupBy("w").agg(F.sum("n").alias("c")), "unigram-counts")
-    total, types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    d1 = discounts(_counts_of_counts(counted))
-    known = counted.agg(F.coalesce(F.sum(_discounted(F.col("c"), d1)), F.lit(0.0))).first()[0] / max(total, 1)
-    unknown = math.log10(max(1 - known, 1e-300)) if total else 0.0
-    least = _threshold(counted.where("w < 0"), frequent)
-    top = counted.where((F.col("w") < 0) & (F.col("c") >= least)).toPandas()
-    codes = Codes(top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
-    # by code; the start is a context as often as there are ends
-    counts = np.zeros(len(top) + 3, np.int64)
-    counts[codes.ranks] = top["c"].to_numpy(np.int64)[np.argsort(top["w"].to_numpy(np.int64))]
-    counts[[END, START]] = counted.where("w >= 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rare = counted.where((F.col("w") < 0) & (F.col("c") < least)).select("w", F.col("c").alias("cw"))
-    frequent_words = spark.createDataFrame(pa.table({"w": np.arange(len(counts)), "cw": counts}))
-    shared = spark.sparkContext.broadcast(codes)
-    table = stored(pairs(docs, shared).groupBy("v", "w").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where("c > 0"), "pair-counts")
-    d2 = discounts(_counts_of_counts(table))
-
-    left, p = _discounted(F.col("c"), d2), _discounted(F.col("cw"), d1) / float(max(total, 1))
-    sums = _attached(table, frequent_words, rare, "w").groupBy("v").agg(F.sum("c").alias("cv"), F.sum(left).alias("left"), F.sum(p).alias("seen"))
-    alpha = F.log10((1 - F.col("left") / F.col("cv")) / F.greatest(1 - F.col("seen"), F.lit(1e-300)))
-    contexts = stored(sums.select("v", "cv", alpha.alias("log10_alpha")), "contexts")
-    found = contexts.where("v >= 0").toPandas()
-    weights = np.zeros(len(counts))
-    weights[found["v"].to_numpy(np.int64)] = found["log10_alpha"].to_numpy(float)
-    unigram = np.log10(np.maximum(_left(counts, d1), 1e-300) / max(total, 1))
-    unigram[counts == 0] = unknown
-
-    between = table.where("v >= 0 and w >= 0")
-    enough = _threshold(between, frequent_pairs)
-    listed = (F.col("v") >= 0) & (F.col("w") >= 0) & (F.col("c") >= enough)
-    top = table.where(listed).select((F.col("v") * len(counts) + F.col("w")).alias("pair"), "c").toPandas()
-    known = Known(codes, counts, unigram, weights, top["pair"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
-    return Model(spark.sparkContext.broadcast(known), rare, table.where(~listed), contexts.where("v < 0"), total, types, d1, d2, unknown)
-
-
-def _rows(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document (doc, learn, text) the sums of what tasks know, and what
-    must be joined. kind SUMS: n tokens, m known ones, base a, score b; PAIR:
-    a pair of a training document, or of frequent words with log10 of 1/cv (a)
-    and its backoff value (b); WORD: a rare word of a training document as
-    token (n) and as context (m); HELD: a pair of another document with a rare
-    word, with log10 of the unigram (a), backoff weight (b) and context count
-    (e) where known."""
-    shared, d2 = model.known, model.d2
-    scale = float(model.tokens + model.types + 1)
+    table, size = blocks(docs.select("learn", "text"))
+    return _fit(table, size, order)
+
+
+def _fit(table: DataFrame, size: int, order: int) -> Model:
+    ranges = max(32, size // 6 // RANGE_KEYS)
+    counted = stored(count(table, ranges, order), "lm-counts")
+    counts, answers = counted.where("block < 0").drop("block"), counted.where("block >= 0").select("block", "order", "range", "counts")
+    spectrum = _spectrum(counts.where("order > 0"))
+    tokens, types, _ = spectrum.get(1, (0, 0, {}))
+    discount = [[], *[discounts(spectrum[k][2]) if k in spectrum else [0.5] * K for k in range(1, order + 1)]]
+    few = spectrum[1][2] if 1 in spectrum else {}
+    freed = sum(n * r * (1 - discount[1][r - 1]) for r, n in few.items() if r <= K)
+    model = Model(counts, None, ranges, order, tokens, types, discount, freed)
+    contexts: list[DataFrame] = []
+    for k in range(2, order + 1):
+        lower = _told(_asked(table, model, [k - 1], True), contexts[-1], ranges) if k > 2 else None
+        sums = _masses(table, answers, lower, model, k)
+        contexts.append(stored(sums.groupBy("order", "range").applyInPandas(_weights, "order int, range int, keys binary, values binary"), "lm-contexts"))
+    model.contexts = contexts[0]
+    for more in contexts[1:]:
+        model.contexts = model.contexts.unionByName(more)
+    return model
+
+
+def _asked(docs: DataFrame, model: Model, orders: list[int], learn_only: bool = False) -> DataFrame:
+    """The contexts of k-grams that blocks ask about."""
+    ranges, order = model.ranges, model.order
+
+    def run(key, frame):
+        if learn_only:
+            frame = frame[frame["learn"]]
+        found, doc, start = grams(_texts(frame), order)
+        at = np.flatnonzero(~start)
+        out = [row for k in orders for row in _rows(k, int(key[0]), ranges, np.unique(_context(found, k, at)))]
+        return pd.DataFrame(out, columns=["order", "range", "block", "keys"])
+
+    return docs.select("block", "row", "learn", "text").groupBy("block").applyInPandas(run, "order int, range int, block long, keys binary")
+
+
+def _looked_up(frame: pd.DataFrame, table: pd.DataFrame, column: str, dtype, width: int) -> list[bytes]:
+    """For every row's keys the table's values (zeros: not there)."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"]]) if len(table) else np.zeros(0, np.uint64)
+    values = np.concatenate([np.frombuffer(x, dtype).reshape(-1, width) for x in table[column]]) if len(table) else np.zeros((0, width), dtype)
+    by = np.argsort(keys)
+    keys, values = keys[by], np.concatenate((values[by], np.zeros((1, width), dtype)))
+    out = []
+    for blob in frame["keys"]:
+        wanted = np.frombuffer(blob, np.uint64)
+        at = np.searchsorted(keys, wanted)
+        there = at < len(keys)
+        there[there] = keys[at[there]] == wanted[there]
+        out.append(values[np.where(there, at, len(keys))].tobytes())
+    return out
 
-    def run(batches):
-        known = shared.value
-        log_counts = np.log10(np.maximum(known.counts, 1))
-        base = np.log10((known.counts + 1) / scale)
-        for batch, texts in chunks(batches, most=1 << 20):
-            v, w, doc = _tokens(texts, known.codes)
-            ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-            learning = np.array(batch.column("learn").to_pylist(), bool)
-            order, first = _groups(v, w, doc)
-            n = np.diff(np.append(first, len(order)))
-            v, w, doc = (x[order[first]] for x in (v, w, doc))
-            many = len(known.counts)
-            by = np.argsort(doc * (many + 1) + np.where(v >= 0, v, many))  # rows compress
-            v, w, doc, n = v[by], w[by], doc[by], n[by]
-            learn, fv, fw = learning[doc], v >= 0, w >= 0
-            cv, cw = np.where(fv, v, 0), np.where(fw, w, 0)
-            both = fv & fw
-            c = np.where(both, known.count(cv, cw), 0)
-            hit = c > 0
-            per = lambda x: np.bincount(doc, weights=x, minlength=len(texts))
-            score = np.where(hit, np.log10(np.maximum(_left(c, d2), 1e-300)), 0.0) - np.where(fv & (learn | hit), log_counts[cv], 0.0)
-            sums = [per(n), per(n * np.where(fw, known.counts[cw] > 0, learn)), per(n * np.where(fw, base[cw], 0.0)), per(n * score)]
-            none = lambda k: pa.nulls(k, pa.float64())
-            some = lambda x, ok: pa.array(x, mask=~ok)
-
-            def out(kind, doc, v, w, n, m, a, b, e):
-                size = len(doc)
-                return pa.record_batch([pa.array(np.full(size, kind, np.int8)), pa.array(ids[doc]), pa.array(v), pa.array(w), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), a, b, e], ["kind", "doc", "v", "w", "n", "m", "a", "b", "e"])
-
-            every, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
-            yield out(SUMS, every, zero, zero, sums[0], sums[1], pa.array(sums[2]), pa.array(sums[3]), none(len(texts)))
-            at = np.flatnonzero(~hit & (learn | both))
-            held = ~learn[at]
-            seen, back = -log_counts[cv[at]], known.alpha[cv[at]] + known.unigram[cw[at]]
-            yield out(PAIR, doc[at], v[at], w[at], n[at], np.zeros(len(at)), some(seen, held), some(back, held), none(len(at)))
-            word, context = np.flatnonzero(learn & ~fw), np.flatnonzero(learn & ~fv)
-            rare = np.concatenate([w[word], v[context]])
-            owner = np.concatenate([doc[word], doc[context]])
-            times = np.concatenate([n[word], np.zeros(len(context), np.int64)])
-            before = np.concatenate([np.zeros(len(word), np.int64), n[context]])
-            order, first = _groups(rare, owner)
-            if len(order):
-                times, before = np.add.reduceat(times[order], first), np.add.reduceat(before[order], first)
-                yield out(WORD, owner[order[first]], rare[order[first]], rare[order[first]], times, before, none(len(first)), none(len(first)), none(len(first)))
-            at = np.flatnonzero(~learn & ~both)
-            yield out(HELD, doc[at], v[at], w[at], n[at], np.zeros(len(at)), some(known.unigram[cw[at]], fw[at]), some(known.alpha[cv[at]], fv[at]), some(log_counts[cv[at]], fv[at]))
-
-    return docs.select("doc", "learn", "text").mapInArrow(run, "kind tinyint, doc long, v long, w long, n long, m long, a double, b double, e double")
-
-
-def score(docs: DataFrame, model: Model, new: bool = True) -> DataFrame:
-    """doc, n_tokens, n_known, base_score, score of every document (doc,
-    text). Without ``new`` they are the documents of ``fit`` (doc, text,
-    learn)."""
-    if new:
-        docs = docs.select("doc", "text", F.lit(False).alias("learn"))
-    rows = stored(_rows(docs, model), "token-rows")
-    kind = lambda k: rows.where(F.col("kind") == k)
-    nothing = F.lit(0).cast("long")
-    summed = kind(SUMS).select("doc", F.col("n").alias("n_tokens"), F.col("m").alias("n_known"), F.col("a").alias("base_score"), F.col("b").alias("score"))
-
-    several = model.pairs.where(F.lit(new) | (F.col("docs") > 1)).select("v", "w", "c")
-    own = F.when(F.col("b").isNull(), F.col("n")).otherwise(0)
-    pair = kind(PAIR).select("doc", "v", "w", "n", "a", "b").join(several, ["v", "w"], "left").withColumn("c", F.coalesce("c", own))
-    value = F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), model.d2)) + F.coalesce("a", F.lit(0.0))).otherwise(F.col("b"))
-    pair = pair.select("doc", nothing.alias("n_tokens"), nothing.alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("n") * value).alias("score"))
-
-    base = F.log10((F.coalesce("cw", F.lit(0)) + 1) / F.lit(float(model.tokens + model.types + 1)))
-    word = kind(WORD).select("doc", "w", "n", "m").join(model.rare, "w", "left")
-    word = word.select("doc", nothing.alias("n_tokens"), nothing.alias("n_known"), (F.col("n") * base).alias("base_score"), (-F.col("m") * F.log10("cw")).alias("score"))
-
-    held = kind(HELD).select("doc", "v", "w", "n", "a", "b", "e").join(several, ["v", "w"], "left").join(model.rare, "w", "left").join(model.contexts, "v", "left")
-    unigram = F.coalesce("a", F.log10(_discounted(F.col("cw"), model.d1) / float(max(model.tokens, 1))), F.lit(float(model.log10_unknown)))
-    back = F.coalesce("b", "log10_alpha", F.lit(0.0)) + unigram
-    value = F.when(F.col("c") > 0, F.log10(_discounted(F.col("c"), model.d2)) - F.coalesce("e", F.log10("cv"))).otherwise(back)
-    rare = F.col("w") < 0
-    held = held.select(
-        "doc",
-        nothing.alias("n_tokens"),
-        F.when(rare & F.col("cw").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
-        F.when(rare, F.col("n") * base).otherwise(0.0).alias("base_score"),
-        (F.col("n") * value).alias("score"),
-    )
-    every = summed.unionByName(pair).unionByName(word).unionByName(held)
-    return every.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+
+def _told(asked: DataFrame, contexts: DataFrame, ranges: int) -> DataFrame:
+    def run(key, frame, table):
+        values = _looked_up(frame, table, "values", np.float64, 2)
+        return pd.DataFrame({"block": frame["block"].to_numpy(np.int64), "order": int(key[0]), "range": int(key[1]), "values": values})
+
+    return asked.groupBy("order", "range").cogroup(contexts.groupBy("order", "range")).applyInPandas(run, "block long, order int, range int, values binary")
+
+
+def _known(docs: DataFrame, model: Model) -> DataFrame:
+    """Training counts of what the blocks ask about."""
+
+    def run(key, frame, table):
+        counts = _looked_up(frame, table, "counts", np.int64, 1)
+        return pd.DataFrame({"block": frame["block"].to_numpy(np.int64), "order": int(key[0]), "range": int(key[1]), "counts": counts})
+
+    asked = sent(docs, model.ranges, model.order, False).where("order > 0").drop("counts")
+    return asked.groupBy("order", "range").cogroup(model.counts.groupBy("order", "range")).applyInPandas(run, "block long, order int, range int, counts binary")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` but for ``text``, and n_tokens, n_known,
+    base_score, score of every row. ``docs`` must not have columns of these
+    names."""
+    table, _ = blocks(docs.withColumn("learn", F.lit(True)) if "learn" not in docs.columns else docs)
+    return _score(table, model, [c for c in docs.columns if c != "text"])
+
+
+def _score(table: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    ranges, order = model.ranges, model.order
+    empty = F.lit(None).cast("binary")
+    counts = stored(_known(table, model), "lm-known")
+    told = _told(_asked(table, model, list(range(2, order + 1))), model.contexts, ranges)
+    told = counts.select("block", "order", "range", "counts", empty.alias("values")).unionByName(told.select("block", "order", "range", empty.alias("counts"), "values"))
+    numbers = model.numbers()
+
+    def run(key, docs, told):
+        has = told["counts"].notna()
+        parts = _evaluated(_texts(docs), told[has], told[~has], numbers)
+        out = docs[columns].copy()
+        for name, values in zip(("n_tokens", "n_known", "base_score", "score"), parts):
+            out[name] = values
+        return out
+
+    types_of = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    layout = ", ".join([*[f"`{c}` {types_of[c]}" for c in columns], "n_tokens long, n_known long, base_score double, score double"])
+    return table.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, layout)
+
+
+def _evaluated(texts: list[bytes], known: pd.DataFrame, told: pd.DataFrame, numbers) -> tuple[np.ndarray, ...]:
+    """Per text: tokens, known tokens, add-one score, backoff score."""
+    _, order, tokens, types, discount, total, unknown = numbers
+    found, doc, start = grams(texts, order)
+    at = np.flatnonzero(~start)
+    per = lambda x: np.bincount(doc[at], weights=x, minlength=len(texts))
+    of = lambda k: _answers(known, k, "counts", np.int64)[np.unique(found[k - 1][at], return_inverse=True)[1]]
+    c = of(1)
+    base = np.log10((c + 1) / (tokens + types + 1))
+    score = np.where(c > 0, np.log10(np.maximum(left(c, discount[1]), 1e-300) / total), math.log10(unknown))
+    n_known = c > 0
+    for k in range(2, order + 1):
+        c = of(k)
+        back = np.unique(_context(found, k, at), return_inverse=True)[1]
+        values = _answers(told, k, "values", np.float64).reshape(-1, 2)[back]
+        with np.errstate(divide="ignore"):
+            seen = np.log10(np.maximum(left(c, discount[k]), 1e-300)) - np.log10(np.maximum(values[:, 0], 1e-300))
+        score = np.where(c > 0, seen, values[:, 1] + score)  # an unseen context has weight one, log10 zero
+    return per(np.ones(len(at))).astype(np.int64), per(n_known).astype(np.int64), per(base), per(score)
+
+
+def fit_and_score(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
+    """Fit on the rows whose ``learn`` is true and score all rows; the
+    documents are dealt to blocks once."""
+    table, size = blocks(docs)
+    model = _fit(table, size, order)
+    return model, _score(table, model, [c for c in docs.columns if c != "text"])

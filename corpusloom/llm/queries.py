@@ -38,11 +38,9 @@ def op4_simhash(spark, sf_dir):
 
 
 def op5_katz(spark, sf_dir):
-    held = fold("doc", 7) == 2
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").withColumn("learn", ~held)
-    model = katz.fit(docs)
-    out = katz.score(docs, model, new=False)
-    return out.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    model, out = katz.fit_and_score(docs.withColumn("learn", ~F.col("held_out")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_line_dedup(spark, sf_dir):

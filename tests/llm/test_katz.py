@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from corpusloom.llm import katz
+from corpusloom.llm import katz, queries
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -16,63 +16,91 @@ def tokens(text):
     return [*WORD.findall(low), "END"]
 
 
-def brute(train, texts):
-    uni, bi = Counter(), Counter()
+def brute(train, texts, order):
+    grams = [Counter() for _ in range(order + 1)]
     for t in train:
-        w = tokens(t)
-        uni.update(w)
-        bi.update(zip(["START", *w], w))
-    total = sum(uni.values())
-    du, db = (katz.discounts(Counter(c.values())) for c in (uni, bi))
-    left = lambda c, d: c * d[c - 1] if c <= katz.K else c - katz.SPARE
-    p = {w: left(c, du) / total for w, c in uni.items()}
+        w = ["START"] * (order - 1) + tokens(t)
+        for i in range(order - 1, len(w)):
+            for k in range(1, order + 1):
+                grams[k][tuple(w[i - k + 1 : i + 1])] += 1
+    total, types = sum(grams[1].values()), len(grams[1])
+    d = [None] + [katz.discounts(Counter(g.values())) for g in grams[1:]]
+    left = lambda c, k: c * d[k][c - 1] if c <= katz.K else c
+    freed = sum(c - left(c, 1) for c in grams[1].values())
+    size = total if freed > 0 else total + 1
+    p = {w: left(c, 1) / max(size, 1) for (w,), c in grams[1].items()}
     unknown = 1 - sum(p.values())
-    after = defaultdict(dict)
-    for (v, w), c in bi.items():
-        after[v][w] = c
-    prob = {v: {w: left(c, db) / sum(ws.values()) for w, c in ws.items()} for v, ws in after.items()}
-    alpha = {v: (1 - sum(ps.values())) / (1 - sum(p[w] for w in ps)) for v, ps in prob.items()}
-    for v in list(prob)[:50]:
-        rest = sum(q for w, q in p.items() if w not in prob[v]) + unknown
-        assert math.isclose(sum(prob[v].values()) + alpha[v] * rest, 1, abs_tol=1e-9)
+    prob, alpha = {}, {}
+
+    def value(k, h, w):
+        if k == 1:
+            return p.get(w, unknown)
+        h = h[len(h) - k + 1 :]
+        if w in prob.get(h, {}):
+            return prob[h][w]
+        return alpha.get(h, 1.0) * value(k - 1, h, w)
+
+    for k in range(2, order + 1):
+        after = defaultdict(dict)
+        for gram, c in grams[k].items():
+            after[gram[:-1]][gram[-1]] = c
+        for h, ws in after.items():
+            n = sum(ws.values())
+            n += sum(c - left(c, k) for c in ws.values()) <= 0
+            got = {w: left(c, k) / n for w, c in ws.items()}
+            alpha[h] = (1 - sum(got.values())) / (1 - sum(value(k - 1, h, w) for w in ws))
+            prob[h] = got
+    for h in list(prob)[:: max(1, len(prob) // 40)]:
+        every = sum(value(order, ("?",) * order + h, w) for w in p) + value(order, ("?",) * order + h, "never seen")
+        assert math.isclose(every, 1, abs_tol=1e-9) or len(h) + 1 < order
     out = {}
     for doc, t in texts.items():
-        w = tokens(t)
-        score = base = 0.0
-        for a, b in zip(["START", *w], w):
-            q = prob.get(a, {}).get(b)
-            score += math.log10(q if q is not None else alpha.get(a, 1.0) * p.get(b, unknown))
-            base += math.log10((uni[b] + 1) / (total + len(uni) + 1))
-        out[doc] = (len(w), sum(uni[x] > 0 for x in w), base, score)
+        w = ["START"] * (order - 1) + tokens(t)
+        score = sum(math.log10(value(order, tuple(w[:i]), w[i])) for i in range(order - 1, len(w)))
+        own = w[order - 1 :]
+        base = sum(math.log10((grams[1][(x,)] + 1) / (total + types + 1)) for x in own)
+        out[doc] = (len(own), sum(grams[1][(x,)] > 0 for x in own), base, score)
     return out
 
 
-@pytest.mark.parametrize("real, frequent", [(False, katz.FREQUENT), (False, 3), (True, 500)])
-def test_scores(spark, sf, real, frequent):
+def same(got, want):
+    assert got.keys() == want.keys()
+    for doc, (n, known, base, score) in want.items():
+        r = got[doc]
+        assert (r["n_tokens"], r["n_known"]) == (n, known)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9), doc
+
+
+@pytest.mark.parametrize("real, order", [(False, 2), (False, 3), (False, 4), (True, 2), (True, 3)])
+def test_scores(spark, sf, real, order, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 100_000 if real else 40)
     if real:
-        df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as doc", "text", "lang as v", "source as w")
+        df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as doc", "text", "lang as v", "source as block")
     else:
         rows = ["the cat sat on the mat", "The cat sat", None, "", "the dog sat on the log on the mat", "x y z x y z x y z x y", "unknown words here the cat"] + ["a b"] * 9
         df = spark.createDataFrame(list(enumerate(rows)), "doc long, text string")
     train = df.where("doc % 3 <> 1")
-    model = katz.fit(train, frequent)
-    got = {r["doc"]: r for r in katz.score(df, model).collect()}
+    model = katz.fit(train, order)
+    got = {r["doc"]: r for r in katz.score(df.select("doc", "text"), model).collect()}
+    want = brute([r["text"] for r in train.collect()], {r["doc"]: r["text"] for r in df.collect()}, order)
+    same(got, want)
     both = df.selectExpr("doc", "text", "doc % 3 <> 1 as learn")
-    again = {r["doc"]: r for r in katz.score(both, katz.fit(both, frequent), new=False).collect()}
-    assert all(math.isclose(again[d]["score"], r["score"], rel_tol=1e-9) and again[d]["n_known"] == r["n_known"] for d, r in got.items())
-    want = brute([r["text"] for r in train.collect()], {r["doc"]: r["text"] for r in df.collect()})
-    assert got.keys() == want.keys()
-    for doc, (n, known, base, score) in want.items():
-        r = got[doc]
-        assert (r["n_tokens"], r["n_known"]) == (n, known)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9), doc
+    same({r["doc"]: r for r in katz.fit_and_score(both, order)[1].collect()}, want)
     if real:
         held = [d for d in want if d % 3 == 1]
         assert sum(want[d][3] for d in held) > sum(want[d][2] for d in held)
 
 
 def test_empty(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc long, text string")
+    df = spark.createDataFrame([(1, "a b"), (2, None), (2, "a")], "doc long, text string")
     model = katz.fit(df.limit(0))
-    assert {r["doc"]: (r["n_tokens"], r["n_known"], r["score"]) for r in katz.score(df, model).collect()} == {1: (3, 0, 0.0), 2: (1, 0, 0.0)}
+    assert sorted((r["doc"], r["n_tokens"], r["n_known"], r["score"]) for r in katz.score(df, model).collect()) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0), (2, 2, 0, 0.0)]
     assert katz.score(df.limit(0), katz.fit(df)).count() == 0
+
+
+def test_query(spark, sf):
+    out = queries.op5_katz(spark, sf)
+    assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = out.collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(rows) == len(docs) and {r["held_out"] for r in rows} == {True, False}
