@@ -8,7 +8,8 @@ The documents are dealt to blocks of a few MB. Every block sends its distinct
 n-grams of each order with their counts to key ranges (``groupBy`` on order
 and range), where the counts of all blocks are added: an n-gram, however
 frequent, moves once a block. The answers go back to the blocks, in the order
-of what was sent. Two tables, partitioned by key range, make up the model:
+of what was sent. Sorted keys move as packed differences, which halves the
+volume. Two tables, partitioned by key range, make up the model:
 
 * ``counts``: the training counts of the n-grams of every order;
 * ``contexts``: of every context its denominator and log10 backoff weight: the
@@ -26,7 +27,7 @@ so some mass is left to back off with (likewise the unknown class).
 
 Edge cases: null and empty texts are a single end token; with no training
 documents every token is unknown with probability one; every row has a result
-row of its own, equal doc_ids included; an empty table gives an empty result;
+row of its own, equal doc_ids included (fully equal rows share a block); an empty table gives an empty result;
 further columns are ignored. Hashes aren't verified: among 10**9 distinct
 n-grams the chance that any two share one is 3 %.
 """
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ from .common import Words, stored
 
 K = 5
 ORDER = 2
-BLOCK_BYTES = 4 << 20  # text that a block has, about
+BLOCK_BYTES = 8 << 20  # text that a block has, about
 RANGE_KEYS = 2_000_000  # n-grams that the blocks send to a key range, about
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
-SENT = "order int, range int, block long, keys binary, counts binary"
+SENT = "order int, range int, block long, keys binary, counts binary, values binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,13 +98,34 @@ def left(c: np.ndarray, d: list[float]) -> np.ndarray:
     return c * rate[np.minimum(c, len(d) + 1)]
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys: their differences, byte by byte, compressed."""
+    step = np.diff(keys, prepend=np.zeros(1, np.uint64))
+    return zstandard.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def opened(blob: bytes, dtype, width: int = 1) -> np.ndarray:
+    values = np.frombuffer(zstandard.decompress(blob), dtype)
+    return values.reshape(-1, width) if width > 1 else values
+
+
 class Model:
-    """Tables, and the few numbers that all tasks need: ranges, order, tokens,
-    types, discounts of each order, and the denominator of unigrams."""
+    """The tables ``counts`` (order, range, keys, counts) and ``contexts``
+    (order of the context, range, keys, values: denominator and log10 weight),
+    and the few numbers that all tasks need."""
 
-    def __init__(self, counts: DataFrame, contexts: DataFrame | None, ranges: int, order: int, tokens: int, types: int, discount: list[list[float]], freed: float):
-        self.counts, self.contexts, self.ranges, self.order = counts, contexts, ranges, order
-        self.tokens, self.types, self.discount = tokens, types, discount
+    def __init__(self, counts: DataFrame, ranges: int, order: int, tokens: int, types: int, discount: list[list[float]], freed: float):
+        self.counts, self.contexts = counts, None
+        self.ranges, self.order, self.tokens, self.types, self.discount = ranges, order, tokens, types, discount
         self.total = max(tokens if freed > 0 else tokens + 1, 1)
         self.unknown = freed / self.total if freed > 0 else 1 / self.total
 
@@ -111,93 +134,103 @@ class Model:
 
 
 def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` (learn, text) as a table with a row number and a block of about
-    ``BLOCK_BYTES``, and the bytes of all texts."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    row = F.monotonically_increasing_id()
-    number = max(1, -(-int(total) // BLOCK_BYTES))
-    return stored(docs.withColumn("row", row).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(number))), "lm-blocks"), int(total)
+    """``docs`` (learn, text, ...) with the block of every row, by a hash of
+    its columns, and the bytes of all texts."""
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    number = max(1, -(-total // BLOCK_BYTES))
+    hashed = [f"`{f.name}`" for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    return docs.withColumn("_block", F.pmod(F.xxhash64(*hashed), F.lit(number))), total
 
 
 def _texts(frame: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode() for t in frame["text"]]
 
 
-def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, their weights added, and where each input went."""
+def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their weights added."""
     order = np.argsort(keys)
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return keys[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0], back
+    return keys[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0]
 
 
-def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each key range begins in sorted keys, and the end."""
+def _rows(order: int, block: int, ranges: int, keys: np.ndarray, counts: np.ndarray | None = None, values: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows of SENT, one for each key range."""
     bound = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
-    return np.append(np.searchsorted(keys, bound), len(keys))
+    cut = np.append(np.searchsorted(keys, bound), len(keys))
+    some = lambda x, a, b: None if x is None else squeezed(x[a:b])
+    for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if a < b:
+            yield order, r, block, packed(keys[a:b]), some(counts, a, b), some(values, a, b)
 
 
-def _rows(order: int, block: int, ranges: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    cut = _cut(keys, ranges)
-    for r in range(ranges):
-        if cut[r] < cut[r + 1]:
-            yield order, r, block, *(c[cut[r] : cut[r + 1]].tobytes() for c in (keys, *columns))
+def _frame(rows) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["order", "range", "block", "keys", "counts", "values"])
 
 
-def _context(found: list[np.ndarray], k: int, at: np.ndarray) -> np.ndarray:
-    """Contexts of the k-grams that end at these places."""
-    return found[k - 2][at - 1]
+def _places(start: np.ndarray, k: int, order: int) -> np.ndarray:
+    """Where the k-grams end that a block needs: at every token, and, if
+    contexts have k tokens, at the last start."""
+    if k == order:
+        return np.flatnonzero(~start)
+    return np.flatnonzero(~start | np.append(~start[1:], False))
 
 
-def sent(docs: DataFrame, ranges: int, order: int, learn_only: bool) -> DataFrame:
-    """What blocks ask about: their distinct n-grams, with their counts in
-    training documents. Order 0 are the starts, counted as contexts."""
+def sent(docs: DataFrame, ranges: int, order: int) -> DataFrame:
+    """The distinct n-grams of every block, with their counts in training
+    documents (starts count nothing)."""
 
     def run(key, frame):
-        if learn_only:
-            frame = frame[frame["learn"]]
         learn = frame["learn"].to_numpy(bool)
         found, doc, start = grams(_texts(frame), order)
-        weight = learn[doc].astype(np.int64)
-        at = np.flatnonzero(~start)
+        weight = learn[doc].astype(np.int64) * ~start
         out = []
         for k in range(1, order + 1):
-            keys, n, _ = _distinct(found[k - 1][at], weight[at])
+            at = _places(start, k, order)
+            keys, n = _distinct(found[k - 1][at], weight[at])
             out += _rows(k, int(key[0]), ranges, keys, n.astype(np.uint32))
-        first = np.flatnonzero(start & ~np.append(start[1:], True))  # the last start of each text
-        for k in range(1, order):
-            keys, n, _ = _distinct(found[k - 1][first], weight[first])
-            out += _rows(0, int(key[0]), ranges, keys, n.astype(np.uint32))
-        return pd.DataFrame(out, columns=["order", "range", "block", "keys", "counts"])
+        return _frame(out)
 
-    return docs.select("block", "row", "learn", "text").groupBy("block").applyInPandas(run, SENT)
+    return docs.groupBy("_block").applyInPandas(run, SENT)
 
 
-def _counted(order: int, place: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """The counts of a key range (block -1), and the answer to every block:
-    counts of what it sent, negative where another block answers for it."""
-    frame = frame.sort_values("block", kind="stable")
-    keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
-    size = np.array([len(x) for x in keys])
-    all_keys = np.concatenate(keys)
-    by = np.argsort(all_keys, kind="stable")
-    new = np.ones(len(by), bool)
-    new[1:] = all_keys[by][1:] != all_keys[by][:-1]
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
-    total = np.add.reduceat(n[by], np.flatnonzero(new))
-    answer = np.empty(len(by), np.int64)
-    answer[by] = np.where(new, 1, -1) * total[np.cumsum(new) - 1]
-    cut = np.cumsum(size)[:-1]
-    found = [(order, place, int(b), b"", a.tobytes()) for b, a in zip(frame["block"], np.split(answer, cut))]
-    return pd.DataFrame([(order, place, -1, all_keys[by][new].tobytes(), total.tobytes()), *found], columns=["order", "range", "block", "keys", "counts"])
+def _joined(frame: pd.DataFrame, column: str, dtype, width: int = 1) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a key range: how many keys each has, all keys, all values, and
+    the order that sorts the keys."""
+    keys = [unpacked(x) for x in frame["keys"]]
+    every = np.concatenate(keys)
+    return [len(x) for x in keys], every, np.concatenate([opened(x, dtype, width) for x in frame[column]]), np.argsort(every, kind="stable")
 
 
 def count(docs: DataFrame, ranges: int, order: int) -> DataFrame:
-    return sent(docs, ranges, order, True).groupBy("order", "range").applyInPandas(lambda key, frame: _counted(int(key[0]), int(key[1]), frame), SENT)
+    """The training counts of every key range (block -1), and the answer to
+    every block: counts of what it sent, negative where another block answers
+    for an n-gram."""
+
+    def run(key, frame):
+        frame = frame.sort_values("block", kind="stable")
+        sizes, keys, n, by = _joined(frame, "counts", np.uint32)
+        ordered = keys[by]
+        new = np.ones(len(by), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        head = np.flatnonzero(new)
+        total = np.add.reduceat(n[by].astype(np.int64), head)
+        # the first block with a training document that has it answers for it
+        rank = np.where(n[by] > 0, np.arange(len(by)), len(by))
+        owner = np.minimum.reduceat(rank, head)
+        group = np.cumsum(new) - 1
+        answer = np.empty(len(by), np.int64)
+        answer[by] = np.where(owner[group] == np.arange(len(by)), 1, -1) * total[group]
+        known = total > 0
+        order, place = int(key[0]), int(key[1])
+        out = [(order, place, -1, packed(ordered[head][known]), squeezed(total[known]), None)]
+        cut = np.cumsum(sizes)[:-1]
+        out += [(order, place, int(b), None, squeezed(a), None) for b, a in zip(frame["block"], np.split(answer, cut))]
+        return _frame(out)
+
+    return sent(docs, ranges, order).groupBy("order", "range").applyInPandas(run, SENT)
 
 
 def _spectrum(counts: DataFrame) -> dict[int, tuple[int, int, dict[int, int]]]:
@@ -208,7 +241,7 @@ def _spectrum(counts: DataFrame) -> dict[int, tuple[int, int, dict[int, int]]]:
         for batch in batches:
             out = []
             for order, blob in zip(batch["order"], batch["counts"]):
-                c = np.frombuffer(blob, np.int64)
+                c = opened(blob, np.int64)
                 few = np.bincount(c[c <= K + 1], minlength=K + 2)
                 out.append((int(order), int(c.sum()), len(c), *few[1:].tolist()))
             yield pd.DataFrame(out, columns=["order", *names])
@@ -218,67 +251,76 @@ def _spectrum(counts: DataFrame) -> dict[int, tuple[int, int, dict[int, int]]]:
     return {r["order"]: (r["tokens"], r["types"], {k: r[f"n{k}"] for k in range(1, K + 2)}) for r in rows}
 
 
-def _answers(frame: pd.DataFrame, order: int, column: str, dtype) -> np.ndarray:
-    """What the key ranges said about the keys of one order, in key order."""
-    some = frame[frame["order"] == order].sort_values("range", kind="stable")
-    return np.concatenate([np.frombuffer(x, dtype) for x in some[column]]) if len(some) else np.zeros(0, dtype)
+class Told:
+    """What a block was told: by order the counts of its n-grams, and of its
+    contexts the denominators and weights, each in the order of its keys."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.frame = frame.sort_values("range", kind="stable")
 
+    def of(self, order: int, column: str, dtype, width: int = 1) -> np.ndarray:
+        some = self.frame[(self.frame["order"] == order) & self.frame[column].notna()]
+        if not len(some):
+            return np.zeros((0, width) if width > 1 else 0, dtype)
+        return np.concatenate([opened(x, dtype, width) for x in some[column]])
 
-def _masses(docs: DataFrame, answers: DataFrame, lower: DataFrame | None, model: Model, k: int) -> DataFrame:
-    """What the blocks know of the contexts of k-grams: keys, discounted
-    counts, counts, and lower-order probabilities of the words seen, each seen
-    k-gram in one block only. ``lower``: answers on the denominators of the
-    contexts of (k - 1)-grams."""
+    def counts(self, order: int) -> np.ndarray:
+        return self.of(order, "counts", np.int64)
+
+    def values(self, order: int) -> np.ndarray:
+        return self.of(order, "values", np.float64, 2)
+
+
+def _masses(docs: DataFrame, told: DataFrame, model: Model, k: int) -> DataFrame:
+    """What the blocks know of the contexts of k-grams (all of theirs): their
+    counts, what discounts free, and the lower-order probabilities of the words
+    seen, each seen k-gram in one block only."""
     ranges, order, tokens, types, discount, total, _ = model.numbers()
 
     def run(key, docs, told):
-        has = told["counts"].notna()
-        answers, low = told[has], told[~has]
-        docs = docs[docs["learn"]]
+        told = Told(told)
         found, doc, start = grams(_texts(docs), order)
-        at = np.flatnonzero(~start)
-        if not len(at):
-            return pd.DataFrame([], columns=["order", "range", "block", "keys", "sums"])
-        keys, first = np.unique(found[k - 1][at], return_index=True)
-        c = _answers(answers, k, "counts", np.int64)
+        place = lambda j: _places(start, j, order)
+        keys, first = np.unique(found[k - 1][place(k)], return_index=True)
+        c = told.counts(k)
         own = np.flatnonzero(c > 0)
-        place, c = at[first[own]], c[own]
-        below, back = np.unique(found[k - 2][at], return_inverse=True)
-        cb = np.abs(_answers(answers, k - 1, "counts", np.int64))[back[first[own]]]
+        at, c = place(k)[first[own]], c[own]
+        below = np.unique(found[k - 2][place(k - 1)])
+        cb = np.abs(told.counts(k - 1))[np.searchsorted(below, found[k - 2][at])]
         if k == 2:
             p = left(cb, discount[1]) / total
         else:
-            contexts, back = np.unique(_context(found, k - 1, at), return_inverse=True)
-            p = left(cb, discount[k - 1]) / _answers(low, k - 1, "values", np.float64).reshape(-1, 2)[back[first[own]], 0]
-        kept = left(c, discount[k])
-        context = _context(found, k, place)
-        by = np.argsort(context)
-        new = np.ones(len(by), bool)
-        new[1:] = context[by][1:] != context[by][:-1]
-        head = np.flatnonzero(new)
-        sums = np.stack([np.add.reduceat(x[by], head) for x in (c.astype(float), c - kept, p)], 1) if len(head) else np.zeros((0, 3))
-        return pd.DataFrame(list(_rows(k, int(key[0]), ranges, context[by][new], sums)), columns=["order", "range", "block", "keys", "sums"])
-
-    layout = "order int, range int, block long, keys binary, sums binary"
-    empty = F.lit(None).cast("binary")
-    both = answers.select("block", "order", "range", "counts", empty.alias("values"))
-    if lower is not None:
-        both = both.unionByName(lower.select("block", "order", "range", empty.alias("counts"), "values"))
-    return docs.select("block", "row", "learn", "text").groupBy("block").cogroup(both.groupBy("block")).applyInPandas(run, layout)
-
-
-def _weights(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Denominator and log10 backoff weight of the contexts of a key range."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
-    sums = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, 3) for x in frame["sums"]])
-    by = np.argsort(keys)
+            contexts = np.unique(found[k - 3][place(k - 2)])
+            p = left(cb, discount[k - 1]) / told.values(k - 2)[np.searchsorted(contexts, found[k - 3][at - 1]), 0]
+        sums = np.zeros((len(below), 3))
+        context = np.searchsorted(below, found[k - 2][at - 1])
+        for j, x in enumerate((c, c - left(c, discount[k]), p)):
+            sums[:, j] = np.bincount(context, weights=x, minlength=len(below))
+        return _frame(_rows(k - 1, int(key[0]), ranges, below, None, sums))
+
+    return docs.groupBy("_block").cogroup(told.groupBy("block")).applyInPandas(run, SENT)
+
+
+def _weighed(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Denominators and log10 backoff weights of the contexts of a key range
+    (block -1; those of unseen ones are zero), and the answer to every block."""
+    frame = frame.sort_values("block", kind="stable")
+    sizes, keys, sums, by = _joined(frame, "values", np.float64, 3)
+    ordered = keys[by]
     new = np.ones(len(by), bool)
-    new[1:] = keys[by][1:] != keys[by][:-1]
-    c, freed, seen = np.add.reduceat(sums[by], np.flatnonzero(new), axis=0).T
+    new[1:] = ordered[1:] != ordered[:-1]
+    head = np.flatnonzero(new)
+    c, freed, seen = np.add.reduceat(sums[by], head, axis=0).T
     none = freed <= 0
     total, freed = c + none, np.where(none, 1.0, freed)
     values = np.stack([total, np.log10(freed / total) - np.log10(np.maximum(1 - seen, 1e-300))], 1)
-    return pd.DataFrame([(int(key[0]), int(key[1]), keys[by][new].tobytes(), values.tobytes())], columns=["order", "range", "keys", "values"])
+    values[c == 0] = 0
+    back = np.empty((len(by), 2))
+    back[by] = values[np.cumsum(new) - 1]
+    order, place, known = int(key[0]), int(key[1]), c > 0
+    out = [(order, place, -1, packed(ordered[head][known]), None, squeezed(values[known]))]
+    out += [(order, place, int(b), None, None, squeezed(v)) for b, v in zip(frame["block"], np.split(back, np.cumsum(sizes)[:-1]))]
+    return _frame(out)
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> Model:
@@ -286,134 +328,103 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     without that column); ``order`` 2 or more is the longest n-gram."""
     if "learn" not in docs.columns:
         docs = docs.withColumn("learn", F.lit(True))
-    table, size = blocks(docs.select("learn", "text"))
-    return _fit(table, size, order)
+    table, size = blocks(docs.select("learn", "text").where("learn"))
+    return _fit(table, size, order)[0]
 
 
-def _fit(table: DataFrame, size: int, order: int) -> Model:
-    ranges = max(32, size // 6 // RANGE_KEYS)
-    counted = stored(count(table, ranges, order), "lm-counts")
-    counts, answers = counted.where("block < 0").drop("block"), counted.where("block >= 0").select("block", "order", "range", "counts")
-    spectrum = _spectrum(counts.where("order > 0"))
-    tokens, types, _ = spectrum.get(1, (0, 0, {}))
+def _fit(docs: DataFrame, size: int, order: int) -> tuple[Model, DataFrame]:
+    """The model and what the blocks were told about their n-grams."""
+    docs = docs.select("_block", "learn", "text")
+    ranges = max(32, size // 6 * (order - 1) // RANGE_KEYS)
+    counted = stored(count(docs, ranges, order), "lm-counts")
+    counts, told = counted.where("block < 0"), counted.where("block >= 0")
+    spectrum = _spectrum(counts)
     discount = [[], *[discounts(spectrum[k][2]) if k in spectrum else [0.5] * K for k in range(1, order + 1)]]
-    few = spectrum[1][2] if 1 in spectrum else {}
+    tokens, types, few = spectrum.get(1, (0, 0, {}))
     freed = sum(n * r * (1 - discount[1][r - 1]) for r, n in few.items() if r <= K)
-    model = Model(counts, None, ranges, order, tokens, types, discount, freed)
-    contexts: list[DataFrame] = []
+    model = Model(counts, ranges, order, tokens, types, discount, freed)
     for k in range(2, order + 1):
-        lower = _told(_asked(table, model, [k - 1], True), contexts[-1], ranges) if k > 2 else None
-        sums = _masses(table, answers, lower, model, k)
-        contexts.append(stored(sums.groupBy("order", "range").applyInPandas(_weights, "order int, range int, keys binary, values binary"), "lm-contexts"))
-    model.contexts = contexts[0]
-    for more in contexts[1:]:
-        model.contexts = model.contexts.unionByName(more)
-    return model
-
+        weighed = stored(_masses(docs, told, model, k).groupBy("order", "range").applyInPandas(_weighed, SENT), "lm-contexts")
+        contexts = weighed.where("block < 0")
+        model.contexts = contexts if model.contexts is None else model.contexts.unionByName(contexts)
+        told = told.unionByName(weighed.where("block >= 0"))
+    return model, told
 
-def _asked(docs: DataFrame, model: Model, orders: list[int], learn_only: bool = False) -> DataFrame:
-    """The contexts of k-grams that blocks ask about."""
-    ranges, order = model.ranges, model.order
 
-    def run(key, frame):
-        if learn_only:
-            frame = frame[frame["learn"]]
-        found, doc, start = grams(_texts(frame), order)
-        at = np.flatnonzero(~start)
-        out = [row for k in orders for row in _rows(k, int(key[0]), ranges, np.unique(_context(found, k, at)))]
-        return pd.DataFrame(out, columns=["order", "range", "block", "keys"])
-
-    return docs.select("block", "row", "learn", "text").groupBy("block").applyInPandas(run, "order int, range int, block long, keys binary")
+def lookup(docs: DataFrame, model: Model) -> DataFrame:
+    """What blocks of any documents are told from the model's tables."""
 
-
-def _looked_up(frame: pd.DataFrame, table: pd.DataFrame, column: str, dtype, width: int) -> list[bytes]:
-    """For every row's keys the table's values (zeros: not there)."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"]]) if len(table) else np.zeros(0, np.uint64)
-    values = np.concatenate([np.frombuffer(x, dtype).reshape(-1, width) for x in table[column]]) if len(table) else np.zeros((0, width), dtype)
-    by = np.argsort(keys)
-    keys, values = keys[by], np.concatenate((values[by], np.zeros((1, width), dtype)))
-    out = []
-    for blob in frame["keys"]:
-        wanted = np.frombuffer(blob, np.uint64)
+    def found(wanted, keys, values):
         at = np.searchsorted(keys, wanted)
         there = at < len(keys)
         there[there] = keys[at[there]] == wanted[there]
-        out.append(values[np.where(there, at, len(keys))].tobytes())
-    return out
-
-
-def _told(asked: DataFrame, contexts: DataFrame, ranges: int) -> DataFrame:
-    def run(key, frame, table):
-        values = _looked_up(frame, table, "values", np.float64, 2)
-        return pd.DataFrame({"block": frame["block"].to_numpy(np.int64), "order": int(key[0]), "range": int(key[1]), "values": values})
-
-    return asked.groupBy("order", "range").cogroup(contexts.groupBy("order", "range")).applyInPandas(run, "block long, order int, range int, values binary")
-
-
-def _known(docs: DataFrame, model: Model) -> DataFrame:
-    """Training counts of what the blocks ask about."""
-
-    def run(key, frame, table):
-        counts = _looked_up(frame, table, "counts", np.int64, 1)
-        return pd.DataFrame({"block": frame["block"].to_numpy(np.int64), "order": int(key[0]), "range": int(key[1]), "counts": counts})
+        return squeezed(np.concatenate((values, np.zeros_like(values[:1]) if len(values) else np.zeros((1, *values.shape[1:]), values.dtype)))[np.where(there, at, len(keys))])
+
+    def run(key, asked, table):
+        order, place = int(key[0]), int(key[1])
+        parts = []
+        for column, dtype, width in (("counts", np.int64, 1), ("values", np.float64, 2)):
+            some = table[table[column].notna()]
+            keys = np.concatenate([np.zeros(0, np.uint64), *[unpacked(x) for x in some["keys"]]])
+            values = np.concatenate([np.zeros((0, width) if width > 1 else 0, dtype), *[opened(x, dtype, width) for x in some[column]]])
+            parts.append((keys, values))
+        out = []
+        for block, blob in zip(asked["block"], asked["keys"]):
+            wanted = unpacked(blob)
+            out.append((order, place, int(block), None, *(found(wanted, *p) for p in parts)))
+        return _frame(out)
 
-    asked = sent(docs, model.ranges, model.order, False).where("order > 0").drop("counts")
-    return asked.groupBy("order", "range").cogroup(model.counts.groupBy("order", "range")).applyInPandas(run, "block long, order int, range int, counts binary")
+    asked = sent(docs, model.ranges, model.order)
+    return asked.groupBy("order", "range").cogroup(model.counts.unionByName(model.contexts).groupBy("order", "range")).applyInPandas(run, SENT)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but for ``text``, and n_tokens, n_known,
     base_score, score of every row. ``docs`` must not have columns of these
     names."""
-    table, _ = blocks(docs.withColumn("learn", F.lit(True)) if "learn" not in docs.columns else docs)
-    return _score(table, model, [c for c in docs.columns if c != "text"])
+    columns = [c for c in docs.columns if c != "text"]
+    table, _ = blocks(docs if "learn" in columns else docs.withColumn("learn", F.lit(False)))
+    return _score(table, stored(lookup(table.select("_block", "learn", "text"), model), "lm-told"), model, columns)
 
 
-def _score(table: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    ranges, order = model.ranges, model.order
-    empty = F.lit(None).cast("binary")
-    counts = stored(_known(table, model), "lm-known")
-    told = _told(_asked(table, model, list(range(2, order + 1))), model.contexts, ranges)
-    told = counts.select("block", "order", "range", "counts", empty.alias("values")).unionByName(told.select("block", "order", "range", empty.alias("counts"), "values"))
+def _score(docs: DataFrame, told: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     numbers = model.numbers()
 
     def run(key, docs, told):
-        has = told["counts"].notna()
-        parts = _evaluated(_texts(docs), told[has], told[~has], numbers)
         out = docs[columns].copy()
-        for name, values in zip(("n_tokens", "n_known", "base_score", "score"), parts):
+        for name, values in zip(("n_tokens", "n_known", "base_score", "score"), _evaluated(_texts(docs), Told(told), numbers)):
             out[name] = values
         return out
 
-    types_of = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    types_of = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     layout = ", ".join([*[f"`{c}` {types_of[c]}" for c in columns], "n_tokens long, n_known long, base_score double, score double"])
-    return table.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, layout)
+    return docs.groupBy("_block").cogroup(told.groupBy("block")).applyInPandas(run, layout)
 
 
-def _evaluated(texts: list[bytes], known: pd.DataFrame, told: pd.DataFrame, numbers) -> tuple[np.ndarray, ...]:
+def _evaluated(texts: list[bytes], told: Told, numbers) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, add-one score, backoff score."""
     _, order, tokens, types, discount, total, unknown = numbers
     found, doc, start = grams(texts, order)
     at = np.flatnonzero(~start)
     per = lambda x: np.bincount(doc[at], weights=x, minlength=len(texts))
-    of = lambda k: _answers(known, k, "counts", np.int64)[np.unique(found[k - 1][at], return_inverse=True)[1]]
-    c = of(1)
-    base = np.log10((c + 1) / (tokens + types + 1))
-    score = np.where(c > 0, np.log10(np.maximum(left(c, discount[1]), 1e-300) / total), math.log10(unknown))
-    n_known = c > 0
-    for k in range(2, order + 1):
-        c = of(k)
-        back = np.unique(_context(found, k, at), return_inverse=True)[1]
-        values = _answers(told, k, "values", np.float64).reshape(-1, 2)[back]
-        with np.errstate(divide="ignore"):
-            seen = np.log10(np.maximum(left(c, discount[k]), 1e-300)) - np.log10(np.maximum(values[:, 0], 1e-300))
+    score = base = n_known = np.zeros(0)
+    keys = np.zeros(0, np.uint64)
+    for k in range(1, order + 1):
+        contexts, keys = keys, np.unique(found[k - 1][_places(start, k, order)])
+        c = np.abs(told.counts(k))[np.searchsorted(keys, found[k - 1][at])]
+        if k == 1:
+            base, n_known = np.log10((c + 1) / (tokens + types + 1)), c > 0
+            score = np.where(c > 0, np.log10(np.maximum(left(c, discount[1]), 1e-300) / total), math.log10(unknown))
+            continue
+        values = told.values(k - 1)[np.searchsorted(contexts, found[k - 2][at - 1])]
+        seen = np.log10(np.maximum(left(c, discount[k]), 1e-300)) - np.log10(np.maximum(values[:, 0], 1e-300))
         score = np.where(c > 0, seen, values[:, 1] + score)  # an unseen context has weight one, log10 zero
     return per(np.ones(len(at))).astype(np.int64), per(n_known).astype(np.int64), per(base), per(score)
 
 
 def fit_and_score(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """Fit on the rows whose ``learn`` is true and score all rows; the
-    documents are dealt to blocks once."""
+    """Fit on the rows whose ``learn`` is true and score all rows; what the
+    blocks were told while counting is used again."""
     table, size = blocks(docs)
-    model = _fit(table, size, order)
-    return model, _score(table, model, [c for c in docs.columns if c != "text"])
+    model, told = _fit(table, size, order)
+    return model, _score(table, told, model, [c for c in docs.columns if c != "text"])
