@@ -47,7 +47,7 @@ from .common import Words, stored
 
 K = 5
 ORDER = 2
-BLOCK_BYTES = 8 << 20  # text that a block has, about
+BLOCK_BYTES = 5 << 20  # text that a block has, about
 RANGE_KEYS = 2_000_000  # n-grams that the blocks send to a key range, about
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 SENT = "order int, range int, block long, keys binary, counts binary, values binary"
@@ -156,6 +156,17 @@ def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0]
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of every key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
 def _rows(order: int, block: int, ranges: int, keys: np.ndarray, counts: np.ndarray | None = None, values: np.ndarray | None = None) -> Iterator[tuple]:
     """Rows of SENT, one for each key range."""
     bound = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
@@ -281,19 +292,23 @@ def _masses(docs: DataFrame, told: DataFrame, model: Model, k: int) -> DataFrame
         told = Told(told)
         found, doc, start = grams(_texts(docs), order)
         place = lambda j: _places(start, j, order)
-        keys, first = np.unique(found[k - 1][place(k)], return_index=True)
+        places = place(k)
+        keys, among = _sorted(found[k - 1][places])
+        first = np.empty(len(keys), np.int64)
+        first[among[::-1]] = np.arange(len(among))[::-1]
         c = told.counts(k)
         own = np.flatnonzero(c > 0)
-        at, c = place(k)[first[own]], c[own]
-        below = np.unique(found[k - 2][place(k - 1)])
-        cb = np.abs(told.counts(k - 1))[np.searchsorted(below, found[k - 2][at])]
+        at, c = places[first[own]], c[own]
+        places = place(k - 1)
+        below, among = _sorted(found[k - 2][places])
+        cb = np.abs(told.counts(k - 1))[among[np.searchsorted(places, at)]]
         if k == 2:
             p = left(cb, discount[1]) / total
         else:
-            contexts = np.unique(found[k - 3][place(k - 2)])
-            p = left(cb, discount[k - 1]) / told.values(k - 2)[np.searchsorted(contexts, found[k - 3][at - 1]), 0]
+            further = place(k - 2)
+            p = left(cb, discount[k - 1]) / told.values(k - 2)[_sorted(found[k - 3][further])[1][np.searchsorted(further, at - 1)], 0]
+        context = among[np.searchsorted(places, at - 1)]
         sums = np.zeros((len(below), 3))
-        context = np.searchsorted(below, found[k - 2][at - 1])
         for j, x in enumerate((c, c - left(c, discount[k]), p)):
             sums[:, j] = np.bincount(context, weights=x, minlength=len(below))
         return _frame(_rows(k - 1, int(key[0]), ranges, below, None, sums))
@@ -408,17 +423,19 @@ def _evaluated(texts: list[bytes], told: Told, numbers) -> tuple[np.ndarray, ...
     at = np.flatnonzero(~start)
     per = lambda x: np.bincount(doc[at], weights=x, minlength=len(texts))
     score = base = n_known = np.zeros(0)
-    keys = np.zeros(0, np.uint64)
+    context = None
     for k in range(1, order + 1):
-        contexts, keys = keys, np.unique(found[k - 1][_places(start, k, order)])
-        c = np.abs(told.counts(k))[np.searchsorted(keys, found[k - 1][at])]
+        places = _places(start, k, order)
+        among = _sorted(found[k - 1][places])[1]
+        c = np.abs(told.counts(k))[among[~start[places]]]
         if k == 1:
             base, n_known = np.log10((c + 1) / (tokens + types + 1)), c > 0
             score = np.where(c > 0, np.log10(np.maximum(left(c, discount[1]), 1e-300) / total), math.log10(unknown))
-            continue
-        values = told.values(k - 1)[np.searchsorted(contexts, found[k - 2][at - 1])]
-        seen = np.log10(np.maximum(left(c, discount[k]), 1e-300)) - np.log10(np.maximum(values[:, 0], 1e-300))
-        score = np.where(c > 0, seen, values[:, 1] + score)  # an unseen context has weight one, log10 zero
+        else:
+            values = told.values(k - 1)[context]
+            seen = np.log10(np.maximum(left(c, discount[k]), 1e-300)) - np.log10(np.maximum(values[:, 0], 1e-300))
+            score = np.where(c > 0, seen, values[:, 1] + score)  # an unseen context has weight one, log10 zero
+        context = among[np.searchsorted(places, at - 1)] if k < order else None
     return per(np.ones(len(at))).astype(np.int64), per(n_known).astype(np.int64), per(base), per(score)
 
 
