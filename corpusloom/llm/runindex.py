@@ -7,8 +7,9 @@ doc_id, or the same document and an earlier start).
    string the one with the smallest hash is its anchor, so equal strings have
    equal anchors at equal places (minimizers). A document gets an anchor every
    few dozen bytes; anchors that occur once anywhere can't be in a repeat.
-2. Neighbourhoods. All ``span``-byte strings of one anchor lie in the bytes
-   around it. Equal neighbourhoods are grouped by hash: each but the earliest
+2. Neighbourhoods. All ``span``-byte strings of which one anchor is the
+   smallest start in one stretch in front of it; the bytes from the first to
+   the end of the last are its neighbourhood. Equal neighbourhoods are grouped by hash: each but the earliest
    goes whole, and only the earliest of each is looked at further. So the
    volume follows the distinct content, not the copies.
 3. Run-length index. Anchors are dealt to buckets of bounded size; a bucket's
@@ -25,8 +26,12 @@ doc_id, or the same document and an earlier start).
 
 Edge cases: null and empty texts keep nothing and lose nothing; documents
 shorter than ``span`` lose nothing; matches never cross documents; rows with
-equal doc_ids count as one document that is seen once, so they don't remove
-each other; an empty table gives an empty result; further columns are ignored.
+equal doc_ids and different texts are documents of their own, in the order of
+a hash of the text (a null doc_id comes last); rows equal in both count as one
+document that is seen once, so they don't remove each other; an empty table
+gives an empty result; further columns are ignored. 64-bit hashes of anchors
+and neighbourhoods aren't verified: among 10**9 distinct ones the chance that
+any two share a hash is 3 %.
 """
 
 from __future__ import annotations
@@ -83,12 +88,12 @@ def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
 
 
 def find_anchors(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """Of the texts' anchors: text, place, hash, and the hash of the
-    neighbourhood."""
+    """Of the texts' anchors: text, where its neighbourhood begins and how long
+    it is, hash, and the hash of the neighbourhood."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.zeros(0, np.int64)
     if len(data) < span:
-        return empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes)))
     hashes = Hashes(_BYTE[data])
@@ -104,20 +109,30 @@ def find_anchors(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, ...]
     pad = np.zeros(width - 1, np.uint32)
     high = _sliding(np.concatenate((pad, low, pad)), width, False)[: len(small)]
     place = np.flatnonzero((high == small) & (high > 0))
+    # stretches of starts with one minimum, and the one that holds each anchor
+    edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    last = np.append(edge[1:], len(low)) - 1
+    order = np.argsort((low[edge].astype(np.uint64) << np.uint64(32)) + last.astype(np.uint64))
+    edge, last = edge[order], last[order]
+    wanted = (small[place].astype(np.uint64) << np.uint64(32)) + np.maximum(place - width + 1, 0).astype(np.uint64)
+    at = np.searchsorted((low[edge].astype(np.uint64) << np.uint64(32)) + last.astype(np.uint64), wanted)
     text = np.searchsorted(begin, place, side="right") - 1
-    start, end = np.maximum(begin[text], place - width + 1), np.minimum(begin[text + 1], place + span)
+    start = np.maximum(np.maximum(edge[at], place - width + 1), begin[text])
+    end = np.minimum(last[at], place) + span
     around = _mix(hashes.of(start, end) + _mix(((place - start) * 4096 + (end - place)).astype(np.uint64)))
-    return text, place - begin[text], gram[place], around
+    return text, start - begin[text], end - start, gram[place], around
 
 
 def anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc, low and size (the neighbourhood), anchor, around (hashes)."""
+
     def run(batches):
         for batch, texts in chunks(batches, most=512 << 10):
-            text, place, anchor, around = find_anchors(texts, span)
+            text, low, size, anchor, around = find_anchors(texts, span)
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[text] if len(text) else text
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(place.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "place", "anchor", "around"])
+            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "low", "size", "anchor", "around"])
 
-    return docs.mapInArrow(run, "doc long, place int, anchor long, around long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, low int, size int, anchor long, around long")
 
 
 class RunIndex:
@@ -132,50 +147,59 @@ class RunIndex:
         self.begin = np.concatenate(([0], np.cumsum(sizes)))
         symbols = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + n
         symbols[self.begin[1:] - 1] = np.arange(n)  # every string ends in a symbol of its own
-        order = self._suffixes(symbols)
+        order = self._suffixes(symbols, n)
         last = symbols[order - 1]
         starts = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         self.runs = len(starts)
         self.head = order[starts]
         self.before = order[starts - 1]
         self.before[0] = self.head[0]
-        self.common = self._common(symbols, self.head, self.before)
+        self.common = self._common(symbols, self.head, self.before, int(sizes.max()))
         self.common[0] = 0
         by = np.argsort(self.head)
         self.head, self.before, self.common = self.head[by], self.before[by], self.common[by]
         self.size = len(symbols)
 
     @staticmethod
-    def _suffixes(symbols: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling."""
-        n = len(symbols)
-        _, rank = np.unique(symbols, return_inverse=True)
-        width = 1
-        if rank.max() < 0xFFFF:  # four symbols at once
-            packed = np.zeros(n, np.uint64)
-            for k in range(4):
-                packed[: n - k] |= (rank[k:] + 1).astype(np.uint64) << np.uint64(48 - 16 * k)
-            _, rank = np.unique(packed, return_inverse=True)
-            width = 4
+    def _suffixes(symbols: np.ndarray, strings: int) -> np.ndarray:
+        """Suffix order by prefix doubling; only suffixes that still tie are
+        sorted again."""
+        n, width = len(symbols), 7
+        code = np.maximum(symbols - strings + 1, 0).astype(np.uint64)  # a string's end is 0
+        packed, inside = np.zeros(n, np.uint64), np.ones(n, bool)
+        for k in range(width):  # seven symbols at once, of one string only
+            packed[: n - k] |= np.where(inside[: n - k], code[k:], np.uint64(0)) << np.uint64(9 * (width - 1 - k))
+            inside[: n - k] &= code[k:] > 0
+        order = np.argsort(packed, kind="stable")
+        key = packed[order]
+        # suffixes that end inside differ by their string, so by position
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | ~inside[order][1:]))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         while True:
-            later = np.full(n, -1, np.int64)
-            later[: n - width] = rank[width:] if width < n else []
-            key = rank * (n + 2) + later + 1
-            order = np.argsort(key)
-            key = key[order]
-            new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if new[-1] == n - 1:
+            ties = np.flatnonzero(~new)
+            if not len(ties):
                 return order
+            group = np.zeros(n, bool)
+            group[ties] = group[ties - 1] = True
+            at = np.flatnonzero(group)  # places in the order, group by group
+            some = order[at]
+            head, later = rank[some], rank[np.minimum(some + width, n - 1)]
+            key = head * n + later
+            by = np.argsort(key, kind="stable")
+            key, some = key[by], some[by]
+            order[at] = some
+            fresh = np.concatenate(([True], key[1:] != key[:-1]))
+            new[at] = fresh
+            rank[some] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
             width *= 2
 
     @staticmethod
-    def _common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         hashes = Hashes(_mix(symbols.astype(np.uint64) + np.uint64(1)))
         n = len(symbols)
         length = np.zeros(len(a), np.int64)
-        for step in (1 << k for k in range(12, -1, -1)):
+        for step in (1 << k for k in range(most.bit_length() - 1, -1, -1)):
             fits = np.maximum(a, b) + length + step <= n
             x, y = np.where(fits, a + length, 0), np.where(fits, b + length, 0)
             same = fits & (hashes.of(x, np.where(fits, x + step, 0)) == hashes.of(y, np.where(fits, y + step, 0)))
@@ -217,10 +241,10 @@ def _joined(doc: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray,
     return doc[first], start[first], start[last] + span
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """``wanted`` (doc, place, anchor, hot) with the neighbourhood's bytes and
-    where they begin."""
-    lists = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("place", "anchor", "hot")).alias("wanted"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc, low, size, anchor, hot) with the neighbourhood's bytes
+    and where they begin."""
+    lists = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("low", "size", "anchor", "hot")).alias("wanted"))
     both = docs.join(lists, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
 
     def run(batches):
@@ -229,8 +253,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             for doc, text, some in zip(batch.column("doc").to_pylist(), texts, batch.column("wanted").to_pylist()):
                 for x in some:
-                    begin = max(0, x["place"] - (span - K))
-                    for column, value in zip(out, (doc, begin, x["anchor"], x["hot"], text[begin : x["place"] + span])):
+                    low = x["low"]
+                    for column, value in zip(out, (doc, low, x["anchor"], x["hot"], text[low : low + x["size"]])):
                         column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["doc", "begin", "anchor", "hot", "body"])
 
@@ -240,15 +264,16 @@ def _texts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = SPAN, most: int = 2000, bucket_bytes: int = 1 << 20) -> DataFrame:
     """Spans (doc, low, high) whose bytes go; they may overlap."""
     found = anchors(docs, span)
-    again = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # each table that counts is stored before it is joined: a skewed join can then be split
+    again = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated-anchors")
     hits = stored(found.join(again, "anchor"), "anchors")
-    groups = hits.groupBy("anchor", "around").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
+    groups = hits.groupBy("anchor", "around").agg(F.min(F.struct("doc", "low", "size")).alias("first"), F.count("*").alias("n"))
     groups = stored(groups, "neighbourhoods")
-    copies = groups.where("n > 1").select("anchor", "around", "first")
-    whole = hits.join(copies, ["anchor", "around"]).where("struct(doc, place) <> first").select("doc", F.greatest(F.col("place") - (span - K), F.lit(0)).alias("low"), (F.col("place") + span).alias("high"))
-    several = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = groups.join(several, "anchor").select("first.doc", "first.place", "anchor", (F.col("kinds") > most).alias("hot"))
-    near = stored(_texts(docs, wanted, span), "neighbourhood-texts")
+    copies = groups.where("n > 1").select("anchor", "around", F.col("first.doc").alias("_doc"), F.col("first.low").alias("_low"))
+    whole = hits.join(copies, ["anchor", "around"]).where("doc <> _doc or low <> _low").select("doc", "low", (F.col("low") + F.col("size")).alias("high"))
+    several = stored(groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "neighbourhood-kinds")
+    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", "anchor", (F.col("kinds") > most).alias("hot"))
+    near = stored(_texts(docs, wanted), "neighbourhood-texts")
     volume = near.where("not hot").agg(F.sum(F.length("body") + 1)).first()[0] or 0
     buckets = max(1, -(-int(volume) // bucket_bytes))
 
@@ -289,13 +314,24 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, most: int = 2000, bucket_b
     return whole.unionByName(cold).unionByName(hot)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``doc``, a number in the order of doc_id:
+    doc_id itself where no two rows share one and none is null."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("doc", F.col("doc_id"))
+    keys = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
+    keys = keys.repartitionByRange(F.asc_nulls_last("_id"), "_hash").sortWithinPartitions(F.asc_nulls_last("_id"), "_hash")
+    keys = stored(keys.withColumn("doc", F.monotonically_increasing_id()), "document-numbers")
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("doc_id", "text", "doc")
+
+
 def remove_repeats(docs: DataFrame, span: int = SPAN, **options) -> DataFrame:
     """doc_id, text (binary, what is kept), n_bytes, n_removed, n_spans of
     every document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     spans = repeated_spans(base, span, **options)
     cut = F.sort_array(F.collect_set(F.struct("low", "high")))
-    both = base.join(spans.groupBy(F.col("doc").alias("_doc")).agg(cut.alias("spans")), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "spans")
+    both = base.join(spans.groupBy(F.col("doc").alias("_doc")).agg(cut.alias("spans")), F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -316,7 +352,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, **options) -> DataFrame:
                     end = max(end, high)
                 parts.append(text[at:])
                 kept.append(b"".join(parts)), sizes.append(n), removed.append(gone), runs.append(count)
-            yield pa.record_batch([batch.column("doc"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "text", "n_bytes", "n_removed", "n_spans"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "text", "n_bytes", "n_removed", "n_spans"])
 
     return both.mapInArrow(run, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long")
 

@@ -54,6 +54,19 @@ def test_real(spark, sf):
     compare(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def test_equal_ids(spark):
+    """Rows of one doc_id with other texts lose only what is repeated."""
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join("".join(rng.choice(list("abcde"), rng.integers(2, 8))) for _ in range(n))
+    a, b, c = word(80), word(80), word(80)
+    rows = [(1, a), (1, b), (1, c + a), (None, c + " " + b[:150]), (2, b), (2, b)]
+    got = runindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    left = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in got}
+    assert left[1, len(b)] == 0 and left[2, len(b)] == len(b) and left[None, len(c) + 151] > 0
+    assert left[1, len(a)] in (0, len(a)) and left[1, len(a)] + left[1, len(a) + len(c)] >= len(a) - 1
+
+
 def test_empty(made):
     assert runindex.remove_repeats(made.limit(0)).count() == 0
 
