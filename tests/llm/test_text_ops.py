@@ -141,36 +141,61 @@ def test_simhash_links_in_dense_postings(spark):
                 assert find(a) == find(b)
 
 
-def brute_lines(all_texts, min_words):
-    seen, cut = set(), defaultdict(set)
-    for doc in sorted(all_texts):
-        lines = all_texts[doc].split("\n")
+def brute_lines(rows, min_words):
+    """Lines covered by the longest run from each start that also starts
+    earlier, where that run has ``min_words`` words."""
+    starts, out = defaultdict(list), []
+    for text in rows:
+        lines = (text or "").split("\n")
         own = [i for i, x in enumerate(lines) if WORD.search(x.encode())]
-        for k in range(len(own)):
-            words, end = 0, k
-            while end < len(own) and words < min_words:
-                words += len(WORD.findall(lines[own[end]].encode()))
-                end += 1
-            if words >= min_words:
-                key = tuple(lines[i] for i in own[k:end])
-                if key in seen:
-                    cut[doc].update(own[k:end])
-                seen.add(key)
-    return {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[d]), len(cut[d])) for d, t in all_texts.items()}
+        seq, words = [lines[i] for i in own], [len(WORD.findall(lines[i].encode())) for i in own]
+        cut = set()
+        for k, line in enumerate(seq):
+            for other, t in starts[line]:
+                n = 0
+                while k + n < len(seq) and t + n < len(other) and seq[k + n] == other[t + n]:
+                    n += 1
+                if sum(words[k : k + n]) >= min_words:
+                    cut.update(own[k : k + n])
+            starts[line].append((seq, k))
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in cut), len(cut)))
+    return out
+
+
+def check_lines(df, rows):
+    from collections import Counter
+
+    got = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in linededup.drop_repeated_lines(df).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_lines([t for _, t in rows], linededup.MIN_WORDS)))
 
 
 def test_line_dedup(spark, edge, real):
     passage = "\n".join(f"line {i} has some words here" for i in range(12))
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    tail = "\n".join([words("a", 30), words("b", 30), words("c", 10)])  # the last line ends the run
+    short = "\n".join([words("d", 60), *[f"e{k}" for k in range(49)]])
     made = [(100, f"start one\n{passage}\nend"), (101, f"other\n\n{passage}\n\nrest"), (102, "\n".join(["same words again and again"] * 40)), (103, "\n".join(passage.split("\n")[:5])), (104, passage.replace("\n", "\n \n")), (105, passage + "\n" + passage)]
-    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], DOCS)
-    for df in (edge.unionByName(made), real):
-        out = linededup.drop_repeated_lines(df.withColumnRenamed("source", "name"))
-        assert out.columns[:5] == ["doc_id", "text", "lang", "name", "n_chars"]
-        got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()}
-        assert got == brute_lines(texts(df), linededup.MIN_WORDS)
+    made += [(110, tail + "\nx"), (111, "y\n" + tail + "\nz"), (112, short + "\nx"), (113, short + "\ny"), (114, "\n".join(f"one{k % 7}" for k in range(150)))]
+    df = edge.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], DOCS))
+    out = linededup.drop_repeated_lines(df.withColumnRenamed("source", "_spans").withColumnRenamed("lang", "cuts"))
+    assert out.columns[:5] == ["doc_id", "text", "cuts", "_spans", "n_chars"]
+    for table in (df, real):
+        check_lines(table, sorted((r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect() if r["text"] is not None) if table is real else sorted(((r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect())))
     assert linededup.drop_repeated_lines(real.limit(0)).count() == 0
 
 
+def test_line_dedup_of_equal_ids(spark):
+    passage = "\n".join(f"line {i} has some words here" for i in range(12))
+    own = "\n".join(f"row {i} is quite another text" for i in range(15))
+    rows = [(7, passage), (7, own), (8, passage + "\nend"), (8, own), (9, own), (9, own), (None, passage), (None, None)]
+    got = defaultdict(list)
+    for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["text"], r["n_removed"]))
+    assert sorted(got[7]) == sorted([(passage, 0), (own, 0)])
+    assert sorted(got[8]) == [("", 15), ("end", 12)] and got[9] == [("", 15)] * 2
+    assert sorted(got[None]) == [("", 0), ("", 12)]
+
+
 def test_decontamination(spark, edge, real, sf):
     items = [
         (1, "Alice bought 3 apples and 4 pears at the market in Paris for 12 dollars , how much did she pay ?"),
