@@ -2,10 +2,13 @@
 
 Documents are tokenised where they lie; only piece lengths move. Pieces are
 dealt at random to shards of bounded size; every shard is packed by several
-islands, each a small population of groupings. A crossover injects the
-best-filled bins of one parent into another, drops the bins that now hold
-duplicates, and puts the displaced pieces back by best fit. Between epochs the
-islands of a shard pass their elite to the next island. The loosest bins of
+islands, each a group of its own with a small population of groupings made by
+best fit in random order. A crossover injects the best-filled bins of one
+parent into another, drops the bins that now hold duplicates, opens some of the
+loosest, and puts the displaced pieces back by best fit, long ones first.
+Between epochs every island gets the elite of its neighbour in a ring. An
+island stops early only at the lower bound, the pieces' tokens divided by the
+size of a sequence. The loosest bins of
 all shards are packed again together in a few wider shards, so a shard's last,
 half-empty bin costs nothing at scale.
 
@@ -165,7 +168,8 @@ def cross(lengths: np.ndarray, into: np.ndarray, donor: np.ndarray, size: int, r
     injected = chosen[donor]
     touched = np.zeros(into.max() + 1, bool)
     touched[into[injected]] = True
-    loose = np.bincount(into, weights=lengths, minlength=len(touched)) / size < 0.98  # mutation: open the loosest too
+    held = np.bincount(into, weights=lengths, minlength=len(touched)) / size
+    loose = held < min(0.9995, float(np.quantile(held[held > 0], rng.uniform(0.1, 0.9))))  # mutation: open the loosest too
     touched |= loose
     kept = ~injected & ~touched[into]
     child = np.full(len(lengths), -1, np.int64)
@@ -183,65 +187,70 @@ def cross(lengths: np.ndarray, into: np.ndarray, donor: np.ndarray, size: int, r
     return child
 
 
-def evolve(lengths: np.ndarray, start: np.ndarray | None, size: int, population: int, generations: int, seed: int) -> np.ndarray:
-    """The best grouping of one island after some generations."""
+def evolve(lengths: np.ndarray, groups: list[np.ndarray], size: int, population: int, generations: int, seed: int) -> tuple[np.ndarray, int]:
+    """The best grouping of one island after some generations that start from
+    ``groups`` and random ones, and the number of crossovers made."""
     rng = np.random.default_rng(seed)
     lower = -(-int(lengths.sum()) // size)
-    groups = [] if start is None else [start]
+    groups = list(groups)
     while len(groups) < population:
-        noise = 1 + (0 if not groups else 0.1) * rng.random(len(lengths))
-        order = np.argsort(-lengths * noise, kind="stable")
+        order = rng.permutation(len(lengths))
         grouping = np.empty(len(lengths), np.int64)
         grouping[order] = best_fit(lengths, order, [], 0, size)
         groups.append(grouping)
-        if len(np.unique(groups[-1])) == lower:
-            break
     score = [quality(lengths, g, size) for g in groups]
-    for _ in range(generations):
-        best = groups[int(np.argmax(score))]
-        if len(groups) < 2 or len(np.unique(best)) == lower:
+    crossings = 0
+    for _ in range(generations if len(groups) > 1 else 0):
+        if len(np.unique(groups[int(np.argmax(score))])) == lower:
             break
         i, j = rng.permutation(len(groups))[:2]
         child = cross(lengths, groups[i], groups[j], size, rng)
+        crossings += 1
         worst = int(np.argmin(score))
         got = quality(lengths, child, size)
         if got > score[worst]:
             groups[worst], score[worst] = child, got
-    return groups[int(np.argmax(score))]
+    return groups[int(np.argmax(score))], crossings
+
 
+def island_states(items: DataFrame, size: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """The elite of every island of every shard of ``items`` (shard, doc_id,
+    piece, length, salt): shard, island, score, crossings (so far), items
+    (lengths in the order of doc_id, piece, salt) and bins."""
+    layout = "shard long, island int, score double, crossings long, items binary, bins binary"
 
-def _islands(items: DataFrame, size: int, islands: int, epochs: int, population: int, generations: int, key: str) -> DataFrame:
-    """``items`` (shard, doc_id, piece, length, salt) with the bin of each in
-    its shard."""
-    layout = "shard long, island int, score double, items binary, bins binary"
+    def state(key, lengths, best, crossings):
+        made = (int(key[0]), int(key[1]), quality(lengths, best, size), crossings, lengths.astype("<i4").tobytes(), best.astype("<i4").tobytes())
+        return pd.DataFrame([made], columns=["shard", "island", "score", "crossings", "items", "bins"])
 
-    def first(key, frame):
-        order = np.lexsort((frame["salt"].to_numpy(), frame["piece"].to_numpy(), frame["doc_id"].to_numpy()))
-        frame = frame.iloc[order]
+    def begin(key, frame):
+        frame = frame.sort_values(["doc_id", "piece", "salt"])
         lengths = frame["length"].to_numpy(np.int64)
-        made = []
-        for island in range(islands):
-            best = evolve(lengths, None, size, population, generations, 1000 * int(key[0]) + island)
-            made.append((int(key[0]), island, quality(lengths, best, size), lengths.astype("<i4").tobytes(), best.astype("<i4").tobytes()))
-        return pd.DataFrame(made, columns=["shard", "island", "score", "items", "bins"])
-
-    def migrate(key, frame):
-        frame = frame.sort_values("island").reset_index(drop=True)
-        lengths = np.frombuffer(frame["items"][0], "<i4").astype(np.int64)
-        elites = [np.frombuffer(b, "<i4").astype(np.int64) for b in frame["bins"]]
-        made = []
-        for island, own in enumerate(elites):
-            guest = elites[island - 1]  # from the neighbour in the ring
-            rng = np.random.default_rng(7919 * int(key[0]) + island)
-            child = cross(lengths, own, guest, size, rng) if len(elites) > 1 else own
-            best = max((own, guest, child), key=lambda g: quality(lengths, g, size))
-            best = evolve(lengths, best, size, population, generations, 104729 * int(key[0]) + island)
-            made.append((int(key[0]), island, quality(lengths, best, size), lengths.astype("<i4").tobytes(), best.astype("<i4").tobytes()))
-        return pd.DataFrame(made, columns=["shard", "island", "score", "items", "bins"])
-
-    state = items.groupBy("shard").applyInPandas(first, layout)
+        return state(key, lengths, *evolve(lengths, [], size, population, generations, 1000 * int(key[0]) + int(key[1])))
+
+    def meet(key, frame):
+        frame = frame.sort_values("guest")
+        lengths = np.frombuffer(frame["items"].iloc[0], "<i4").astype(np.int64)
+        groups = [np.frombuffer(b, "<i4").astype(np.int64) for b in frame["bins"]]
+        best, crossings = evolve(lengths, groups, size, population, generations, 104729 * int(key[0]) + int(key[1]))
+        return state(key, lengths, best, int(frame["crossings"].iloc[0]) + crossings)
+
+    ids = F.explode(F.array(*[F.lit(k) for k in range(islands)]))
+    made = items.select("shard", "doc_id", "piece", "length", "salt", ids.alias("island")).groupBy("shard", "island").applyInPandas(begin, layout)
     for _ in range(epochs - 1):
-        state = state.groupBy("shard").applyInPandas(migrate, layout)
+        if islands > 1:
+            made = stored(made, "islands")
+            guests = made.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")).withColumn("guest", F.lit(True))
+            made = made.withColumn("guest", F.lit(False)).unionByName(guests)
+        else:
+            made = made.withColumn("guest", F.lit(False))
+        made = made.groupBy("shard", "island").applyInPandas(meet, layout)
+    return made
+
+
+def _islands(items: DataFrame, size: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """``items`` with the bin of each in its shard, by the shard's best elite."""
+    state = island_states(items, size, islands, epochs, population, generations)
     best = state.groupBy("shard").agg(F.max_by("bins", F.struct("score", -F.col("island"))).alias("bins"))
 
     def place(key, left, right):
@@ -271,8 +280,8 @@ def pack(
     shard_items: int = 4000,
     islands: int = 2,
     epochs: int = 2,
-    population: int = 3,
-    generations: int = 4,
+    population: int = 4,
+    generations: int = 20,
 ) -> DataFrame:
     """Pack all documents into as few sequences of ``size`` tokens as possible.
 
@@ -290,14 +299,14 @@ def pack(
     n = loose.count()
     shards = max(1, -(-n // shard_items))
     dealt = loose.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)).cast("long"))
-    packed = _islands(dealt, size, islands, epochs, population, generations, "shard")
+    packed = _islands(dealt, size, islands, epochs, population, generations)
     out = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if shards > 1:
         packed = stored(packed, "packed")
         slack = F.col("fill") < int(size * 0.98)
         open_ = packed.where(slack).select(*out, "salt")
         again = max(1, -(-open_.count() // shard_items))
-        second = _islands(open_.withColumn("shard", F.pmod(F.xxhash64("salt", "doc_id"), F.lit(again)).cast("long")), size, islands, epochs, population, generations, "shard")
+        second = _islands(open_.withColumn("shard", F.pmod(F.xxhash64("salt", "doc_id"), F.lit(again)).cast("long")), size, islands, epochs, population, generations)
         done = packed.where(~slack)
     else:
         second, done = packed, None

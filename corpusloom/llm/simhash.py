@@ -1,26 +1,44 @@
-"""SimHash near-duplicates through a byte-position inverted index.
-
-A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ
-in at most ``bits`` bits differ in at most ``bits`` bytes, so they share at
-least ``8 - bits`` positional bytes: the count filter. Postings of single
-bytes would hold 1/256 of all fingerprints each and tallying their pairs grows
-with the square of the corpus; so the index is keyed by *every combination* of
-``8 - bits`` byte positions with their bytes. A pair is in a common posting
-exactly when its tally of shared positional bytes reaches the minimum, and
-postings stay short: members of one differ in ``8 * bits`` bits only, which
-also bounds a posting (65,536 distinct fingerprints at 2 bits) however large
-the corpus or a group of copies. Equal fingerprints are one entry.
-
-Inside a posting every member is verified against the others on the bits that
-remain, by neighbourhoods: values at distance two or less share a value that
-is one flip from both (or are one flip apart), so linking each value to the
-smallest member of every neighbourhood keeps all links' connectivity without
-making all pairs. For other ``bits`` members are compared with one another.
-
-Edge cases: null and empty texts have fingerprint zero and link to each other;
-texts shorter than a shingle use the whole word sequence as their only
-shingle; repeated shingles count as often as they occur; an empty table gives
-an empty result; columns besides ``doc_id`` and ``text`` are ignored.
+"""Near-duplicates through a byte-position inverted index with count filter.
+
+A fingerprint is a row of positional bytes. Pairs that match must share at
+least a known number of them: of SimHash's eight bytes ``8 - bits``, since
+``bits`` differing bits touch at most as many bytes; of the 240 bytes of a wide
+fingerprint ``LEAST_SHARED`` (below). The index has postings of byte positions
+with their bytes; the shared positional bytes of pairs in a posting are
+tallied, pairs that reach the minimum stay, and those are verified.
+
+Postings of single bytes hold 1/256 of the corpus each, and tallying them makes
+work grow with its square. So a posting is keyed by several positions at once,
+chosen so that no pair of the minimum is missed:
+
+* SimHash (64 bits): two of the four pairs of bytes. A pair that differs in
+  two bytes shares two such pairs of bytes at least. Postings of more than
+  ``MOST`` members (a large group of near copies) are keyed by two bytes more
+  out of the other four, which still misses no pair; then a posting varies in
+  16 bits only. There members are linked through neighbourhoods: values at two
+  bits or less share a value that is one flip from both, or are one flip apart,
+  so linking each value to the least member of every neighbourhood connects
+  what all pairs would, in time linear in the members.
+* Wide (five-word shingles, Jaccard similarity of 0.8): byte j is the low byte
+  of the least shingle under the j-th of 240 hash orders, so two texts share it
+  with the probability of their similarity. Postings are 48 bands of five
+  bytes. At a similarity of 0.8 or more a pair shares no band with a chance of
+  5e-9, and fewer than 150 of the 240 bytes with 1e-11; it then gets lost. What
+  stays is verified on the whole shingle sets. In a posting each member is first
+  compared with the least one; only where it still has several components are
+  its other pairs compared, and if it has more than ``MOST`` members it is first
+  split by three bytes more, in 24 ways (a chance of 3e-8 for each of the about
+  16 bands that a pair shares).
+
+Equal fingerprints (wide: equal shingle sets) are one entry.
+
+Edge cases: null and empty texts have fingerprint zero and link to each other
+(wide: texts without a word are one group); texts shorter than a shingle use
+the whole word sequence as their only shingle; repeated shingles count in
+SimHash as often as they occur, in sets once; letters A-Z count as a-z; equal
+doc_ids keep a row each, and ``drop_near_copies`` tells rows apart by a number,
+so doc_id can be null or repeated; an empty table gives an empty result.
+Shingle hashes of 64 bits aren't verified against the words.
 """
 
 from __future__ import annotations
@@ -34,7 +52,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, connected_components, stored
+from .common import Words, chunks, connected_components, spread, stored
+
+MOST = 64
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND = 48, 5
+LEAST_SHARED = 150
+_RNG = np.random.default_rng(20240311)
+_TURN = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint_of(shingle_hashes: np.ndarray) -> int:
@@ -83,36 +109,44 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def positional_bytes(fingerprint):
-    """The eight bytes of a fingerprint, position 0 first."""
-    return [F.shiftrightunsigned(fingerprint, 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+def _shared(column, positions: tuple[int, ...]):
+    """The bytes at these positions of a fingerprint (a long)."""
+    mask = sum(255 << (8 * p) for p in positions)
+    return column.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+
+def _entries(table: DataFrame, keep: list[str], choices: list[tuple[int, ...]], number: str, shared: str) -> DataFrame:
+    """One row for each choice of byte positions."""
+    made = F.array(*[F.struct(F.lit(k).alias(number), _shared(F.col("fingerprint"), c).alias(shared)) for k, c in enumerate(choices)])
+    return table.select(*keep, "fingerprint", F.explode(made).alias("e")).select(*keep, "fingerprint", f"e.{number}", f"e.{shared}")
+
+
+def pairs_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (i, j), i < j, of all pairs inside consecutive groups."""
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(first)) - first
+    more = np.repeat(sizes, sizes) - place - 1
+    i = np.repeat(np.arange(len(first)), more)
+    return i, spread(np.arange(len(first)) + 1, more)
 
 
-def postings(distinct: DataFrame, bits: int) -> DataFrame:
-    """Postings with two members or more: each combination of ``8 - bits``
-    byte positions, the bytes there, and the members' remaining bytes."""
-    entries = []
-    for number, rest in enumerate(combinations(range(8), bits)):
-        mask = sum(255 << (8 * p) for p in rest)
-        kept = ~mask & ((1 << 64) - 1)
-        signed = kept - (1 << 64) if kept >> 63 else kept
-        entries.append(F.struct(F.lit(number).alias("positions"), F.col("fingerprint").bitwiseAND(F.lit(signed).cast("long")).alias("shared")))
-    index = distinct.select("fingerprint", F.explode(F.array(*entries)).alias("e"))
-    return index.groupBy("e.positions", "e.shared").agg(F.collect_list("fingerprint").alias("members")).where(F.size("members") > 1).select("members")
+def tallied(members: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs inside groups of fingerprints that share enough positional bytes
+    and differ in at most ``bits`` bits."""
+    i, j = pairs_of(sizes)
+    own = members.astype("<u8").view(np.uint8).reshape(-1, 8)
+    shared = (own[i] == own[j]).sum(1)
+    some = np.flatnonzero(shared >= 8 - bits)
+    some = some[np.bitwise_count(members[i[some]] ^ members[j[some]]) <= bits]
+    return members[i[some]], members[j[some]]
 
 
-def _verify(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) among the distinct members of one posting that connect
-    everything within ``bits`` differing bits."""
+def neighbours(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the distinct members of one posting that connect everything
+    within ``bits`` (2) differing bits; for other ``bits`` all pairs."""
     members = np.sort(members)
-    if len(members) == 2 or bits != 2:
-        if len(members) > 64 and bits != 2:
-            pairs = [(i, j) for i in range(len(members)) for j in np.flatnonzero(np.bitwise_count(members[i + 1 :] ^ members[i]) <= bits) + i + 1]
-            out = np.array(pairs, np.int64).reshape(-1, 2)
-            return members[out[:, 0]], members[out[:, 1]]
-        i, j = np.triu_indices(len(members), 1)
-        near = np.bitwise_count(members[i] ^ members[j]) <= bits
-        return members[i[near]], members[j[near]]
+    if bits != 2:
+        return tallied(members, np.array([len(members)]), bits)
     varying = np.bitwise_or.reduce(members ^ members[0])
     flips = np.array([0] + [1 << b for b in range(64) if int(varying) >> b & 1], np.uint64)
     centre = (members[:, None] ^ flips[None, :]).ravel()
@@ -125,20 +159,45 @@ def _verify(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return members[pair[0]], members[pair[1]]
 
 
-def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """Edges (a, b) between fingerprints at ``bits`` or fewer differing bits,
-    enough to connect all that link."""
+def links(distinct: DataFrame, bits: int = 2, most: int = MOST) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints at ``bits`` (2 at most) or
+    fewer differing bits, enough to connect all that link."""
+    if not 0 <= bits <= 2:
+        raise ValueError("the index covers 0 to 2 differing bits")
+    twos = [(0, 1), (2, 3), (4, 5), (6, 7)]
+    choices = [x + y for x, y in combinations(twos, 2)]
+    entries = _entries(distinct.select("fingerprint").repartition("fingerprint"), [], choices, "choice", "shared")
+    by = ["choice", "shared"]
+    sizes = stored(entries.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "print-postings")
+    inside = stored(entries.join(sizes, by), "print-entries")
 
-    def run(frames):
+    def few(frames):
+        for frame in frames:
+            lists = [np.asarray(x, np.int64).view(np.uint64) for x in frame["members"]]
+            if lists:
+                a, b = tallied(np.concatenate(lists), np.array([len(x) for x in lists]), bits)
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    def many(frames):
         for frame in frames:
-            a, b = [], []
             for members in frame["members"]:
-                x, y = _verify(np.asarray(members, np.int64).view(np.uint64), bits)
-                a.append(x), b.append(y)
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+                a, b = neighbours(np.asarray(members, np.int64).view(np.uint64), bits)
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return postings(distinct, bits).mapInPandas(run, "a long, b long").distinct()
+    members = F.collect_list("fingerprint").alias("members")
+    small = inside.where(F.col("n") <= most).groupBy(*by).agg(members).select("members").mapInPandas(few, "a long, b long")
+    # two of the other four bytes: whichever of the four aren't in a choice
+    parts = []
+    for k, choice in enumerate(choices):
+        rest = [p for p in range(8) if p not in choice]
+        large = inside.where((F.col("n") > most) & (F.col("choice") == k))
+        parts.append(_entries(large, by, list(combinations(rest, 2)), "further", "bytes"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    groups = every.groupBy(*by, "further", "bytes").agg(members).where(F.size("members") > 1)
+    large = groups.select("members").mapInPandas(many, "a long, b long")
+    return small.unionByName(large).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
@@ -157,3 +216,137 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int
 
 def hex16(fingerprint):
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and key of every distinct shingle, sorted, and how many each
+    text has."""
+    words = Words(texts)
+    width = np.minimum(words.count, size)
+    number = np.where(words.count > 0, words.count - width + 1, 0)
+    first = spread(words.first[:-1], number)
+    length = np.repeat(width, number)
+    key = np.full(len(first), 0x2545F4914F6CDD1D, np.uint64)
+    for k in range(size):
+        inside = k < length
+        mixed = (key ^ words.key[np.where(inside, first + k, 0)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        key = np.where(inside, mixed, key)
+    doc = np.repeat(np.arange(len(texts)), number)
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    return doc[new], key[new], np.bincount(doc[new], minlength=len(texts))
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """row and the distinct shingles (hashes) of every text."""
+
+    def run(batches):
+        for batch, texts in chunks(batches):
+            _, key, count = _sets(texts, shingle)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.record_batch([batch.column("row"), lists], ["row", "shingles"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """row, doc_id, print (hash of the shingle set) and wide (the positional
+    bytes) of every text."""
+
+    def run(batches):
+        for batch, texts in chunks(batches, most=1 << 20):
+            _, key, count = _sets(texts, shingle)
+            start = np.cumsum(count) - count
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64)))
+            whole = (total[start + count] - total[start]) ^ count.astype(np.uint64)
+            wide = np.zeros((len(texts), len(_ODD)), np.uint8)
+            some = np.flatnonzero(count)
+            if len(some):
+                for j, (turn, odd) in enumerate(zip(_TURN, _ODD)):
+                    wide[some, j] = np.minimum.reduceat((key ^ turn) * odd, start[some]) & np.uint64(255)
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(whole.view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary())], ["row", "doc_id", "print", "wide"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, print long, wide binary")
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """node, band (its number) and bytes of every band of a fingerprint."""
+    cut = [F.struct(F.lit(k).cast("short").alias("band"), F.expr(f"substring(wide, {1 + k * BAND}, {BAND})").alias("bytes")) for k in range(BANDS)]
+    return nodes.select("node", F.explode(F.array(*cut)).alias("e")).select("node", F.xxhash64("e.band", "e.bytes").alias("posting"))
+
+
+def _enough(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, least: int) -> DataFrame:
+    """The pairs (a, b) whose tally of shared positional bytes reaches
+    ``least`` and whose shingle sets are similar enough."""
+
+    def tally(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("wa", "wb"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(1).astype(np.int32))], ["a", "b", "shared"])
+
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("wide").alias(f"w{side}"))
+    counted = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "wa", "wb").mapInArrow(tally, "a long, b long, shared int")
+    near = stored(counted.where(F.col("shared") >= least), "near-pairs")
+    wanted = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
+    sets = stored(shingle_sets(docs.join(wanted, "row", "left_semi"), shingle), "near-sets")
+    of = lambda side: sets.select(F.col("row").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = (1 + similarity) * both >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
+    return stored(near.join(of("b"), "b").join(of("a"), "a").where(enough).select("a", "b"), "near-edges")
+
+
+def _open(postings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Postings (posting, node) that the edges leave in several components,
+    with each node's component and their number of members."""
+    reached = connected_components(edges)
+    parted = postings.join(reached, "node", "left").select("posting", "node", F.coalesce("component", "node").alias("component"))
+    several = parted.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("posting", "members")
+    return stored(parted.join(stored(several, "near-open"), "posting"), "near-open")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, least: int = LEAST_SHARED, most: int = MOST) -> DataFrame:
+    """row, doc_id and group of every row of ``docs`` (row, doc_id, text; a
+    stored table, ``row`` a key): groups are what pairs at ``similarity`` or
+    more connect. ``least`` belongs to ``similarity``."""
+    prints = stored(wide_fingerprints(docs, shingle), "near-prints")
+    lows = stored(prints.groupBy("print").agg(F.min(F.struct("row", "wide")).alias("low")).select("print", F.col("low.row").alias("node"), F.col("low.wide").alias("wide")), "near-nodes")
+    nodes = lows.select("node", "wide")
+    edges, tried = None, None
+    postings = _bands(nodes)
+    for depth in range(4):
+        first = stored(postings.groupBy("posting").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("posting", "a"), "near-firsts")
+        postings = stored(postings.join(first, "posting"), "near-postings")
+        stars = postings.where("a < node").select("a", F.col("node").alias("b")).distinct()
+        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "near-stars")
+        found = _enough(stars, nodes, docs, shingle, similarity, least)
+        edges, tried = (found, stars) if edges is None else (edges.unionByName(found), tried.unionByName(stars))
+        left = _open(postings.select("posting", "node"), edges)
+        small = left.where(F.col("members") <= most) if depth < 3 else left
+        x = small.select("posting", F.col("node").alias("a"), F.col("component").alias("ca"))
+        y = small.select("posting", F.col("node").alias("b"), F.col("component").alias("cb"))
+        across = x.join(y, "posting").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        across = stored(across, "near-across")
+        edges = edges.unionByName(_enough(across, nodes, docs, shingle, similarity, least))
+        tried = tried.unionByName(across)
+        large = left.where(F.col("members") > most)
+        if depth == 3 or large.isEmpty():
+            break
+        # three bytes more, in 24 ways
+        ways = [F.concat(*[F.expr(f"substring(wide, {1 + (way * 10 + part * 3 + depth * 7) % len(_ODD)}, 1)") for part in range(3)]) for way in range(24)]
+        ways = F.array(*[F.struct(F.lit(k).alias("way"), w.alias("bytes")) for k, w in enumerate(ways)])
+        postings = large.join(nodes, "node").select("node", "posting", F.explode(ways).alias("e")).select("node", F.xxhash64("posting", "e.way", "e.bytes").alias("posting"))
+    reached = connected_components(edges)
+    classes = lows.join(reached, "node", "left").select("print", F.coalesce("component", "node").alias("group"))
+    return prints.join(stored(classes, "near-classes"), "print").select("row", "doc_id", "group")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of every group: that of the smallest doc_id (null last)."""
+    row = "_near_row"
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    found = groups(keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, similarity)
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    return keyed.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)

@@ -70,6 +70,37 @@ def test_packing(edge, real):
     assert packing.pack(real.limit(0)).count() == 0
 
 
+def test_packing_evolves():
+    """Three pieces fill a sequence exactly: best fit needs more sequences than
+    crossovers do."""
+    import numpy as np
+
+    fewer = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(1040, 1900, 40)
+        b = rng.integers(1040, 1500, 40)
+        lengths = rng.permutation(np.concatenate([a, b, 4096 - a - b]))
+        order = np.argsort(-lengths, kind="stable")
+        plain = len(np.unique(packing.best_fit(lengths, order, [], 0, 4096)))
+        best, crossings = packing.evolve(lengths, [], 4096, 8, 400, seed)
+        fill = np.bincount(best, weights=lengths)
+        assert fill.max() <= 4096 and crossings > 0
+        used = int((fill > 0).sum())
+        assert used <= plain
+        fewer += used < plain
+    assert fewer > 0
+
+
+def test_packing_islands_cross_and_migrate(real):
+    import public_tokenizers
+
+    loose = packing.pieces(real, public_tokenizers.path("word_bpe_49k.json"), 1, 4096).where("length < 4096").selectExpr("*", "doc_id as salt", "0L as shard")
+    state = packing.island_states(loose, 4096, 3, 2, 4, 12).collect()
+    assert {r["island"] for r in state} == {0, 1, 2}
+    assert all(r["crossings"] > 0 for r in state)
+
+
 def test_packing_shards(real):
     rows = packing.pack(real, shard_items=40).collect()
     fill = defaultdict(int)
@@ -114,7 +145,8 @@ def test_simhash(edge, real):
     assert simhash.near_duplicates(real.limit(0)).count() == 0
 
 
-def test_simhash_links_in_dense_postings(spark):
+@pytest.mark.parametrize("most", [2, simhash.MOST, 10**6])
+def test_simhash_links_in_dense_postings(spark, most):
     """Chains of flips: no link may be lost where postings are full."""
     import random
 
@@ -124,7 +156,7 @@ def test_simhash_links_in_dense_postings(spark):
         values.add(rng.choice(list(values)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     values = sorted(values)
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fingerprint long")
-    edges = {(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(df).collect()}
+    edges = {(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(df, most=most).collect()}
     assert all((a ^ b).bit_count() <= 2 for a, b in edges)
     root = {v: v for v in values}
 
@@ -141,6 +173,18 @@ def test_simhash_links_in_dense_postings(spark):
                 assert find(a) == find(b)
 
 
+def test_tally_counts_shared_bytes():
+    import numpy as np
+
+    a = 0x0102030405060708
+    members = np.array([a, a ^ 1, a ^ (1 << 8), a ^ 0x0101, a ^ 0x010101, 5, 5 ^ (7 << 60)], np.uint64)
+    got = set(zip(*(x.tolist() for x in simhash.tallied(members, np.array([5, 2]), 2))))
+    five = members[:5].tolist()
+    assert got == {(p, q) for k, p in enumerate(five) for q in five[k + 1 :]} - {(five[0], five[4])}
+    i, j = simhash.pairs_of(np.array([3, 1, 2]))
+    assert list(zip(i, j)) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+
+
 def brute_lines(rows, min_words):
     """Lines covered by the longest run from each start that also starts
     earlier, where that run has ``min_words`` words."""
