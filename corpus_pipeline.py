@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, linededup, nearcopies, packing, toxicity
+from corpusloom.llm import decontam, linededup, packing, simhash, toxicity
 from corpusloom.llm.common import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest doc_id, of every group of near copies
     (five-word shingles, similarity of 0.8 or more)."""
-    return nearcopies.drop_near_copies(docs.select(*COLUMNS))
+    return simhash.drop_near_copies(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
