@@ -22,7 +22,9 @@ doc_id, or the same document and an earlier start).
    of a chain go.
 4. An anchor with more than ``most`` distinct neighbourhoods (a line that a
    large part of the corpus shares) would outgrow a bucket; its strings are
-   hashed one by one and grouped by Spark instead, an exact way for the rest.
+   hashed one by one and grouped by Spark instead, an exact way for the rest;
+   the at most ``LISTED`` strings that have more than their share of all rows
+   are looked up where they are read.
 
 Edge cases: null and empty texts keep nothing and lose nothing; documents
 shorter than ``span`` lose nothing; matches never cross documents; rows with
@@ -48,6 +50,8 @@ from pyspark.sql import functions as F
 from .common import chunks, powers, spread, stored
 
 SPAN, K = 100, 24
+#: Strings of anchors with many neighbourhoods that are sent to every task, at most.
+LISTED = 1 << 16
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -291,7 +295,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, most: int = 2000, bucket_b
 
     cold = near.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(index, "doc long, low int, high int")
 
+    near = near.where("hot")
+
     def strings(batches: Iterator[pa.RecordBatch]):
+        """doc, start and key of every string of the neighbourhoods."""
         for batch in batches:
             bodies = batch.column("body").to_pylist()
             for a in range(0, len(bodies), 2000):
@@ -306,11 +313,41 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, most: int = 2000, bucket_b
                 key = _mix(Hashes(_BYTE[np.frombuffer(b"".join(part), np.uint8)]).of(start, start + span))
                 doc = batch.column("doc").to_numpy(zero_copy_only=False)[a : a + 2000][owner]
                 begin = batch.column("begin").to_numpy(zero_copy_only=False)[a : a + 2000][owner]
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array((begin + start - first[owner]).astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "low", "key"])
-
-    each = near.where("hot").mapInArrow(strings, "doc long, low int, key long")
-    oldest = each.groupBy("key").agg(F.min(F.struct("doc", "low")).alias("oldest"), F.count("*").alias("n")).where("n > 1").select("key", "oldest")
-    hot = each.join(oldest, "key").where("struct(doc, low) <> oldest").select("doc", "low", (F.col("low") + span).alias("high"))
+                yield doc, begin + start - first[owner], key.view(np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for doc, low, key in strings(batches):
+            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(low.astype(np.int32)), pa.array(key)], ["doc", "low", "key"])
+
+    each = near.mapInArrow(rows, "doc long, low int, key long")
+    oldest = each.groupBy("key").agg(F.min(F.struct("doc", "low")).alias("oldest"), F.count("*").alias("n")).where("n > 1")
+    oldest = stored(oldest.select("key", "oldest.doc", "oldest.low", "n"), "oldest-strings")
+    total = oldest.agg(F.sum("n")).first()[0] or 0
+    # of at most LISTED strings; they are looked up where the neighbourhoods are read
+    often = oldest.where(F.col("n") > total // LISTED).toPandas().sort_values("key")
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(often[c].to_numpy(np.int64) for c in ("key", "doc", "low")))
+
+    def listed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = shared.value[0]
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        return at, keys[at] == key if len(keys) else np.zeros(len(key), bool)
+
+    def frequent(batches: Iterator[pa.RecordBatch]):
+        for doc, low, key in strings(batches):
+            at, there = listed(key)
+            later = np.flatnonzero(there)
+            later = later[(shared.value[1][at[later]] != doc[later]) | (shared.value[2][at[later]] != low[later])]
+            d, begin, end = _joined(doc[later], low[later], span)
+            yield pa.record_batch([pa.array(d, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc", "low", "high"])
+
+    def others(batches: Iterator[pa.RecordBatch]):
+        for doc, low, key in strings(batches):
+            some = np.flatnonzero(~listed(key)[1])
+            yield pa.record_batch([pa.array(doc[some], pa.int64()), pa.array(low[some].astype(np.int32)), pa.array(key[some])], ["doc", "low", "key"])
+
+    few = oldest.where(F.col("n") <= total // LISTED).select("key", F.col("doc").alias("_doc"), F.col("low").alias("_low"))
+    hot = near.mapInArrow(others, "doc long, low int, key long").join(few, "key").where("doc <> _doc or low <> _low").select("doc", "low", (F.col("low") + span).alias("high"))
+    hot = hot.unionByName(near.mapInArrow(frequent, "doc long, low int, high int"))
     return whole.unionByName(cold).unionByName(hot)
 
 

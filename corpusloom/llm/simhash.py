@@ -2,7 +2,7 @@
 
 A fingerprint is a row of positional bytes. Pairs that match must share at
 least a known number of them: of SimHash's eight bytes ``8 - bits``, since
-``bits`` differing bits touch at most as many bytes; of the 240 bytes of a wide
+``bits`` differing bits touch at most as many bytes; of the 600 bytes of a wide
 fingerprint ``LEAST_SHARED`` (below). The index has postings of byte positions
 with their bytes; the shared positional bytes of pairs in a posting are
 tallied, pairs that reach the minimum stay, and those are verified.
@@ -20,15 +20,18 @@ chosen so that no pair of the minimum is missed:
   so linking each value to the least member of every neighbourhood connects
   what all pairs would, in time linear in the members.
 * Wide (five-word shingles, Jaccard similarity of 0.8): byte j is the low byte
-  of the least shingle under the j-th of 240 hash orders, so two texts share it
-  with the probability of their similarity. Postings are 48 bands of five
-  bytes. At a similarity of 0.8 or more a pair shares no band with a chance of
-  5e-9, and fewer than 150 of the 240 bytes with 1e-11; it then gets lost. What
-  stays is verified on the whole shingle sets. In a posting each member is first
-  compared with the least one; only where it still has several components are
-  its other pairs compared, and if it has more than ``MOST`` members it is first
-  split by three bytes more, in 24 ways (a chance of 3e-8 for each of the about
-  16 bands that a pair shares).
+  of the least shingle under the j-th of 600 hash orders, so two texts share it
+  with the probability of their similarity. Postings are 75 bands of eight
+  bytes. A pair at a similarity of 0.8 shares no band with a chance of 1e-6
+  (at 0.85: 6e-11), and fewer than 432 of the 600 bytes with 5e-7; it then gets
+  lost. What stays is verified on the whole shingle sets. The postings' most
+  popular member (that with the most company over all its postings, so the
+  original rather than one of its copies) is tried first: once for each other
+  member, then for each posting that still has several components. Only where
+  components remain are pairs across them tried, and a posting of more than
+  ``MOST`` members is split by three bytes more before, in 4 ways: over all the
+  bands that a pair can share this makes the chance of 1e-6 one of 2.4e-6, and
+  5e-6 if split twice.
 
 Equal fingerprints (wide: equal shingle sets) are one entry.
 
@@ -56,8 +59,8 @@ from .common import Words, chunks, connected_components, spread, stored
 
 MOST = 64
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, BAND = 48, 5
-LEAST_SHARED = 150
+BANDS, BAND = 75, 8
+LEAST_SHARED = 432
 _RNG = np.random.default_rng(20240311)
 _TURN = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -315,27 +318,38 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     lows = stored(prints.groupBy("print").agg(F.min(F.struct("row", "wide")).alias("low")).select("print", F.col("low.row").alias("node"), F.col("low.wide").alias("wide")), "near-nodes")
     nodes = lows.select("node", "wide")
     edges, tried = None, None
+
+    def tested(pairs: DataFrame) -> None:
+        nonlocal edges, tried
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-tried")
+        found = _enough(pairs, nodes, docs, shingle, similarity, least)
+        edges, tried = (found, pairs) if edges is None else (edges.unionByName(found), tried.unionByName(pairs))
+
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     postings = _bands(nodes)
     for depth in range(4):
-        first = stored(postings.groupBy("posting").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("posting", "a"), "near-firsts")
-        postings = stored(postings.join(first, "posting"), "near-postings")
-        stars = postings.where("a < node").select("a", F.col("node").alias("b")).distinct()
-        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "near-stars")
-        found = _enough(stars, nodes, docs, shingle, similarity, least)
-        edges, tried = (found, stars) if edges is None else (edges.unionByName(found), tried.unionByName(stars))
+        sizes = stored(postings.groupBy("posting").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
+        postings = stored(postings.join(sizes, "posting"), "near-postings")
+        company = stored(postings.groupBy("node").agg(F.sum("members").alias("company")), "near-company")
+        ranked = postings.join(company, "node")
+        centres = stored(ranked.groupBy("posting").agg(F.max(F.struct("company", "node")).alias("centre")), "near-centres")
+        best = postings.join(centres, "posting").groupBy("node").agg(F.max("centre").alias("centre"))
+        tested(best.where("node <> centre.node").select(*ordered(F.col("node"), F.col("centre.node"))).distinct())
         left = _open(postings.select("posting", "node"), edges)
+        pivots = left.join(centres.select("posting", F.col("centre.node").alias("centre")), "posting")
+        own = left.select("posting", F.col("node").alias("centre"), F.col("component").alias("its"))
+        pivots = pivots.join(own, ["posting", "centre"]).where("component <> its")
+        tested(pivots.select(*ordered(F.col("node"), F.col("centre"))).distinct())
+        left = _open(left.select("posting", "node"), edges)
         small = left.where(F.col("members") <= most) if depth < 3 else left
         x = small.select("posting", F.col("node").alias("a"), F.col("component").alias("ca"))
         y = small.select("posting", F.col("node").alias("b"), F.col("component").alias("cb"))
-        across = x.join(y, "posting").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        across = stored(across, "near-across")
-        edges = edges.unionByName(_enough(across, nodes, docs, shingle, similarity, least))
-        tried = tried.unionByName(across)
+        tested(x.join(y, "posting").where("a < b and ca <> cb").select("a", "b").distinct())
         large = left.where(F.col("members") > most)
         if depth == 3 or large.isEmpty():
             break
-        # three bytes more, in 24 ways
-        ways = [F.concat(*[F.expr(f"substring(wide, {1 + (way * 10 + part * 3 + depth * 7) % len(_ODD)}, 1)") for part in range(3)]) for way in range(24)]
+        # three bytes more, in 4 ways
+        ways = [F.concat(*[F.expr(f"substring(wide, {1 + (way * 151 + part * 53 + depth * 17) % len(_ODD)}, 1)") for part in range(3)]) for way in range(4)]
         ways = F.array(*[F.struct(F.lit(k).alias("way"), w.alias("bytes")) for k, w in enumerate(ways)])
         postings = large.join(nodes, "node").select("node", "posting", F.explode(ways).alias("e")).select("node", F.xxhash64("posting", "e.way", "e.bytes").alias("posting"))
     reached = connected_components(edges)
