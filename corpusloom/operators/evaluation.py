@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -113,3 +113,43 @@ def model_compare(rows: DataFrame) -> DataFrame:
     """Per model the calls, mean latency, share of good answers and
     of valid ids. ``rows``: model, seconds, ok, valid, given."""
     return rows.groupBy("model").agg(F.count("*").alias("calls"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("ok_rate"), F.round(F.sum("valid") / F.greatest(F.sum("given"), F.lit(1)), 6).alias("valid_ratio"))
+
+
+def mean_rates(df: DataFrame, conditions: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """The share of rows for which each condition holds (null: not)."""
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int").cast("double")), 6)
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), *[rate(c).alias(name) for name, c in conditions.items()])
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A10: how often each value of each column occurs, in one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(pairs.alias("x")).groupBy("x.name", "x.value").agg(F.count("*").alias("n"))
+
+
+def conditional_counts(df: DataFrame, conditions: dict[str, Column], by: list[str]) -> DataFrame:
+    """Of each group its rows and those that meet each condition."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
+def rank_diagnosis(ranks: DataFrame, rank: str, cuts: tuple[int, ...] = (1, 5, 10, 50)) -> DataFrame:
+    """How many targets stand at each cut or better; null or below 1 is
+    not found."""
+    found = F.col(rank) >= 1
+    return ranks.agg(F.count("*").alias("n"), F.count_if(found).alias("found"), *[F.count_if(found & (F.col(rank) <= c)).alias(f"top_{c}") for c in cuts])
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve, ties half. Rows are counted by score
+    first; scores are then dealt by range, and what lies below a range is added
+    up from one row a range, so no task holds all scores."""
+    from ..plans.session import shared
+
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    ranged = shared(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("c"))
+    below = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("below"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(below, "part")
+    won = F.sum(F.col("p") * (F.col("below") + F.col("inside") + F.col("n") / 2.0))
+    return placed.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.round(won / (F.sum("p") * F.sum("n")), 6).alias("auc"))

@@ -75,57 +75,65 @@ def segment(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     return line.select("id", F.posexplode(walk).alias("pos", "t")).select("id", F.col("pos").cast("long").alias("pos"), "t.token", "t.tags")
 
 
-def _merge(tokens: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
-    """Nouns take place words; SP joins what stands before."""
-    out: list[tuple[str, list[str]]] = []
-    skip = False
-    for k, (word, tags) in enumerate(tokens):
-        if skip:
-            skip = False
-        elif k + 1 < len(tokens) and tokens[k + 1][0] in PLACE_WORDS and tags[0] in ("N", "R", "VN"):
-            out.append((word + tokens[k + 1][0], ["ND"]))
-            skip = True
-        elif tags[0] == "SP" and out:
-            out[-1] = (out[-1][0] + word, out[-1][1])
-        else:
-            out.append((word, tags))
-    return out
-
-
-def _choose(tags: list[str], before: str | None, after: str | None) -> str:
-    """One tag by fixed priority and neighbours."""
-    if len(tags) == 1:
-        return tags[0]
-    for strong in ("FW", "ND", "IDM"):
-        if strong in tags:
-            return strong
-    if {"V", "N"} <= set(tags):
-        return "V" if before in ("R", "N", "VN", None) else "N"
-    if {"V", "A"} <= set(tags):
-        return "V"
-    if {"A", "N"} <= set(tags):
-        return "N" if after in ("Q", "M") else "A"
-    return tags[0]
+# fixed values: tags of words that a place word joins
+NOMINAL = ("N", "R", "VN")
+# fixed values: of a word's tags the choice, by the first line whose tags it
+# has; (tags, choice if the neighbour fits, neighbour, its tags, else)
+CHOICES = [
+    (("FW",), "FW", None, (), None),
+    (("ND",), "ND", None, (), None),
+    (("IDM",), "IDM", None, (), None),
+    (("V", "N"), "V", "before", ("R", "N", "VN", ""), "N"),
+    (("V", "A"), "V", None, (), None),
+    (("A", "N"), "N", "after", ("Q", "M"), "A"),
+]
+
+
+def _last(items: Column) -> Column:
+    return F.get(items, F.size(items) - 1)
+
+
+def _joined(line) -> Column:
+    """G2 as a fold: a place word goes to the nominal word before it, a
+    structural particle to whatever stands before it."""
+    word = lambda token, tags, free: F.struct(token.alias("token"), tags.alias("tags"), free.alias("free"))
+    but_last = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+
+    def step(done, x):
+        last, first = _last(done), F.get(x["tags"], F.lit(0))
+        longer = F.concat(last["token"], x["token"])
+        place = last["free"] & x["token"].isin(*PLACE_WORDS)
+        grown = F.when(place, word(longer, F.array(F.lit("ND")), F.lit(False))).when((first == "SP") & last.isNotNull(), word(longer, last["tags"], F.lit(False)))
+        return F.when(grown.isNotNull(), F.concat(but_last(done), F.array(grown))).otherwise(F.concat(done, F.array(word(x["token"], x["tags"], F.coalesce(first.isin(*NOMINAL), F.lit(False))))))
+
+    return F.aggregate(line, F.array().cast("array<struct<token:string,tags:array<string>,free:boolean>>"), step)
+
+
+def _chosen(tags: Column, before: Column, after: Column) -> Column:
+    """One of a word's tags by the table of choices."""
+    near = {"before": before, "after": after}
+    out = F.get(tags, F.lit(0))
+    for needed, yes, side, fits, no in reversed(CHOICES):
+        has = F.lit(True)
+        for t in needed:
+            has = has & F.array_contains(tags, t)
+        out = F.when(has, yes if side is None else F.when(near[side].isin(*fits), yes).otherwise(no)).otherwise(out)
+    return F.when(F.size(tags) == 1, F.get(tags, F.lit(0))).otherwise(out)
 
 
 def tag(segmented: DataFrame) -> DataFrame:
-    """Id, annotation (``word/TAG#...``). A sentence is one row, so
-    the left-to-right fold is an Arrow function on lists."""
+    """Id, annotation (``word/TAG#...``). ``segmented``: id, pos,
+    token, tags; a sentence is one row, folded from left to right."""
+    line = segmented.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "tags"))).alias("line"))
+    joined = line.select("id", _joined("line").alias("w"))
+    ahead = joined.select("id", F.transform("w", lambda x, i: F.struct(x["token"].alias("token"), x["tags"].alias("tags"), F.coalesce(F.get(F.get("w", i + 1)["tags"], F.lit(0)), F.lit("")).alias("after"))).alias("w"))
+    start = F.struct(F.lit("").alias("before"), F.array().cast("array<string>").alias("out"))
 
-    def run(frames):
-        for frame in frames:
-            texts = []
-            for line in frame["line"]:
-                merged = _merge([(x["token"], list(x["tags"])) for x in line])
-                done: list[tuple[str, str]] = []
-                for k, (word, tags) in enumerate(merged):
-                    after = merged[k + 1][1][0] if k + 1 < len(merged) else None
-                    done.append((word, _choose(tags, done[-1][1] if done else None, after)))
-                texts.append("#".join(f"{w}/{t}" for w, t in done))
-            yield pd.DataFrame({"id": frame["id"], "annotation": texts})
+    def step(s, x):
+        chosen = _chosen(x["tags"], s["before"], x["after"])
+        return F.struct(chosen.alias("before"), F.concat(s["out"], F.array(F.concat(x["token"], F.lit("/"), chosen))).alias("out"))
 
-    line = segmented.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "tags"))).alias("line"))
-    return line.mapInPandas(run, "id long, annotation string")
+    return ahead.select("id", F.array_join(F.aggregate("w", start, step, lambda s: s["out"]), "#").alias("annotation"))
 
 
 # fixed values: BMES transitions that are allowed, first and last tags
