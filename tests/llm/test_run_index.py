@@ -46,7 +46,9 @@ def test_made(made):
     compare(made, bucket_bytes=3000)
 
 
-def test_hot_anchors(made):
+@pytest.mark.parametrize("listed", [1 << 16, 20])
+def test_hot_anchors(made, listed, monkeypatch):
+    monkeypatch.setattr(runindex, "LISTED", listed)
     compare(made, most=2)
 
 
