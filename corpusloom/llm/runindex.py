@@ -20,8 +20,8 @@ doc_id, or the same document and an earlier start).
    moves along and the match is one byte shorter). Positions whose match has
    ``span`` bytes or more form chains of equal strings; all but the earliest
    of a chain go.
-4. An anchor with more than ``most`` distinct neighbourhoods (a line that a
-   large part of the corpus shares) would outgrow a bucket; its strings are
+4. An anchor whose distinct neighbourhoods have more bytes than a bucket (a
+   line that a large part of the corpus shares) would outgrow it; its strings are
    hashed one by one and grouped by Spark instead, an exact way for the rest;
    the at most ``LISTED`` strings that have more than their share of all rows
    are looked up where they are read.
@@ -265,7 +265,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc long, begin int, anchor long, hot boolean, body binary")
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, most: int = 2000, bucket_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1 << 20) -> DataFrame:
     """Spans (doc, low, high) whose bytes go; they may overlap."""
     found = anchors(docs, span)
     # each table that counts is stored before it is joined: a skewed join can then be split
@@ -275,8 +275,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, most: int = 2000, bucket_b
     groups = stored(groups, "neighbourhoods")
     copies = groups.where("n > 1").select("anchor", "around", F.col("first.doc").alias("_doc"), F.col("first.low").alias("_low"))
     whole = hits.join(copies, ["anchor", "around"]).where("doc <> _doc or low <> _low").select("doc", "low", (F.col("low") + F.col("size")).alias("high"))
-    several = stored(groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "neighbourhood-kinds")
-    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", "anchor", (F.col("kinds") > most).alias("hot"))
+    several = stored(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("first.size").alias("bytes")).where("kinds > 1"), "neighbourhood-kinds")
+    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", "anchor", (F.col("bytes") > bucket_bytes).alias("hot"))
     near = stored(_texts(docs, wanted), "neighbourhood-texts")
     volume = near.where("not hot").agg(F.sum(F.length("body") + 1)).first()[0] or 0
     buckets = max(1, -(-int(volume) // bucket_bytes))

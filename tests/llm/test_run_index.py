@@ -49,7 +49,7 @@ def test_made(made):
 @pytest.mark.parametrize("listed", [1 << 16, 20])
 def test_hot_anchors(made, listed, monkeypatch):
     monkeypatch.setattr(runindex, "LISTED", listed)
-    compare(made, most=2)
+    compare(made, bucket_bytes=400)
 
 
 def test_real(spark, sf):
