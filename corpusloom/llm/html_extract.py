@@ -8,7 +8,8 @@ context of the document. Scripts, styles, comments and the head are markup and
 never blocks.
 
 The network is trained here, on ``sample`` pages in the order of a hash of
-page_id, of at most ``MOST_TRAIN`` characters each: blocks inside semantic
+page_id, of at most ``MOST_TRAIN`` characters each and up to their first
+``SPAN`` blocks: blocks inside semantic
 containers (article, main; nav, header, footer, aside, form, and class words
 such as ``ad``, ``menu``, ``comment``) are labelled by them, and each page is
 also seen in rewritten forms, with the containers renamed, unwrapped or
@@ -41,11 +42,15 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that an opening tag of the same kind, or a block, ends.
-SELF_CLOSING = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Elements that an opening tag of the same kind, or a block, ends (a head
+#: without an end tag by the first block that can't be in one).
+SELF_CLOSING = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": BLOCK_TAGS - {"head", "html", "title", "noscript"}}
 HOLDS = frozenset("article aside body blockquote div dl fieldset footer form header html main nav ol section table td th ul".split())
 HIDDEN = frozenset("head script style noscript template svg iframe select button textarea".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|noscript|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(svg)\b(?:[^>]*[^/>])?>.*?(?:</svg\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*(?:>|\Z)|[^<]+|<""",
+    re.S | re.I,
+)
 NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Containers and class words that label training blocks.
@@ -98,8 +103,9 @@ def blocks(page: str) -> list[Block]:
                     linked += len(token.strip())
             continue
         named = NAME.match(token)
-        if match.group(1) or named is None:
-            if not token.startswith("<!") and match.group(1):
+        skipped = match.group(1) or match.group(2)
+        if skipped or named is None:
+            if not token.startswith("<!") and skipped:
                 parts.append(" ")
             continue
         name = named.group(1).lower()
@@ -347,7 +353,11 @@ def variants(page: list[Block], label: np.ndarray, filler: list[str], rng: np.ra
 
 def train(pages: DataFrame, sample: int = 300, forms: int = 2, epochs: int = 6) -> Network:
     """Fit on a bounded sample of pages."""
-    some = pages.where(F.col("html").isNotNull() & (F.length("html") <= MOST_TRAIN)).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    fit = pages.where(F.col("html").isNotNull() & (F.length("html") <= MOST_TRAIN)).select("page_id", "html")
+    order = [F.xxhash64("page_id"), "page_id"]
+    # ids first, so that no task sends pages that aren't chosen
+    ids = pages.sparkSession.createDataFrame(fit.select("page_id").orderBy(*order).limit(sample).collect(), fit.select("page_id").schema).distinct()
+    some = fit.join(F.broadcast(ids), fit.page_id.eqNullSafe(ids.page_id), "left_semi").orderBy(*order, "html").limit(sample).collect()
     parsed = [x for x in (blocks(r["html"]) for r in some) if x]
     rng = np.random.default_rng(17)
     filler = [b.text for page in parsed for b in page][:5000] or ["text"]
