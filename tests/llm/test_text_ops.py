@@ -273,6 +273,21 @@ def test_decontamination(spark, edge, real, sf):
     assert decontam.find(real, bench.limit(0)).count() == 0
 
 
+def test_decontamination_names(spark):
+    item = "Anna has 3 apples in her old basket. Ben has 4 pears in a paper bag. Cara Smith lives in Paris near the long river. How many fruits do they have together ?"
+    other = "Noise first. Dora has 7 apples in her old basket. Emil has 9 pears in a paper bag. Fred lives in New York near the long river. How many fruits do they have together ?"
+    docs = [
+        (1, item),
+        (2, other),
+        (3, other.replace("Emil", "Dora")),  # one name for two
+        (4, "Noise first. Dora sold 7 houses in her old street. Emil has 9 pears. Nobody knows how many fruits they have."),
+    ]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for options in ({}, {"most_broadcast": 0}):
+        assert {r["doc_id"]: r["exact"] for r in decontam.find(d, b, **options).collect()} == {1: True, 2: False}
+
+
 def test_toxicity(spark, edge, sf):
     folder = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
