@@ -253,3 +253,28 @@ def keyword_spans(text, keywords) -> Column:
         return F.when(F.contains(x, k) & (k != "") & free, F.concat(acc, F.array(span(k)))).otherwise(acc)
 
     return F.array_sort(F.aggregate(order, empty, step))
+
+
+def headword_parts(c) -> Column:
+    """(joined, parts) of a headword split on ``|``; blank parts go."""
+    parts = F.filter(F.split(c, r"\|"), lambda x: F.trim(x) != "")
+    return F.struct(F.array_join(parts, "").alias("joined"), parts.alias("parts"))
+
+
+def char_tags(segments: Column, tag: Column) -> Column:
+    """a tag for each character; ``vn`` is V on the first segment and N on
+    the others."""
+    of = lambda i: F.when(tag == "vn", F.when(i == 0, "V").otherwise("N")).otherwise(tag)
+    return F.flatten(F.transform(segments, lambda s, i: F.array_repeat(of(i), F.length(s))))
+
+
+def candidate_lines(items: Column) -> Column:
+    """one line a candidate of (id, headword, definition)."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("ID:"), x["id"].cast("string"), F.lit(" | "), x["headword"], F.lit(" | "), x["definition"])), "\n")
+
+
+def replace_terms(text: Column, pairs: Column) -> Column:
+    """every (key, value) of an array replaced in turn, longest key first,
+    keys of one length in their own order."""
+    order = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["key"])).alias("n"), p["key"].alias("key"), p["value"].alias("value"))))
+    return F.aggregate(order, text, lambda t, p: F.replace(t, p["key"], p["value"]))

@@ -214,3 +214,38 @@ def fill_empty(base: DataFrame, new: DataFrame, key: str, column: str) -> DataFr
 def resume(work: DataFrame, done: DataFrame, key: str, lists: str) -> DataFrame:
     """What no finished batch lists yet."""
     return work.join(done.select(F.explode(lists).alias(key)).distinct(), key, "left_anti")
+
+
+def match_both_ways(sources: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sid, tier, kid of the first key of each source: an equal text
+    (tier 0) before one that contains it or is contained (tier 1), then by kid.
+    ``sources``: sid, text; ``keys``: kid, text. Blank texts match nothing."""
+    src, key = sources.where("text <> ''"), keys.where("text <> ''")
+    wide = contains_join_grams(src.withColumnRenamed("sid", "doc_id"), key.withColumnRenamed("kid", "item_id")).select(F.col("doc_id").alias("sid"), F.col("item_id").alias("kid"))
+    narrow = contains_join_grams(key.withColumnRenamed("kid", "doc_id"), src.withColumnRenamed("sid", "item_id")).select(F.col("item_id").alias("sid"), F.col("doc_id").alias("kid"))
+    same = src.join(key, "text").select("sid", "kid", F.lit(0).alias("tier"))
+    every = same.unionByName(wide.union(narrow).withColumn("tier", F.lit(1)))
+    return every.groupBy("sid").agg(F.min(F.struct("tier", "kid")).alias("m")).select("sid", "m.tier", "m.kid")
+
+
+def random_templates(items: DataFrame, templates: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``n`` of the distinct template queries, drawn by a seeded hash."""
+    return template_product(items, templates).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "query")), "query").limit(n)
+
+
+def notes(rows: DataFrame, cells: str, order: str) -> DataFrame:
+    """S3: key, note. Rows of at least 7 cells with a seventh that is not blank
+    give it under their first and their fifth cell; the last row of a key wins."""
+    full = rows.where((F.size(cells) >= 7) & (F.trim(F.get(cells, F.lit(6))) != ""))
+    keyed = full.select(F.explode(F.array(F.get(cells, F.lit(0)), F.get(cells, F.lit(4)))).alias("key"), F.get(cells, F.lit(6)).alias("note"), F.col(order).alias("o"))
+    return keyed.groupBy("key").agg(F.max_by("note", "o").alias("note"))
+
+
+def lexicon_context(hits: DataFrame, per_keyword: int = 2, most: int = 12) -> DataFrame:
+    """qid, context ``keyword=headword; ...`` of the first hits of each
+    keyword. ``hits``: qid, keyword, headword, place. The limits are the format's."""
+    pairs = hits.groupBy("qid", "keyword", "headword").agg(F.min("place").alias("place"))
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid", "keyword").orderBy("place", "headword"))).where(F.col("r") <= per_keyword)
+    listed = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("keyword", "r"))).where(F.col("n") <= most)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("keyword", F.lit("="), "headword").alias("t")))), lambda x: x["t"]), "; ")
+    return listed.groupBy("qid").agg(text.alias("context"))

@@ -132,6 +132,11 @@ def conditional_counts(df: DataFrame, conditions: dict[str, Column], by: list[st
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
 
 
+def array_coverage(df: DataFrame, items: str) -> DataFrame:
+    """Rows with an array, and how many items these hold in all."""
+    return df.where(F.col(items).isNotNull()).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.size(items)), F.lit(0)).alias("n_items"))
+
+
 def rank_diagnosis(ranks: DataFrame, rank: str, cuts: tuple[int, ...] = (1, 5, 10, 50)) -> DataFrame:
     """How many targets stand at each cut or better; null or below 1 is
     not found."""

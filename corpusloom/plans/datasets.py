@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
@@ -159,3 +160,70 @@ def u03(spark, sf):
 def u04(spark, sf):
     key = lambda t, c: table(spark, sf, t).select(F.col(c).cast("long").alias("k"))
     return key("orders", "o_custkey").intersect(key("events", "user_id"))
+
+
+@query(
+    "j09_contains_both_ways",
+    "WITH c AS (SELECT b.item_id AS sid, d.doc_id AS kid, CASE WHEN b.text = d.text THEN 0 ELSE 1 END AS tier FROM benchmark b, documents d WHERE b.text <> '' AND d.text <> '' AND (contains(b.text, d.text) OR contains(d.text, b.text))) SELECT sid, tier, kid FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY tier, kid) AS r FROM c) WHERE r = 1",
+)
+def j09(spark, sf):
+    sources = table(spark, sf, "benchmark").select(F.col("item_id").alias("sid"), "text")
+    return corpus.match_both_ways(sources, table(spark, sf, "documents").select(F.col("doc_id").alias("kid"), "text"))
+
+
+@query("p02_template_sample", "SELECT query FROM (SELECT DISTINCT replace(t, '{}', p_type) AS query FROM part, (SELECT unnest(['{}', 'what is {}', '{} or {}']) AS t)) ORDER BY md5('42:' || query), query LIMIT 40")
+def p02(spark, sf):
+    return corpus.random_templates(table(spark, sf, "part").select(F.col("p_type").alias("item")), ["{}", "what is {}", "{} or {}"], 40)
+
+
+@query(
+    "s03_notes",
+    "WITH c AS (SELECT doc_id, string_split(text, ' ') AS x FROM documents), k AS (SELECT doc_id, unnest([x[1], x[5]]) AS key, x[7] AS note FROM c WHERE len(x) >= 7 AND trim(x[7]) <> '') SELECT key, arg_max(note, doc_id) AS note FROM k GROUP BY key",
+)
+def s03(spark, sf):
+    return corpus.notes(table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("cells")), "cells", "doc_id")
+
+
+@query(
+    "f36_lexicon_context",
+    "WITH d AS (SELECT o_custkey AS qid, o_orderpriority AS k, o_orderstatus AS h, min(o_orderkey) AS f FROM orders GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid, k ORDER BY f, h) AS r FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY k, r) AS n FROM r WHERE r <= 2) SELECT qid, string_agg(k || '=' || h, '; ' ORDER BY n) AS context FROM n WHERE n <= 12 GROUP BY qid",
+)
+def f36(spark, sf):
+    return corpus.lexicon_context(table(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderpriority").alias("keyword"), F.col("o_orderstatus").alias("headword"), F.col("o_orderkey").alias("place")))
+
+
+@query("a14_array_coverage", "SELECT count(*) AS n_rows, sum(len(string_split(text, ' ')))::BIGINT AS n_items FROM documents WHERE text IS NOT NULL")
+def a14(spark, sf):
+    return evaluation.array_coverage(table(spark, sf, "documents").select(F.split("text", " ").alias("items")), "items")
+
+
+@query("f30_headword_parts", "SELECT p_partkey, array_to_string(x, '') AS joined, array_to_string(x, '/') AS parts FROM (SELECT p_partkey, list_filter(string_split(p_brand || '||' || p_type, '|'), lambda y: trim(y) <> '') AS x FROM part)")
+def f30(spark, sf):
+    both = table(spark, sf, "part").select("p_partkey", K.headword_parts(F.concat("p_brand", F.lit("||"), "p_type")).alias("x"))
+    return both.select("p_partkey", "x.joined", F.array_join("x.parts", "/").alias("parts"))
+
+
+@query(
+    "f31_char_tags",
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN repeat('V', length(w[1])) || repeat('N', length(array_to_string(w, '')) - length(w[1])) ELSE repeat('X', length(array_to_string(w, ''))) END AS tags FROM (SELECT p_partkey, p_size, string_split(p_name, ' ') AS w FROM part)",
+)
+def f31(spark, sf):
+    tag = F.when(F.col("p_size") % 2 == 0, "vn").otherwise("X")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(K.char_tags(F.split("p_name", " "), tag), "").alias("tags"))
+
+
+@query(
+    "f34_candidate_lines",
+    "SELECT p_brand, string_agg('ID:' || p_partkey || ' | ' || p_name || ' | ' || p_type, chr(10) ORDER BY p_partkey) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 20 GROUP BY p_brand",
+)
+def f34(spark, sf):
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    top = table(spark, sf, "part").withColumn("r", rank).where("r <= 20")
+    item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), F.col("p_type").alias("definition"))
+    return top.groupBy("p_brand").agg(K.candidate_lines(F.array_sort(F.collect_list(item))).alias("lines"))
+
+
+@query("f37_replace_terms", "SELECT doc_id, md5(replace(replace(replace(text, 'then', 'THEN'), 'and', '&'), 'the', 'THE')) AS replaced FROM documents")
+def f37(spark, sf):
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("the", "THE"), ("and", "&"), ("then", "THEN"))])
+    return table(spark, sf, "documents").select("doc_id", F.md5(K.replace_terms(F.col("text"), pairs)).alias("replaced"))
