@@ -171,9 +171,9 @@ def j09(spark, sf):
     return corpus.match_both_ways(sources, table(spark, sf, "documents").select(F.col("doc_id").alias("kid"), "text"))
 
 
-@query("p02_template_sample", "SELECT query FROM (SELECT DISTINCT replace(t, '{}', p_type) AS query FROM part, (SELECT unnest(['{}', 'what is {}', '{} or {}']) AS t)) ORDER BY md5('42:' || query), query LIMIT 40")
+@query("p02_template_sample", "SELECT query FROM (SELECT DISTINCT replace(t, '{}', p_type) AS query FROM part, (SELECT unnest(['{}', 'what is {}', '{} or {}']) AS t)) ORDER BY md5('42:' || query), query LIMIT 10")
 def p02(spark, sf):
-    return corpus.random_templates(table(spark, sf, "part").select(F.col("p_type").alias("item")), ["{}", "what is {}", "{} or {}"], 40)
+    return corpus.random_templates(table(spark, sf, "part").select(F.col("p_type").alias("item")), ["{}", "what is {}", "{} or {}"], 10)
 
 
 @query(
