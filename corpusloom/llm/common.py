@@ -54,7 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table.stored_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more: what was made
+    from them must be stored as well by then."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -161,3 +172,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
+
+
+def joined_components(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """``connected_components`` after more edges have come: only the graph of
+    the components that they connect is searched anew."""
+    up = reached.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    ends = edges.join(up, "a", "left").join(up.toDF("b", "y"), "b", "left")
+    top = connected_components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    moved = reached.join(top.toDF("component", "to"), "component", "left")
+    return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(top)

@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, connected_components, spread, stored
+from .common import Words, chunks, connected_components, forget, joined_components, spread, stored
 
 MOST = 64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -298,61 +298,80 @@ def _enough(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     of = lambda side: sets.select(F.col("row").alias(side), F.col("shingles").alias(f"s{side}"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = (1 + similarity) * both >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
-    return stored(near.join(of("b"), "b").join(of("a"), "a").where(enough).select("a", "b"), "near-edges")
+    edges = stored(near.join(of("b"), "b").join(of("a"), "a").where(enough).select("a", "b"), "near-edges")
+    forget(near, sets)
+    return edges
 
 
-def _open(postings: DataFrame, edges: DataFrame) -> DataFrame:
-    """Postings (posting, node) that the edges leave in several components,
-    with each node's component and their number of members."""
-    reached = connected_components(edges)
+def _open(postings: DataFrame, reached: DataFrame) -> DataFrame:
+    """Postings (posting, node) whose members are in several components, with
+    each node's component and their number of members."""
     parted = postings.join(reached, "node", "left").select("posting", "node", F.coalesce("component", "node").alias("component"))
     several = parted.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("posting", "members")
-    return stored(parted.join(stored(several, "near-open"), "posting"), "near-open")
+    several = stored(several, "near-several")
+    out = stored(parted.join(several, "posting"), "near-open")
+    forget(several)
+    return out
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, least: int = LEAST_SHARED, most: int = MOST) -> DataFrame:
     """row, doc_id and group of every row of ``docs`` (row, doc_id, text; a
     stored table, ``row`` a key): groups are what pairs at ``similarity`` or
     more connect. ``least`` belongs to ``similarity``."""
-    prints = stored(wide_fingerprints(docs, shingle), "near-prints")
-    lows = stored(prints.groupBy("print").agg(F.min(F.struct("row", "wide")).alias("low")).select("print", F.col("low.row").alias("node"), F.col("low.wide").alias("wide")), "near-nodes")
+    wide = stored(wide_fingerprints(docs, shingle), "near-wide")
+    lows = stored(wide.groupBy("print").agg(F.min(F.struct("row", "wide")).alias("low")).select("print", F.col("low.row").alias("node"), F.col("low.wide").alias("wide")), "near-nodes")
+    prints = stored(wide.select("row", "doc_id", "print"), "near-prints")
+    forget(wide)
     nodes = lows.select("node", "wide")
-    edges, tried = None, None
+    reached = stored(nodes.select("node", F.col("node").alias("component")).limit(0), "near-reached")
+    tried = []
 
     def tested(pairs: DataFrame) -> None:
-        nonlocal edges, tried
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-tried")
+        nonlocal reached
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "near-tried")
+        if pairs.isEmpty():
+            return
+        tried.append(pairs)
         found = _enough(pairs, nodes, docs, shingle, similarity, least)
-        edges, tried = (found, pairs) if edges is None else (edges.unionByName(found), tried.unionByName(pairs))
+        if not found.isEmpty():
+            old, reached = reached, stored(joined_components(reached, found), "near-reached")
+            forget(old)
+        forget(found)
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    postings = _bands(nodes)
+    postings, large = _bands(nodes), None
     for depth in range(4):
         sizes = stored(postings.groupBy("posting").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
         postings = stored(postings.join(sizes, "posting"), "near-postings")
+        forget(sizes, *([large] if large is not None else []))
         company = stored(postings.groupBy("node").agg(F.sum("members").alias("company")), "near-company")
         ranked = postings.join(company, "node")
         centres = stored(ranked.groupBy("posting").agg(F.max(F.struct("company", "node")).alias("centre")), "near-centres")
         best = postings.join(centres, "posting").groupBy("node").agg(F.max("centre").alias("centre"))
         tested(best.where("node <> centre.node").select(*ordered(F.col("node"), F.col("centre.node"))).distinct())
-        left = _open(postings.select("posting", "node"), edges)
+        left = _open(postings.select("posting", "node"), reached)
+        forget(postings, company)
         pivots = left.join(centres.select("posting", F.col("centre.node").alias("centre")), "posting")
         own = left.select("posting", F.col("node").alias("centre"), F.col("component").alias("its"))
         pivots = pivots.join(own, ["posting", "centre"]).where("component <> its")
         tested(pivots.select(*ordered(F.col("node"), F.col("centre"))).distinct())
-        left = _open(left.select("posting", "node"), edges)
+        before, left = left, _open(left.select("posting", "node"), reached)
+        forget(before, centres)
         small = left.where(F.col("members") <= most) if depth < 3 else left
         x = small.select("posting", F.col("node").alias("a"), F.col("component").alias("ca"))
         y = small.select("posting", F.col("node").alias("b"), F.col("component").alias("cb"))
         tested(x.join(y, "posting").where("a < b and ca <> cb").select("a", "b").distinct())
-        large = left.where(F.col("members") > most)
+        large = stored(left.where(F.col("members") > most), "near-large")
+        forget(left)
         if depth == 3 or large.isEmpty():
             break
         # three bytes more, in 4 ways
         ways = [F.concat(*[F.expr(f"substring(wide, {1 + (way * 151 + part * 53 + depth * 17) % len(_ODD)}, 1)") for part in range(3)]) for way in range(4)]
         ways = F.array(*[F.struct(F.lit(k).alias("way"), w.alias("bytes")) for k, w in enumerate(ways)])
         postings = large.join(nodes, "node").select("node", "posting", F.explode(ways).alias("e")).select("node", F.xxhash64("posting", "e.way", "e.bytes").alias("posting"))
-    reached = connected_components(edges)
+    forget(large, *tried)
     classes = lows.join(reached, "node", "left").select("print", F.coalesce("component", "node").alias("group"))
     return prints.join(stored(classes, "near-classes"), "print").select("row", "doc_id", "group")
 
