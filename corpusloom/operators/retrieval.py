@@ -39,15 +39,16 @@ class Index:
         sized = base.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
         self.n, self.avgdl = base.agg(F.count("*"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0))).first()
         self.postings = sized.groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")) if counted else sized.withColumn("tf", F.lit(1).cast("long"))
-        self.df = self.postings.groupBy("token").agg(F.count("*").alias("df"))
 
     def scores(self, queries: DataFrame, key: list[str]) -> DataFrame:
         """BM25 of every (key, document) that share a token. ``queries``:
         key columns and ``token``, repeats counted."""
         idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(self.avgdl, 1e-9))
-        some = queries.join(self.df, "token")  # only the postings of queried tokens are read on
-        return some.join(self.postings, "token").groupBy(*key, "id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
+        # only the postings of queried tokens are counted and read on
+        asked = self.postings.join(queries.select("token").distinct(), "token", "left_semi")
+        some = queries.join(asked.groupBy("token").agg(F.count("*").alias("df")), "token")
+        return some.join(asked, "token").groupBy(*key, "id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
 def bm25(index: Index, queries: DataFrame, n: int, key: list[str] = ["qid"], digits: int = 6) -> DataFrame:

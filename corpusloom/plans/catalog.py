@@ -50,7 +50,7 @@ BM25_SQL = """WITH d AS (SELECT doc_id AS id, %(tok)s AS t FROM documents),
  f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
  q AS (%(q)s),
  s AS (SELECT q.qid, q.ord, p.id, round(sum(ln(1+(st.n-f.df+0.5)/(f.df+0.5))*2.5/(1+1.5*(0.25+0.75*p.dl/st.av))),6) AS score FROM q JOIN p USING (token) JOIN f USING (token), st GROUP BY q.qid, q.ord, p.id)"""
-FIRST8 = "SELECT item_id AS qid, 0 AS ord, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'),1,8)) AS token FROM benchmark"
+WHOLE = "SELECT item_id AS qid, 0 AS ord, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM benchmark"
 
 
 def _doc_index(spark, sf):
@@ -63,25 +63,26 @@ def _all_words(c):
 
 @query(
     "r05_bm25_topk",
-    BM25_SQL % {"tok": TOK, "q": FIRST8} + " SELECT qid AS item_id, id AS doc_id, rk, score FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM s) WHERE rk <= 5",
+    BM25_SQL % {"tok": TOK, "q": WHOLE} + " SELECT qid AS item_id, id AS doc_id, rk, score FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM s) WHERE rk <= 5",
 )
 def r05(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(_all_words("text"), 1, 8)).alias("token"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(_all_words("text")).alias("token"))
     return retrieval.bm25(_doc_index(spark, sf), q, 5).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rk", "score")
 
 
-VARIANTS2 = FIRST8 + " UNION ALL SELECT item_id, 1, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'),-8,-1)) FROM benchmark"
+#: A text and each of its sentences.
+VARIANTS = "SELECT qid, ord, unnest(regexp_extract_all(lower(v), '[\\p{L}\\p{N}]+')) AS token FROM (SELECT item_id AS qid, unnest(vs) AS v, generate_subscripts(vs, 1) - 1 AS ord FROM (SELECT item_id, list_concat([text], string_split(text, '.')) AS vs FROM benchmark))"
 
 
 @query(
     "r06_bm25_multi_variant",
-    BM25_SQL % {"tok": TOK, "q": VARIANTS2}
+    BM25_SQL % {"tok": TOK, "q": VARIANTS}
     + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid, ord ORDER BY score DESC, id) AS r FROM s), m AS (SELECT qid, id, max(score) AS score FROM r WHERE r <= 5 GROUP BY qid, id) SELECT qid AS item_id, id AS doc_id, rk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM m) WHERE rk <= 5",
 )
 def r06(spark, sf):
-    w = _all_words("text")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.array(F.slice(w, 1, 8), F.slice(w, F.greatest(F.size(w) - 7, F.lit(1)), 8))).alias("ord", "ts"))
-    q = b.select("qid", "ord", F.explode("ts").alias("token"))
+    variants = F.concat(F.array("text"), F.split("text", "\\."))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(variants).alias("ord", "variant"))
+    q = b.select("qid", "ord", F.explode(_all_words("variant")).alias("token"))
     return retrieval.bm25_multi(_doc_index(spark, sf), q, 5).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rk", "score")
 
 
@@ -90,13 +91,13 @@ def r06(spark, sf):
     """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents),
  st AS (SELECT count(*) AS n, avg(len(t)) AS av FROM d), e AS (SELECT id, len(t) AS dl, unnest(t) AS token FROM d),
  p AS (SELECT id, token, dl, count(*) AS tf FROM e GROUP BY id, token, dl), f AS (SELECT token, count(*) AS df FROM p GROUP BY token), q AS ("""
-    + FIRST8
+    + WHOLE
     + """), s AS (SELECT q.qid, p.id, round(sum(ln(1+(st.n-f.df+0.5)/(f.df+0.5))*p.tf*2.5/(p.tf+1.5*(0.25+0.75*p.dl/st.av))),6) AS score FROM q JOIN p USING (token) JOIN f USING (token), st GROUP BY q.qid, p.id)
  SELECT qid AS item_id, id AS doc_id, rk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM s) WHERE rk <= 5""",
 )
 def r07(spark, sf):
     index = retrieval.Index(table(spark, sf, "documents"), _all_words("text"), "doc_id", counted=True)
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(_all_words("text"), 1, 8)).alias("token"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(_all_words("text")).alias("token"))
     return retrieval.bm25(index, q, 5).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rk", "score")
 
 
