@@ -69,16 +69,19 @@ def upsert(base: DataFrame, new: DataFrame, key: str, prefer_new: bool = True) -
 
 
 def contains_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """J8, literal form: (doc_id, item_id) where the document contains the
-    item. Every pair is compared; for stated, small item sets."""
-    return docs.crossJoin(items.select("item_id", F.col("text").alias("needle")).where("needle <> ''")).where(F.contains("text", F.col("needle"))).select("doc_id", "item_id")
+    """(doc_id, item_id) where the document contains the item, by the
+    items' rarest grams of characters."""
+    from .grams import containing
+
+    named = items.select("item_id", F.col("text").alias("keyword"))
+    return containing(docs.select(F.col("doc_id").alias("id"), "text"), named).withColumnRenamed("id", "doc_id").join(named, "keyword").select("doc_id", "item_id")
 
 
 def contains_join_grams(docs: DataFrame, items: DataFrame, words: int = 4) -> DataFrame:
     """J8 by an equi join: a document that contains an item contains its
     windows of whole words; only such pairs are compared. Items of fewer than
-    ``words + 2`` words go the literal way, as their first and last word may
-    be cut."""
+    ``words + 2`` words go by grams of characters, as their first and last word
+    may be cut."""
     w = lambda c: F.array_remove(F.split(F.regexp_replace(c, "\\s+", " "), " "), "")
     inner = items.select("item_id", F.col("text").alias("needle"), w(F.col("text")).alias("w")).where("needle <> ''")
     long = inner.where(F.size("w") >= words + 2)
@@ -189,7 +192,7 @@ def index_records(entries: DataFrame, mode: str = "both") -> DataFrame:
 def coerce_ids(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Numeric ids where enough rows have them (100 or a tenth), else row
     numbers taken before any filter; negative ids go."""
-    parsed = F.try_to_number(F.col(column), F.lit("S999999999999")) if False else F.expr(f"try_cast(`{column}` as double)")
+    parsed = F.expr(f"try_cast(`{column}` as double)")
     n, good = df.agg(F.count("*"), F.count(parsed)).first()
     if good >= max(100, 0.1 * n):
         return df.withColumn("id", parsed.cast("long")).where("id >= 0")

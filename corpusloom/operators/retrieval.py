@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import words as W
+from .grams import containing
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -78,11 +79,27 @@ def lexical_score(q: Column, headword: Column, definition: Column) -> Column:
     return F.when((q != "") & (head + body > 0), head + body - 0.01 * F.length(headword))
 
 
+def _each(scored: DataFrame, queries: DataFrame, on: str, n: int, by: list[str]) -> DataFrame:
+    """The best n of every distinct text, given to all queries that ask it."""
+    best = top(scored.withColumn("score", F.round("score", 6)), n, [on])
+    return queries.join(best, on).select(*by, "id", "score", "rk")
+
+
 def lexical_scan(queries: DataFrame, entries: DataFrame, n: int) -> DataFrame:
-    """A stated query set against all entries, best n for each (qid, ord)."""
+    """Best n entries for each (qid, ord). A score needs the variant inside
+    a field, or equal to the definition without its marks, so only such entries
+    are scored, once for each distinct variant."""
+    asked = queries.where("variant <> ''").select("variant").distinct()
+    word = asked.withColumnRenamed("variant", "keyword")
+    pairs = None
+    for field in ("headword", "definition"):
+        found = containing(entries.select("id", F.col(field).alias("text")), word)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    plain = entries.select("id", T.strip(T.without("definition", ["。", "！", "？"])).alias("variant")).join(asked, "variant", "left_semi")
+    pairs = pairs.select("id", F.col("keyword").alias("variant")).unionByName(plain).distinct()
     score = lexical_score(F.col("variant"), F.col("headword"), F.col("definition"))
-    found = entries.crossJoin(queries).select("qid", "ord", "id", score.alias("score")).where("score is not null")
-    return top(found.withColumn("score", F.round("score", 6)), n, ["qid", "ord"])
+    found = pairs.join(entries, "id").select("variant", "id", score.alias("score")).where("score is not null")
+    return _each(found, queries, "variant", n, ["qid", "ord"])
 
 
 def lexical_multi(queries: DataFrame, entries: DataFrame, n: int) -> DataFrame:
@@ -106,8 +123,10 @@ def substring_search(queries: DataFrame, entries: DataFrame, n: int) -> DataFram
     ``queries``: qid, term."""
     q = F.col("term")
     score = F.when(F.contains("headword", q), 2.0).otherwise(0.0) + F.when(F.contains("definition", q), 1.0).otherwise(0.0)
-    found = entries.crossJoin(queries.where("term <> ''")).select("qid", "id", F.when(score > 0, F.round(score - 0.01 * F.length("headword"), 6)).alias("score")).where("score is not null")
-    return top(found, n, ["qid"])
+    word = queries.select(F.col("term").alias("keyword"))
+    pairs = containing(entries.select("id", F.col("headword").alias("text")), word).unionByName(containing(entries.select("id", F.col("definition").alias("text")), word)).distinct()
+    found = pairs.withColumnRenamed("keyword", "term").join(entries, "id").select("term", "id", F.when(score > 0, score - 0.01 * F.length("headword")).alias("score")).where("score is not null")
+    return _each(found, queries, "term", n, ["qid"])
 
 
 def exact_index(entries: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def _part(spark, sf):
 def _names(spark, sf):
     p = table(spark, sf, "part")
     both = p.select(F.col("p_name").alias("variant")).union(p.select("p_type")).distinct()
-    return both.select((F.row_number().over(Window.orderBy("variant")) - 1).cast("long").alias("qid"), F.lit(0).alias("ord"), "variant")
+    return corpus.numbered(both, ["variant"], name="qid").select("qid", F.lit(0).alias("ord"), "variant")
 
 
 LEX = """c AS (SELECT qid, ord, id, headword, (CASE WHEN variant = headword THEN 20.0 WHEN contains(headword, variant) THEN 10.0 ELSE 0.0 END) + (CASE WHEN variant = definition THEN 18.0 WHEN starts_with(definition, variant) THEN 8.0 WHEN contains(definition, variant) THEN 3.0 ELSE 0.0 END) AS b FROM e, q),

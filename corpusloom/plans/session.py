@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A local session that names none
+    (tests) gets a temporary one; on a cluster the setting is needed, as
+    executors share no folder of the driver's machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``, or in a
-    temporary one where the session names none (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+    """``df`` checkpointed in ``folder``."""
+    folder(df.sparkSession)
     return df.checkpoint()

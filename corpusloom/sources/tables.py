@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..plans.session import folder
 
 BOM = "\ufeff"
 
@@ -21,6 +25,70 @@ def read_lines(spark: SparkSession, path: str, name: str = "query") -> DataFrame
     return spark.read.text(path).select(line.alias(name)).where(F.col(name) != "")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: a later join knows its size."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, file, line (from 1) and n (from 0, over all files in the order of
+    their paths) of every line.
+
+    Rows of a split have consecutive ids in file order, so a line's number is
+    its distance from its split's first id and the lines of the splits before.
+    Only one row for each split is grouped and sorted, and written as a table
+    whose size Spark knows, so it is sent to the lines while it is small."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("file").agg(F.sum("size").alias("size"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    base = files.select("file", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("above"))
+    known = written(splits.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, "file").drop("size"))
+    line = F.col("before") + F.col("at") - F.col("first")
+    return raw.join(known, ["file", "block"]).select("value", "file", (line + 1).alias("line"), (F.col("above") + line).alias("n"))
+
+
+BAD = "_bad"
+
+
+def _parsed(value, schema: StructType | str):
+    """A JSON object by ``schema`` with the text of a line that isn't one in ``BAD``."""
+    whole = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return F.from_json(value, StructType([*whole.fields, StructField(BAD, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+
+
+def _filled(value):
+    return F.trim(F.regexp_replace(F.ltrim(value, F.lit(BOM)), "(?U)\\s+", " ")) != ""
+
+
+def read_jsonl_strict(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
+    """Rows of JSON lines; the first line met that isn't an object of the
+    schema stops the query with ``file:line``. Blank lines are skipped."""
+    rows = numbered_lines(spark, path).where(_filled(F.col("value"))).withColumn("j", _parsed(F.ltrim(F.col("value"), F.lit(BOM)), schema))
+    wrong = F.raise_error(F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(": not a JSON object of the schema")))
+    # the check stands in every column, so no projection can lose it
+    return rows.select(F.when(F.col("j").isNull() | F.col(f"j.{BAD}").isNotNull(), wrong).otherwise(F.col("j")).alias("j")).select("j.*").drop(BAD)
+
+
+def read_jsonl_lenient(spark: SparkSession, path: str | list[str], schema: StructType | str) -> tuple[DataFrame, Observation]:
+    """The good rows, and counts of lines, blank and malformed ones that are
+    there once the rows have been read."""
+    seen = Observation("jsonl")
+    rows = spark.read.text(path).withColumn("full", _filled(F.col("value"))).withColumn("j", _parsed(F.ltrim(F.col("value"), F.lit(BOM)), schema))
+    bad = F.col("full") & (F.col("j").isNull() | F.col(f"j.{BAD}").isNotNull())
+    counted = rows.withColumn("bad", bad).observe(seen, F.count("*").alias("lines"), F.count_if(~F.col("full")).alias("blank"), F.count_if("bad").alias("malformed"))
+    return counted.where(F.col("full") & ~F.col("bad")).select("j.*").drop(BAD), seen
+
+
+def head_lines(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
+    """The first ``n`` lines that have text, in the order of files and lines."""
+    full = numbered_lines(spark, path).where(_filled(F.col("value")))
+    return full.orderBy("n").limit(n)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The named columns as trimmed strings: absent ones, nulls and ``nan`` are
     empty, a byte-order mark on the header is dropped."""
