@@ -37,11 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it reread:
     later stages neither recompute it nor depend on an executor's disk. Its

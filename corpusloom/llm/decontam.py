@@ -165,7 +165,6 @@ def _windows(df: DataFrame, id_column: str, window: int, wanted=None) -> DataFra
             near = np.zeros(1 << 20, bool)
             near[(keys >> np.uint64(44)).astype(np.int64)] = True
         for batch, texts in chunks(batches, most=1 << 20):
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             for number, form in enumerate(Templates(texts).forms):
                 first, length, key = form.windows(window, number)
@@ -175,7 +174,7 @@ def _windows(df: DataFrame, id_column: str, window: int, wanted=None) -> DataFra
                     first, length, key = first[some], length[some], key[some]
                 doc = form.doc[first]
                 slots = [form.value[a : a + n][form.slot[a : a + n]].view(np.int64) for a, n in zip(first.tolist(), length.tolist())]
-                columns = [pa.array(ids[doc], pa.int64()), pa.array(rows[doc], pa.int64()), pa.array(np.full(len(doc), number, np.int32)), pa.array(first - form.first[doc], pa.int64()), pa.array(key.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
+                columns = [batch.column("id").take(pa.array(doc)), pa.array(rows[doc], pa.int64()), pa.array(np.full(len(doc), number, np.int32)), pa.array(first - form.first[doc], pa.int64()), pa.array(key.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
                 yield pa.record_batch(columns, ["id", "row", "form", "pos", "key", "slots"])
 
     return df.select(F.col(id_column).cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "id long, row long, form int, pos long, key long, slots array<long>")
@@ -189,7 +188,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     wanted = None
     distinct = own.select("key").distinct()
     if distinct.count() <= most_broadcast:
-        wanted = spark.sparkContext.broadcast(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
+        wanted = spark.sparkContext.broadcast(distinct.toArrow()["key"].to_numpy().view(np.uint64))
     total = own.groupBy("item_row", "form").agg(F.count("*").alias("windows"))
     hits = stored(_windows(docs, "doc_id", window, wanted).withColumnRenamed("id", "doc_id").join(own, ["form", "key"]), "template-hits")
     place = ["doc_id", "row", "item_id", "item_row", "form", (F.col("pos") - F.col("item_pos")).alias("diagonal")]
@@ -216,6 +215,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without documents that contain a benchmark item."""
-    bad = find(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    """``docs`` without rows whose text contains a benchmark item. The verdict
+    follows from the text alone, so rows are told apart by a 64-bit hash of it:
+    null and repeated doc_ids play no part, and all columns pass through."""
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    bad = find(docs.select(text.alias("doc_id"), "text"), benchmark, **options).select("doc_id").distinct()
+    return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["doc_id"], "left_anti")

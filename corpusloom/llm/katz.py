@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, stored
+from .common import Words, fresh, stored
 
 K = 5
 ORDER = 2
@@ -393,10 +393,22 @@ def lookup(docs: DataFrame, model: Model) -> DataFrame:
     return asked.groupBy("order", "range").cogroup(model.counts.unionByName(model.contexts).groupBy("order", "range")).applyInPandas(run, SENT)
 
 
+ADDED = ("n_tokens", "n_known", "base_score", "score")
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` with other names for columns that clash with those made here."""
+    for name in ("_block", "block", *ADDED):
+        if name in docs.columns:
+            docs = docs.withColumnRenamed(name, fresh(docs, f"{name}_given"))
+    return docs
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but for ``text``, and n_tokens, n_known,
-    base_score, score of every row. ``docs`` must not have columns of these
-    names."""
+    base_score, score of every row; columns of ``docs`` with these names get
+    ``_given`` at their end."""
+    docs = _renamed(docs)
     columns = [c for c in docs.columns if c != "text"]
     table, _ = blocks(docs if "learn" in columns else docs.withColumn("learn", F.lit(False)))
     return _score(table, stored(lookup(table.select("_block", "learn", "text"), model), "lm-told"), model, columns)
@@ -407,7 +419,7 @@ def _score(docs: DataFrame, told: DataFrame, model: Model, columns: list[str]) -
 
     def run(key, docs, told):
         out = docs[columns].copy()
-        for name, values in zip(("n_tokens", "n_known", "base_score", "score"), _evaluated(_texts(docs), Told(told), numbers)):
+        for name, values in zip(ADDED, _evaluated(_texts(docs), Told(told), numbers)):
             out[name] = values
         return out
 
@@ -441,7 +453,8 @@ def _evaluated(texts: list[bytes], told: Told, numbers) -> tuple[np.ndarray, ...
 
 def fit_and_score(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
     """Fit on the rows whose ``learn`` is true and score all rows; what the
-    blocks were told while counting is used again."""
+    blocks were told while counting is used again. Columns as in ``score``."""
+    docs = _renamed(docs)
     table, size = blocks(docs)
     model, told = _fit(table, size, order)
     return model, _score(table, told, model, [c for c in docs.columns if c != "text"])

@@ -6,10 +6,10 @@ its bytes into pieces of a fixed public vocabulary, of the product of the
 pieces' probabilities there (forward algorithm). Pieces never reach over a
 space, so a text's sum over all segmentations is the product over its words,
 and each distinct word of a batch is summed once. Piece probabilities come from
-expectation maximisation (forward-backward counts) on a sample of ``sample``
-labelled documents of each language, whole texts, in the order of a hash of
-doc_id; words and expected counts are gathered by Spark, and the driver keeps
-one number for each language and piece. A share ``mix`` of the probability is
+expectation maximisation (forward-backward counts) on about ``sample`` labelled
+documents of each language, whole texts, chosen by a hash of doc_id; words and
+expected counts are gathered by Spark, and the driver keeps one number for each
+language and piece. A share ``mix`` of the probability is
 spread evenly over all pieces. Runs of over ``LONGEST`` bytes are cut every
 ``LONGEST`` bytes before segmentation, whatever the size of the text.
 
@@ -30,7 +30,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _TABLE, chunks, powers, stored
@@ -174,10 +174,14 @@ class Model:
 
 
 def training_words(docs: DataFrame, sample: int) -> DataFrame:
-    """(lang, word, n) over the first ``sample`` documents of each language."""
-    known = docs.where("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "lang", F.xxhash64("doc_id").alias("h"))
-    first = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample).select("id", F.col("lang").alias("l")).distinct()
-    texts = docs.select("doc_id", "lang", "text").join(first, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")), "left_semi")
+    """(lang, word, n) over about ``sample`` documents of each language: those
+    whose hash falls in the first ``sample / documents`` of its range, all of
+    them where there are no more than ``sample``."""
+    known = docs.where("lang is not null and doc_id is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))]) if sizes else F.create_map()
+    place = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
+    texts = known.where(place < F.try_element_at(share, F.col("lang"))) if sizes else known.where("false")
     word = F.explode(F.array_remove(F.split(letters(F.col("text")), " "), "")).alias("word")
     return texts.select("lang", word).groupBy("lang", "word").agg(F.count("*").alias("n"))
 

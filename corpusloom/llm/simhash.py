@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, connected_components, forget, joined_components, spread, stored
+from .common import Words, chunks, connected_components, forget, fresh, joined_components, spread, stored
 
 MOST = 64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -209,11 +209,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int
     prints = stored(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "distinct-prints")
     edges = links(distinct, bits)
-    low_a = distinct.select(F.col("fingerprint").alias("a"), F.col("low").alias("la"))
-    low_b = distinct.select(F.col("fingerprint").alias("b"), F.col("low").alias("lb"))
-    by_doc = edges.join(low_a, "a").join(low_b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    reached = connected_components(by_doc)
-    classes = distinct.join(reached, distinct.low == reached.node, "left").select("fingerprint", F.coalesce("component", "low").alias("component_id"))
+    # the fingerprint is the node, so rows without an id link others as well,
+    # and an id that stands in two groups doesn't join them
+    reached = connected_components(edges)
+    roots = reached.select(F.col("component").alias("node"), "component").distinct()
+    reached = reached.unionByName(roots)
+    linked = distinct.join(reached, distinct.fingerprint == reached.node).select("fingerprint", "component", "low")
+    least = linked.groupBy("component").agg(F.min("low").alias("least"))
+    moved = linked.join(least, "component").select("fingerprint", "least")
+    classes = distinct.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("least", "low").alias("component_id"))
     return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -378,7 +382,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of every group: that of the smallest doc_id (null last)."""
-    row = "_near_row"
+    row = fresh(docs, "_near_row")
     keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
     found = groups(keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, similarity)
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
