@@ -7,20 +7,22 @@ the whole sequence in both directions, so every block is judged with the
 context of the document. Scripts, styles, comments and the head are markup and
 never blocks.
 
-The network is trained here, on ``sample`` pages in the order of a hash of
-page_id, of at most ``MOST_TRAIN`` characters each and up to their first
-``SPAN`` blocks: blocks inside semantic
-containers (article, main; nav, header, footer, aside, form, and class words
-such as ``ad``, ``menu``, ``comment``) are labelled by them, and each page is
-also seen in rewritten forms, with the containers renamed, unwrapped or
-without their class words, and with further notices, forms, sidebars and
-comments put around the article, so that context decides where tags don't.
+The network is trained here on two sorts of pages. ``sample`` pages of the table,
+in the order of a hash of page_id and of at most ``MOST_TRAIN`` characters each,
+are labelled by their containers (article, main; nav, header, footer, aside,
+form, and class words such as ``ad``, ``menu``, ``comment``). ``composed`` pages
+are put together from pieces of their texts, with the labels known: articles of
+one to many parts (paragraphs long and short, headings, lists, quotations,
+preformatted text, tables, figures, bare text) in all sorts of shells or in none,
+with and without menus, notices, forms, sidebars and comments around and inside
+them, and with class words often left out, so that context decides where tags
+don't. All blocks of a page are read in one sequence, however long it is.
 
 Edge cases: null, empty and text-free pages give empty text; unclosed and stray
 tags are tolerated (an end tag closes up to its element, if that is open); an
-unended comment or tag is dropped as markup; an empty table gives an empty
-result; further columns are ignored. Pages longer than ``SPAN`` blocks are
-labelled in spans of that many blocks with an overlap, all of them.
+unended comment or tag is dropped as markup; null and repeated page_ids are rows
+like any other; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import Words
 
 MOST_TRAIN = 60_000
-SPAN, OVERLAP = 400, 60
+STEPS = 1 << 17  # blocks, padding included, that are labelled at a time (a longer page comes alone)
+MARK = "\ue000"  # begins the blocks of a composed page that belong to its article
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
@@ -56,9 +59,10 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 #: Containers and class words that label training blocks.
 GOOD = frozenset("article main".split())
 BAD = frozenset("nav header footer aside form menu dialog".split())
+GOOD_WORDS = frozenset("article body content entry main post story text".split())
 BAD_WORDS = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie copyright footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo related search share sidebar social sponsor sponsored subscribe toolbar widget".split())
 
-PATHS, WORDS, DENSE, HIDDEN_UNITS = 64, 32, 12, 16
+PATHS, WORDS, DENSE, HIDDEN_UNITS = 64, 32, 16, 20
 WIDTH = PATHS + WORDS + DENSE
 
 
@@ -171,6 +175,11 @@ def features(pages: list[list[Block]]) -> list[np.ndarray]:
         out[:, at + 5] = [b.path[-1:] == ("<p",) for b in flat]
         out[:, at + 6] = ["\xa9" in b.text for b in flat]
         out[:, at + 7] = [min(1.0, len(b.path) / 10) for b in flat]
+        names = [{x[1:] for x in b.path if x[0] == "<"} for b in flat]
+        out[:, at + 12] = [bool(x & GOOD) for x in names]
+        out[:, at + 13] = [bool(x & BAD) for x in names]
+        out[:, at + 14] = [any(x[0] == "." and x[1:] in BAD_WORDS for x in b.path) for b in flat]
+        out[:, at + 15] = [any(x[0] == "." and x[1:] in GOOD_WORDS for x in b.path) for b in flat]
         k = 0
         for page in pages:
             n = len(page)
@@ -211,8 +220,8 @@ class Network:
         self.p["V"] = rng.normal(0, 0.15, 2 * h)
         self.p["v"] = np.zeros(1)
 
-    def _pass(self, x, mask, d):
-        """Hidden states (T x B x h) and what the way back needs."""
+    def _pass(self, x, mask, d, learning=True):
+        """Hidden states (T x B x h) and what the way back needs when learning."""
         t, b, _ = x.shape
         h = HIDDEN_UNITS
         wide = x @ self.p["W" + d] + self.p["c" + d]
@@ -226,14 +235,15 @@ class Network:
             m = mask[k][:, None]
             new = f * cell + i * g
             th = np.tanh(new)
-            kept.append((k, i, f, o, g, cell, th, state, m))
+            if learning:
+                kept.append((k, i, f, o, g, cell, th, state, m))
             state, cell = m * (o * th) + (1 - m) * state, m * new + (1 - m) * cell
             states[k] = state
         return states, kept
 
-    def forward(self, x, mask):
-        f, kf = self._pass(x, mask, "f")
-        b, kb = self._pass(x, mask, "b")
+    def forward(self, x, mask, learning=True):
+        f, kf = self._pass(x, mask, "f", learning)
+        b, kb = self._pass(x, mask, "b", learning)
         both = np.concatenate([f, b], 2)
         return _sigmoid(both @ self.p["V"] + self.p["v"]), both, kf, kb
 
@@ -284,21 +294,17 @@ class Network:
 
     def predict(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Whether each block belongs to the main text."""
-        spans = []
-        for i, page in enumerate(pages):
-            at = 0
-            while at < len(page):
-                low, high = max(0, at - OVERLAP), min(len(page), at + SPAN + OVERLAP)
-                spans.append((high - low, i, low, at, min(len(page), at + SPAN)))
-                at += SPAN
-        spans.sort()
         out = [np.zeros(len(p), bool) for p in pages]
-        for k in range(0, len(spans), 128):
-            part = spans[k : k + 128]
-            x, mask = padded([pages[i][low : low + n] for n, i, low, _, _ in part])
-            y = self.forward(x, mask)[0]
-            for j, (n, i, low, at, end) in enumerate(part):
-                out[i][at:end] = y[at - low : end - low, j] > 0.5
+        by = [i for i in np.argsort([len(p) for p in pages], kind="stable").tolist() if len(pages[i])]
+        while by:
+            n = 1
+            while n < min(len(by), 128) and (n + 1) * len(pages[by[-1]]) <= STEPS:
+                n += 1
+            part, by = by[-n:], by[:-n]
+            x, mask = padded([pages[i] for i in part])
+            y = self.forward(x, mask, False)[0]
+            for j, i in enumerate(part):
+                out[i] = y[: len(pages[i]), j] > 0.5
         return out
 
 
@@ -310,69 +316,113 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def variants(page: list[Block], label: np.ndarray, filler: list[str], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """A rewritten form of a labelled page."""
-    pick = lambda *xs: xs[rng.integers(len(xs))]
-    words = lambda: pick(*filler)[: int(rng.integers(8, 160))]
-    shell = pick(("<main",), ("<div", ".content"), ("<div", ".post", ".body"), ("<div",), ("<section",), ("<div", ".entry"), ("<article",), ("<article", ".post"), ("<main", "<article"), ("<div", ".story", ".text"))
-    bar = pick(("<aside",), ("<div", ".sidebar"), ("<div", ".widget"), ("<section", ".related"))
-    talk = pick(("<section", ".comments"), ("<div", ".comment"), ("<div", ".comments", ".area"), ("<ol", ".commentlist", ".comment", "<li"))
-    note = pick(("<div", ".cookie"), ("<div", ".notice"), ("<div", ".banner"), ("<div", ".ad"), ("<div", ".newsletter"), ("<form",), ("<dialog", ".popup"), ("<div", ".consent"))
-    top = pick(("<header",), ("<div", ".header"), ("<header", "<nav"), ("<div", ".menu", "<ul"), ("<nav", "<ul"))
-    low = pick(("<footer",), ("<div", ".footer"), ("<footer", ".site"))
-    inside = lambda where, n, tag="<p", linked=0.0: [Block(t, ("<html", "<body", *where, tag), linked, len(t)) for t in (words() for _ in range(n)) if t]
-    out: list[tuple[Block, float]] = []
-    add = lambda bs: out.extend((b, 0.0) for b in bs)
-    if rng.random() < 0.5:
-        add(inside(top, int(rng.integers(1, 6)), "<li", 1.0))
-    if rng.random() < 0.4:
-        add(inside(note, int(rng.integers(1, 3))))
-    if rng.random() < 0.3:
-        add(inside(bar, int(rng.integers(1, 4))))
-    goods = int(label.sum())
-    middle = int(rng.integers(1, max(2, goods))) if goods > 1 and rng.random() < 0.4 else -1
-    seen = 0
-    for b, y in zip(page, label):
-        if y:
-            path = tuple(x for x in b.path if x not in ("<article", "<main", "<html", "<body"))
-            out.append((Block(b.text, ("<html", "<body", *shell, *path), b.linked, b.size), 1.0))
-            seen += 1
-            if seen == middle:
-                add(inside((*shell, *note), int(rng.integers(1, 3))))
-        else:
-            out.append((b, 0.0))
-    if rng.random() < 0.4:
-        at = len(out) - sum(1 for _ in range(0))
-        out[at:at] = [(b, 0.0) for b in inside((*shell, *talk) if rng.random() < 0.5 else talk, int(rng.integers(1, 6)))]
-    if rng.random() < 0.3:
-        add(inside(bar, int(rng.integers(1, 4)), pick("<p", "<li")))
-    if rng.random() < 0.4:
-        add(inside(low, int(rng.integers(1, 3))))
-    return [b for b, _ in out], np.array([y for _, y in out], np.float32)
-
-
-def train(pages: DataFrame, sample: int = 300, forms: int = 2, epochs: int = 6) -> Network:
-    """Fit on a bounded sample of pages."""
+SHELLS = (
+    [("<article>", "</article>")] * 5
+    + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div role="main">', "</div>"), ("<section>", "</section>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", "")]
+    + [(f'<div class="{c}">', "</div>") for c in ("content", "post", "entry content", "story", "text", "page", "main", "article body", "x wide", "col left")]
+    + [(f'<div id="{c}"><div class="row">', "</div></div>") for c in ("content", "main", "wrap", "post")]
+    + [("<table><tr><td>", "</td></tr></table>"), ("<center><table><tr><td><font>", "</font></td></tr></table></center>")]
+)
+AROUND = {
+    "menu": ("<nav>{}</nav>", "<header><nav>{}</nav></header>", '<div class="menu">{}</div>', '<div class="header navbar">{}</div>', '<div id="nav">{}</div>', "<div>{}</div>"),
+    "notice": ('<div class="cookie">{}</div>', '<div class="notice">{}</div>', '<div class="banner">{}</div>', '<div class="newsletter">{}</div>', '<dialog class="popup">{}</dialog>', '<div class="consent modal">{}</div>', '<div class="ad">{}</div>', '<div class="advert sponsored">{}</div>', "<form>{}</form>", '<form class="subscribe">{}</form>', '<div class="promo">{}</div>'),
+    "side": ("<aside>{}</aside>", '<div class="sidebar">{}</div>', '<div class="widget">{}</div>', '<section class="related">{}</section>', '<div id="sidebar">{}</div>', '<div class="share social">{}</div>'),
+    "talk": ('<section class="comments">{}</section>', '<div class="comment">{}</div>', '<div id="comments">{}</div>', '<ol class="commentlist">{}</ol>', '<div class="comments area">{}</div>'),
+    "end": ("<footer>{}</footer>", '<div class="footer">{}</div>', '<footer class="site">{}</footer>', '<div id="footer">{}</div>', '<div class="copyright">{}</div>'),
+}
+
+
+def composed(prose: list[str], other: list[str], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """A made page, parsed as any page, and the labels of its blocks."""
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    chance = lambda p: rng.random() < p
+
+    def words(low, high, source=None):
+        n, text = int(rng.integers(low, high + 1)), pick(source or prose).split()
+        while len(text) < n:
+            text = text + pick(source or prose).split()
+        at = int(rng.integers(0, len(text) - n + 1))
+        return entities.escape(" ".join(text[at : at + n]))
+
+    good = lambda low, high: MARK + words(low, high)
+    row = lambda tag, n, low, high: "".join(f"<{tag}>{good(low, high)}</{tag}>" for _ in range(n))
+
+    def part(kind):
+        few = int(rng.integers(2, 6))
+        if kind == "p":
+            return f"<p>{good(*pick(((20, 120), (20, 120), (5, 30), (1, 8))))}</p>"
+        if kind == "head":
+            return row(pick(("h2", "h3", "h4")), 1, 1, 9)
+        if kind == "list":
+            tag = pick(("ul", "ol"))
+            return f"<{tag}>{row('li', few, 1, 25)}</{tag}>"
+        if kind == "quote":
+            return f"<blockquote>{row('p', 1, 5, 60)}</blockquote>" if chance(0.6) else row("blockquote", 1, 5, 60)
+        if kind == "table":
+            return f"<table>{''.join(f'<tr>{row("td", 2, 1, 12)}</tr>' for _ in range(few))}</table>"
+        if kind == "figure":
+            return f'<figure><img src="x"><figcaption>{good(2, 20)}</figcaption></figure>'
+        if kind == "terms":
+            return f"<dl>{''.join(row('dt', 1, 1, 4) + row('dd', 1, 3, 25) for _ in range(few))}</dl>"
+        return row({"pre": "pre", "div": "div", "section": "section"}[kind], 1, 5, 80)
+
+    kinds = ["p"] * 10 + ["head", "head", "list", "list", "quote", "pre", "table", "figure", "div", "terms"]
+    links = lambda n: "".join(f'<li><a href="/x">{words(1, 4, other)}</a></li>' for _ in range(n))
+
+    def around(kind):
+        some = int(rng.integers(1, 6))
+        if kind == "menu":
+            return pick(AROUND[kind]).format(f"<ul>{links(some + 1)}</ul>" if chance(0.8) else "".join(f'<a href="/">{words(1, 3, other)}</a> ' for _ in range(some)))
+        if kind == "side" and chance(0.5):
+            return pick(AROUND[kind]).format(f"<h3>{words(1, 4, other)}</h3><ul>{links(some)}</ul>")
+        if kind == "end":
+            return pick(AROUND[kind]).format(pick((f"<p>&copy; 2024 {words(1, 12, other)}</p>", f"&copy; {words(1, 6, other)}", f"<ul>{links(some)}</ul><p>{words(3, 20, other)}</p>")))
+        tag = pick(("p", "div", "li")) if kind == "talk" else pick(("p", "p", "div", "span"))
+        source = prose if kind == "talk" or chance(0.5) else other
+        return pick(AROUND[kind]).format("".join(f"<{tag}>{words(2, 60 if kind == 'talk' else 25, source)}</{tag}>" for _ in range(min(some, 3))))
+
+    parts = [part(pick(kinds)) for _ in range(int(rng.integers(1, pick((3, 8, 14)))))]
+    if chance(0.2):
+        parts = [f"<p>{good(*pick(((30, 120), (60, 200))))}</p>" for _ in range(int(rng.integers(1, 5)))]
+    if chance(0.55):
+        parts.insert(0, f"<h1>{good(1, 12)}</h1>" if chance(0.8) else f"<header><h1>{good(1, 12)}</h1></header>")
+    if chance(0.3):
+        parts.insert(int(rng.integers(0, len(parts) + 1)), around(pick(("notice", "side", "notice"))))
+    if chance(0.2):
+        parts.append(around(pick(("talk", "side"))))
+    shell = pick(SHELLS)
+    page = [shell[0], *parts, shell[1]]
+    bare = chance(0.2)  # nothing but the article
+    for kind, p, before in (("notice", 0.3, True), ("menu", 0.6, True), ("side", 0.3, False), ("talk", 0.35, False), ("notice", 0.25, False), ("end", 0.6, False)):
+        if not bare and chance(p):
+            page = [around(kind), *page] if before else [*page, around(kind)]
+    body = "".join(page)
+    if chance(0.2):
+        body = f'<div class="{pick(("wrap", "page", "container", "site"))}">{body}</div>'
+    found = blocks(f"<html><head><title>{words(1, 6)}</title></head><body>{body}</body></html>")
+    label = np.array([b.text.startswith(MARK) for b in found], np.float32)
+    return [Block(b.text.replace(MARK, ""), b.path, b.linked, len(b.text.replace(MARK, ""))) for b in found], label
+
+
+def train(pages: DataFrame, sample: int = 300, made: int = 1200, epochs: int = 6) -> Network:
+    """Fit on a bounded sample of pages and ``made`` composed ones."""
     fit = pages.where(F.col("html").isNotNull() & (F.length("html") <= MOST_TRAIN)).select("page_id", "html")
     order = [F.xxhash64("page_id"), "page_id"]
     # ids first, so that no task sends pages that aren't chosen
     ids = pages.sparkSession.createDataFrame(fit.select("page_id").orderBy(*order).limit(sample).collect(), fit.select("page_id").schema).distinct()
     some = fit.join(F.broadcast(ids), fit.page_id.eqNullSafe(ids.page_id), "left_semi").orderBy(*order, "html").limit(sample).collect()
     parsed = [x for x in (blocks(r["html"]) for r in some) if x]
-    rng = np.random.default_rng(17)
-    filler = [b.text for page in parsed for b in page][:5000] or ["text"]
-    xs, ys = [], []
-    for page in parsed:
-        label = weak_labels(page)
-        xs.append(page), ys.append(label)
-        for _ in range(forms):
-            x, y = variants(page, label, filler, rng)
-            xs.append(x), ys.append(y)
     network = Network()
-    if not xs:
+    if not parsed:
         return network
-    order = [(x[:SPAN], y[:SPAN]) for x, y in zip(xs, ys)]
-    return network.fit(features([x for x, _ in order]), [y for _, y in order], epochs)
+    labels = [weak_labels(page) for page in parsed]
+    flat = [(b.text, y) for page, label in zip(parsed, labels) for b, y in zip(page, label)]
+    prose = [t for t, y in flat if y and len(t) > 80][:5000] or [t for t, _ in flat][:5000]
+    other = [t for t, y in flat if not y][:5000] or prose
+    rng = np.random.default_rng(17)
+    examples = [composed(prose, other, rng) for _ in range(made)]
+    xs, ys = [*parsed, *[x for x, _ in examples if x]], [*labels, *[y for x, y in examples if x]]
+    return network.fit(features(xs), ys, epochs)
 
 
 def extract(pages: DataFrame, network: Network) -> DataFrame:
