@@ -69,7 +69,7 @@ def violations() -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*early), F.when(kw.isNull(), F.array().cast("array<string>")).otherwise(F.array(*late))))))
 
 
-def clean_prediction(df: DataFrame) -> DataFrame:
+def cleaned_answers(df: DataFrame) -> DataFrame:
     """Normalised fields of (qid, query, core_text, type, predicate,
     object, keywords), with ``errors``."""
     stop = F.array(*map(F.lit, W.RULE_STOPWORDS))
@@ -133,18 +133,20 @@ def parsed_items(batches: DataFrame) -> DataFrame:
 
 def teacher_clean(batches: DataFrame) -> DataFrame:
     """Accepted rows and rejects with their reason: batch_index, query,
-    core_text, type, final_output, status."""
-    items = parsed_items(batches)
-    query = F.coalesce(T.blank_to_null(T.strip("item.query")), F.get("batch_queries", F.col("pos")))
-    rows = items.where("reason is null and item is not null").select(F.monotonically_increasing_id().alias("qid"), "batch_index", query.alias("query"), *[F.coalesce(F.col(f"item.{c}"), F.lit("")).alias(c) for c in ("core_text", "type", "predicate", "object")], "item.keywords")
+    core_text, type, final_output, status. An item without a query or with a
+    fault is rejected; hard cases are overridden once they are accepted."""
     from ..plans.session import shared
 
-    rows = shared(rows)
-    cleaned = clean_prediction(rows).join(rows.select("qid", "batch_index", "query"), "qid")
-    fixed = cleaned.withColumn("o", override("query"))
-    out = fixed.select("batch_index", "query", F.coalesce("o.core_text", "core_text").alias("core_text"), F.coalesce("o.type", "type").alias("type"), K.final_render("type", "keywords").alias("final_output"), F.when((F.size("errors") == 0) | F.col("o").isNotNull(), "ok").otherwise(F.array_join("errors", ",")).alias("status"))
+    items = shared(parsed_items(batches).withColumn("qid", F.monotonically_increasing_id()))
+    rows = items.where("reason is null and item is not null").select("qid", "batch_index", F.coalesce(T.strip("item.query"), F.lit("")).alias("query"), *[F.coalesce(F.col(f"item.{c}"), F.lit("")).alias(c) for c in ("core_text", "type", "predicate", "object")], "item.keywords")
+    asked = rows.where("query <> ''")
+    cleaned = cleaned_answers(asked).join(asked.select("qid", "batch_index", "query"), "qid").withColumn("o", override("query"))
+    ok = F.size("errors") == 0
+    take = lambda name: F.when(ok, F.coalesce(f"o.{name}", name))
+    accepted = cleaned.select("batch_index", "query", take("core_text").alias("core_text"), take("type").alias("type"), F.when(ok, K.final_render(take("type"), take("keywords"))).alias("final_output"), F.when(ok, "ok").otherwise(F.array_join("errors", ",")).alias("status"))
     none = F.lit(None).cast("string")
-    return out.unionByName(items.where("reason is not null").select("batch_index", none.alias("query"), none.alias("core_text"), none.alias("type"), none.alias("final_output"), F.col("reason").alias("status")))
+    reject = lambda df, query, status: df.select("batch_index", query.alias("query"), none.alias("core_text"), none.alias("type"), none.alias("final_output"), status.alias("status"))
+    return accepted.unionByName(reject(rows.where("query = ''"), F.lit(""), F.lit("missing_query_in_batch_item"))).unionByName(reject(items.where("reason is not null"), none, F.col("reason")))
 
 
 def teacher_labels(batches: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog, datasets, serving  # noqa: F401
+from corpusloom.plans import catalog, datasets, labelling, serving  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
