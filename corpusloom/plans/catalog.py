@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import words as W
 from ..operators import corpus, evaluation, labels, retrieval, segmentation
+from . import derived as DV
 from . import fixtures as FX
 from .session import shared
 
@@ -170,19 +171,42 @@ def r17(spark, sf):
     return retrieval.exact_index(FX.frame(spark, "fx_entries").select("id", "headword", "definition").unionByName(p))
 
 
+E18 = f"SELECT id, headword, definition FROM {FX.sql('fx_entries')} UNION ALL SELECT id + 1000, headword, definition FROM ({DV.ENTRIES})"
+
+
 @query(
     "r18_exact_hits",
-    f"""WITH e AS ({FX.sql('fx_entries')}), {EXACT}, q AS (SELECT qid, {DM % 'text'} AS k FROM {FX.sql('fx_queries')} UNION ALL SELECT id + 100, {DM % 'definition'} || '了' FROM {FX.sql('fx_entries')}),
+    f"""WITH e AS ({E18}), {EXACT}, q AS (SELECT qid, {DM % 'text'} AS k FROM {FX.sql('fx_queries')} UNION ALL SELECT id + 100, {DM % 'definition'} || '了' FROM {FX.sql('fx_entries')} UNION ALL SELECT p_partkey + 1000, {DM % DV.TERM[1]} FROM part),
  f AS (SELECT qid, 0 AS ord, k AS key FROM q WHERE k <> '' UNION ALL SELECT qid, 1, left(k, length(k)-1) FROM q WHERE length(k) > 2 AND right(k,1) IN ('了','吗','呢','啊','呀')),
  h AS (SELECT f.qid, i.headword, i.id, i.score, row_number() OVER (PARTITION BY f.qid, i.headword ORDER BY f.ord, i.score DESC, i.id) AS r FROM f JOIN i USING (key)) SELECT * FROM (SELECT qid, headword, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM h WHERE r = 1) WHERE rk <= 3""",
 )
 def r18(spark, sf):
-    e = FX.frame(spark, "fx_entries")
-    q = FX.frame(spark, "fx_queries").select("qid", F.col("text").alias("term")).unionByName(e.select((F.col("id") + 100).alias("qid"), F.concat(T.definition_match("definition"), F.lit("了")).alias("term")))
-    return retrieval.exact_hits(q, retrieval.exact_index(e), 3)
+    e = FX.frame(spark, "fx_entries").select("id", "headword", "definition")
+    part = table(spark, sf, "part")
+    own = e.select((F.col("id") + 100).alias("qid"), F.concat(T.definition_match("definition"), F.lit("了")).alias("term"))
+    q = FX.frame(spark, "fx_queries").select("qid", F.col("text").alias("term")).unionByName(own).unionByName(part.selectExpr("p_partkey + 1000 AS qid", f"{DV.TERM[0]} AS term"))
+    return retrieval.exact_hits(q, retrieval.exact_index(e.unionByName(part.selectExpr("p_partkey + 1000 AS id", *DV.SPARK_ENTRY))), 3)
+
+
+def _source_sql(pre: str, entries: str, number: int, name: str) -> str:
+    """Hits of one source: exact ones, else entries that contain the term."""
+    exact = EXACT.replace("FROM e)", f"FROM {pre}e)")
+    for cte in ("b", "k", "x", "i"):
+        exact = exact.replace(f"{cte} AS (", f"{pre}{cte} AS (", 1).replace(f"FROM {cte} ", f"FROM {pre}{cte} ")
+    exact = exact.replace("FROM k)", f"FROM {pre}k)").replace("FROM b WHERE", f"FROM {pre}b WHERE")
+    return f"""{pre}e AS ({entries}), {exact}, {pre}h AS (SELECT qid, headword, id, score FROM (SELECT f.qid, i.headword, i.id, i.score, row_number() OVER (PARTITION BY f.qid, i.headword ORDER BY f.ord, i.score DESC, i.id) AS r FROM f JOIN {pre}i i USING (key)) WHERE r = 1),
+ {pre}t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM {pre}h) WHERE r <= 3),
+ {pre}s AS (SELECT qid, id, headword, round(CAST((CASE WHEN contains(headword, variant) THEN 2.0 ELSE 0 END) + (CASE WHEN contains(definition, variant) THEN 1.0 ELSE 0 END) - 0.01*length(headword) AS DOUBLE), 6) AS score FROM {pre}e e, q WHERE (contains(headword, variant) OR contains(definition, variant)) AND qid NOT IN (SELECT qid FROM {pre}t)),
+ {pre}u AS (SELECT qid, headword, id, score, 0 AS tier, {number} AS source_ord, '{name}' AS source FROM {pre}t UNION ALL SELECT qid, {HN % "headword"}, id, score, 1, {number}, '{name}' FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM {pre}s) WHERE r <= 3)"""
 
 
-@query("r24_lookup_tiers")
+@query(
+    "r24_lookup_tiers",
+    f"""WITH q AS ({NAMES}), d AS (SELECT qid, {DM % 'variant'} AS k FROM q), f AS (SELECT qid, 0 AS ord, k AS key FROM d WHERE k <> '' UNION ALL SELECT qid, 1, left(k, length(k)-1) FROM d WHERE length(k) > 2 AND right(k,1) IN ('了','吗','呢','啊','呀')),
+ {_source_sql("m", PART, 0, "primary")}, {_source_sql("n", "SELECT s_suppkey AS id, s_name AS headword, 'supplier' AS definition FROM supplier", 1, "second")},
+ a AS (SELECT *, row_number() OVER (PARTITION BY qid, source, headword ORDER BY tier, score DESC, id) AS r FROM (SELECT * FROM mu UNION ALL SELECT * FROM nu))
+ SELECT * FROM (SELECT qid, tier, row_number() OVER (PARTITION BY qid ORDER BY source_ord, tier, score DESC, id) AS rk, source, id FROM a WHERE r = 1) WHERE rk <= 5""",
+)
 def r24(spark, sf):
     second = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("headword"), F.lit("supplier").alias("definition"))
     q = _names(spark, sf).select("qid", F.col("variant").alias("term"))
@@ -236,11 +260,38 @@ def r11(spark, sf):
     return retrieval.fuse(near.unionByName(listed), 24)
 
 
-@query("r12_field_match")
+def _near_entries(spark, sf):
+    """The pairs (qid, id) of ``derived.PAIRS`` with the entry's fields."""
+    part = table(spark, sf, "part")
+    pairs = part.select(F.col("p_partkey").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(DV.NEAR - 1))).alias("j")).where("qid >= j").selectExpr("qid", "qid - j AS id")
+    return pairs.join(part.selectExpr("p_partkey AS id", *DV.SPARK_ENTRY), "id")
+
+
+KEY = "[。！？!?，,；;：:、\\s]+"
+WORDCHAR = "[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+"
+TOKENS = lambda x: DV.distinct(f"flatten(list_transform(regexp_extract_all(regexp_replace(lower(coalesce({x}, '')), '{WORDCHAR}', '', 'g'), '[a-z0-9_]+|[^a-z0-9_]+'), lambda r: CASE WHEN regexp_matches(r, '^[a-z0-9_]') THEN [r] ELSE list_concat({DV.grams_sql('r', 1)}, {DV.grams_sql('r', 2)}) END))")
+LOW = "[" + ", ".join(f"'{w}'" for w in W.LOW_INFORMATION) + "]"
+KEPT = lambda x: f"list_filter({x}, lambda w: NOT list_contains({LOW}, w))"
+
+
+def _field_sql(v: str, weight: float) -> str:
+    key = f"regexp_replace({v}, '{KEY}', '', 'g')"
+    wide = f"length({key}) >= 2"
+    head = f"CASE WHEN {v} = clean THEN 6.0 WHEN {wide} AND starts_with(clean, {v}) THEN 3.0 WHEN {wide} AND contains(clean, {v}) THEN 1.0 ELSE 0 END"
+    body = f"CASE WHEN {key} <> '' AND {key} = plain THEN 5.0 WHEN {wide} AND starts_with(d, {v}) THEN 2.5 WHEN {wide} AND contains(d, {v}) THEN 0.8 ELSE 0 END"
+    return f"CASE WHEN {v} = '' THEN 0 ELSE ({head} + {body}) * {weight} END"
+
+
+@query(
+    "r12_field_match",
+    f"""WITH e AS ({DV.ENTRIES}), q AS (SELECT id AS qid, concat(word, other) AS v0, word AS v1, definition AS v2 FROM ({DV.BASE})), x AS (SELECT qid, id, v0, v1, v2, trim(regexp_replace(trim(headword), '^[【】\\[\\] ]+|[【】\\[\\] ]+$', '', 'g')) AS clean, trim(definition) AS d FROM ({DV.PAIRS}) JOIN e USING (id) JOIN q USING (qid)),
+ y AS (SELECT *, regexp_replace(d, '{KEY}', '', 'g') AS plain, {TOKENS('v0')} AS t0, {TOKENS('clean')} AS tc, {TOKENS('d')} AS td FROM x), z AS (SELECT *, {KEPT('t0')} AS p, {KEPT('tc')} AS pc, {KEPT('td')} AS pd FROM y)
+ SELECT qid, id, field FROM (SELECT qid, id, round(CAST({_field_sql('v0', 1.5)} + {_field_sql('v1', 1.0)} + {_field_sql('v2', 1.0)} + CASE WHEN len(p) > 0 THEN 3.0 * len(list_intersect(p, pc)) / len(p) + 2.0 * len(list_intersect(p, pd)) / len(p) ELSE 0 END
+  - CASE WHEN length(clean) <= 1 AND (length(regexp_replace(v0, '\\s+', '', 'g')) >= 2 OR length(regexp_replace(v1, '\\s+', '', 'g')) >= 2 OR length(regexp_replace(v2, '\\s+', '', 'g')) >= 2) AND clean NOT IN (v0, v1, v2) THEN 5.0 ELSE 0 END AS DOUBLE), 6) AS field FROM z) WHERE field <> 0""",
+)
 def r12(spark, sf):
-    q = shared(K.with_query_variants(FX.frame(spark, "fx_queries"), "text").select("qid", "variants"))
-    e = FX.frame(spark, "fx_entries").select("id", "headword", "definition")
-    return e.crossJoin(q).select("qid", "id", F.round(retrieval.field_score("variants", "headword", "definition"), 6).alias("field")).where("field <> 0")
+    q = table(spark, sf, "part").selectExpr("p_partkey AS qid", f"array(concat({DV.ROWS['word'][0]}, {DV.ROWS['other'][0]}), {DV.ROWS['word'][0]}, {DV.ROWS['definition'][0]}) AS variants")
+    return _near_entries(spark, sf).join(q, "qid").select("qid", "id", F.round(retrieval.field_score("variants", "headword", "definition"), 6).alias("field")).where("field <> 0")
 
 
 @query(
@@ -261,22 +312,51 @@ def r14(spark, sf):
     return search(q, FX.frame(spark, "fx_entries").select("id", "headword", "definition"), top_k=20, top_n=3)
 
 
-def _candidates(spark):
-    p = FX.frame(spark, "fx_parsed")
-    e = FX.frame(spark, "fx_entries").select("id", "headword", "definition")
-    terms = F.array_distinct(F.filter(F.concat(F.array("core_text"), "segments", "keywords", F.array(T.normalize_shared("query"))), lambda t: t != ""))
-    both = e.crossJoin(p.select("qid", "query", "core_text", "type", "segments", terms.alias("terms")))
-    return both.withColumn("score", F.round(1.0 / (1 + F.col("id")), 6)).withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")))
+PARSED = f"""p AS (SELECT p_partkey AS qid, {DV.SQL_ANSWER} FROM part), s AS (SELECT id AS qid, word, other FROM ({DV.BASE})), c AS (SELECT qid, id, query, core_text, type, [word, predicate] AS segments, {DV.distinct("list_filter([core_text, word, other, predicate, trim(query)], lambda t: t <> '')")} AS terms, headword, definition, round(1.0::DOUBLE / (1 + id), 3) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(1.0::DOUBLE / (1 + id), 3) DESC, id) AS rk FROM ({DV.PAIRS}) JOIN ({DV.ENTRIES}) USING (id) JOIN p USING (qid) JOIN s USING (qid))"""
+
+
+def _candidates(spark, sf):
+    part = table(spark, sf, "part")
+    p = part.selectExpr("p_partkey AS qid", *DV.SPARK_ANSWER).join(part.selectExpr("p_partkey AS qid", f"{DV.ROWS['word'][0]} AS word", f"{DV.ROWS['other'][0]} AS other"), "qid")
+    terms = F.array_distinct(F.filter(F.array("core_text", "word", "other", "predicate", F.trim("query")), lambda t: t != ""))
+    both = _near_entries(spark, sf).join(p.select("qid", "query", "core_text", "type", F.array("word", "predicate").alias("segments"), terms.alias("terms")), "qid")
+    return both.withColumn("score", F.round(1.0 / (1 + F.col("id")), 3)).withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")))
 
 
-@query("r19_heuristic_rerank")
+SHARED = DV.or_else(DV.shells_off(DV.trim("definition"), W.SHARED_SHELLS), DV.trim("definition"))
+
+
+@query(
+    "r19_heuristic_rerank",
+    f"""WITH {PARSED}, n AS (SELECT *, {HN % 'headword'} AS h, {SHARED} AS d FROM c), b AS (SELECT *, coalesce(list_sum(list_transform(terms, lambda t: (CASE WHEN t = h THEN 4.0 WHEN contains(h, t) THEN 2.5 ELSE 0 END) + (CASE WHEN contains(d, t) THEN 1.5 ELSE 0 END))), 0)::DOUBLE AS bonus,
+  CASE WHEN type = '动作短语' THEN least(length(h), 6) * 0.08::DOUBLE WHEN type = '词项' THEN -greatest(length(h) - 4, 0) * 0.03::DOUBLE ELSE 0 END AS size, len(list_filter(segments, lambda g: trim(g) <> '' AND contains(h, trim(g)))) AS parts FROM n)
+ SELECT * FROM (SELECT qid, id, round(bonus, 4) AS overlap_bonus, round(score + bonus + size + 0.6::DOUBLE * parts, 4) AS rerank_score, row_number() OVER (PARTITION BY qid ORDER BY round(score + bonus + size + 0.6::DOUBLE * parts, 4) DESC, score DESC, id) AS rk FROM b) WHERE rk <= 5""",
+)
 def r19(spark, sf):
-    return retrieval.heuristic_rerank(_candidates(spark)).select("qid", "id", "overlap_bonus", "rerank_score", "rk").where("rk <= 5")
+    return retrieval.heuristic_rerank(_candidates(spark, sf)).select("qid", "id", "overlap_bonus", "rerank_score", "rk").where("rk <= 5")
+
 
+def _overlap_sql(a: str, b: str, n: str) -> str:
+    """F25 of two columns over the length of ``n``."""
+    common = f"(SELECT coalesce(sum(least(length({a}) - length(replace({a}, ch, '')), length({b}) - length(replace({b}, ch, '')))), 0) FROM (SELECT DISTINCT unnest(string_split({a}, '')) AS ch))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE {common} / greatest(length({n}), 1) END"
 
-@query("r20_features")
+
+INSIDE = lambda x: f"list_filter(ts, lambda t: contains({x}, t))"
+LONGEST = lambda x: f"coalesce(list_max(list_transform({INSIDE(x)}, lambda t: length(t))), 0)"
+VALUES = [
+    "score", "1.0::DOUBLE / greatest(rk, 1)", "list_contains(ts, h)::INT", f"len({INSIDE('h')})", f"len({INSIDE('d')})", "len(list_filter(gs, lambda g: g <> '' AND contains(h, g)))", LONGEST("h"), LONGEST("d"), "length(h)", "length(d)",
+    *[_overlap_sql(a, b, n) for a, b, n in (("q", "h", "q"), ("q", "h", "h"), ("core", "h", "core"), ("core", "h", "h"), ("q", "d", "q"), ("q", "d", "d"))], "(type = '动作短语')::INT", "(type = '词项')::INT",
+]
+
+
+@query(
+    "r20_features",
+    f"""WITH {PARSED}, n AS (SELECT qid, id, score, rk, type, regexp_replace(headword, '[\\[\\]【】\\s]', '', 'g') AS h, {DV.gsub('definition', '\\s+')} AS d, {DV.gsub('query', '\\s+')} AS q, {DV.gsub('core_text', '\\s+')} AS core, list_filter(list_transform(terms, lambda t: {DV.gsub('t', '\\s+')}), lambda t: t <> '') AS ts, list_transform(segments, lambda t: {DV.gsub('t', '\\s+')}) AS gs FROM c)
+ SELECT qid, id, {', '.join(f'round(CAST({v} AS DOUBLE), 6) AS {n}' for n, v in zip(retrieval.FEATURES, VALUES))} FROM n""",
+)
 def r20(spark, sf):
-    return retrieval.rerank_features(_candidates(spark))
+    return retrieval.rerank_features(_candidates(spark, sf))
 
 
 def _labelled(spark, sf):
@@ -335,19 +415,41 @@ SET = {
 }
 
 
-@query("u07_set_prf", f"WITH x AS (SELECT id, list_distinct(gold) AS g, list_distinct(pred) AS p FROM {FX.sql('fx_sets')}) SELECT id, {', '.join(f'round(({v})::DOUBLE,6) AS {n}' for n, v in SET.items())} FROM x")
+SETS = f"(SELECT id, gold, pred FROM {FX.sql('fx_sets')} UNION ALL SELECT p_partkey + 1000, coalesce(keywords, []), CASE WHEN p_partkey % 29 = 0 THEN [] ELSE [object, {DV.ROWS['word'][1]}, {DV.ROWS['other'][1]}] END FROM (SELECT *, {DV.SQL_ANSWER} FROM part))"
+
+
+def _sets(spark, sf):
+    made = table(spark, sf, "part").selectExpr("*", *DV.SPARK_ANSWER)
+    gold = F.coalesce("keywords", F.array().cast("array<string>")).alias("gold")
+    pred = F.expr(f"CASE WHEN p_partkey % 29 = 0 THEN cast(array() AS array<string>) ELSE array(object, {DV.ROWS['word'][0]}, {DV.ROWS['other'][0]}) END").alias("pred")
+    return FX.frame(spark, "fx_sets").select("id", "gold", "pred").unionByName(made.select((F.col("p_partkey") + 1000).alias("id"), gold, pred))
+
+
+@query("u07_set_prf", f"WITH x AS (SELECT id, list_distinct(gold) AS g, list_distinct(pred) AS p FROM {SETS}) SELECT id, {', '.join(f'round(({v})::DOUBLE,6) AS {n}' for n, v in SET.items())} FROM x")
 def u07(spark, sf):
-    return FX.frame(spark, "fx_sets").select("id", *[F.round(v.cast("double"), 6).alias(n) for n, v in evaluation.set_scores("gold", "pred").items()])
+    return _sets(spark, sf).select("id", *[F.round(v.cast("double"), 6).alias(n) for n, v in evaluation.set_scores("gold", "pred").items()])
 
 
-@query("e06_struct_em", f"SELECT id, (list_sort(list_distinct(gold)) = list_sort(list_distinct(pred)))::INT AS em FROM {FX.sql('fx_sets')}")
+@query("e06_struct_em", f"SELECT id, (list_sort(list_distinct(gold)) = list_sort(list_distinct(pred)))::INT AS em FROM {SETS}")
 def e06(spark, sf):
-    return FX.frame(spark, "fx_sets").select("id", evaluation.exact_match("gold", "pred").cast("int").alias("em"))
+    return _sets(spark, sf).select("id", evaluation.exact_match("gold", "pred").cast("int").alias("em"))
 
 
-@query("e07_span_f1")
+TAGS_OF = lambda n: f"CASE WHEN {n} < 1 THEN '' WHEN {n} = 1 THEN 'S' ELSE 'B' || repeat('M', {n} - 2) || 'E' END"
+
+
+@query(
+    "e07_span_f1",
+    f"""WITH l AS (SELECT id, length(word) AS a, length(word) + length(other) AS n FROM ({DV.BASE})), c AS (SELECT id, n, a AS ga, CASE WHEN id % 3 = 0 THEN a ELSE 2 END AS pa FROM l),
+ t AS (SELECT *, {TAGS_OF('ga')} || {TAGS_OF('(n - ga)')} AS g, {TAGS_OF('pa')} || {TAGS_OF('(n - pa)')} AS p, CASE WHEN n > pa THEN 2 ELSE 1 END AS np, CASE WHEN ga = pa THEN 2 ELSE 0 END AS tp FROM c),
+ m AS (SELECT sum(tp)::DOUBLE AS tp, sum(np) AS np, count(*) * 2 AS ng, sum(len(list_filter(range(1, n + 1), lambda i: substr(g, i, 1) = substr(p, i, 1))))::DOUBLE AS same, sum(n) AS n, avg((g = p)::INT::DOUBLE) AS exact FROM t)
+ SELECT 'precision' AS metric, round(tp / np, 6) AS value FROM m UNION ALL SELECT 'recall', round(tp / ng, 6) FROM m UNION ALL SELECT 'f1', round(2 * (tp / np) * (tp / ng) / (tp / np + tp / ng), 6) FROM m UNION ALL SELECT 'tag_accuracy', round(same / n, 6) FROM m UNION ALL SELECT 'exact', round(exact, 6) FROM m""",
+)
 def e07(spark, sf):
-    return evaluation.span_f1(FX.frame(spark, "fx_tags"))
+    base = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{DV.ROWS['word'][0]} AS word", f"{DV.ROWS['other'][0]} AS other")
+    text = F.concat("word", "other")
+    cut = F.when(F.col("id") % 3 == 0, F.array("word", "other")).otherwise(F.array(F.substr(text, F.lit(1), F.lit(2)), F.substr(text, F.lit(3))))
+    return evaluation.span_f1(base.select(K.bmes(F.array("word", "other")).alias("gold"), K.bmes(cut).alias("pred")))
 
 
 GRID = ([0.6, 0.7, 0.8, 0.9, 1.0], [0.2, 0.3, 0.4, 0.5, 0.6], [0.2, 0.3, 0.4, 0.5])
