@@ -75,5 +75,5 @@ def keyword_filter(queries: DataFrame, texts: DataFrame, k: int = 20, size: int
 def keyword_split(text, most: int = 4):
     """parts of two characters or more between CJK and ASCII punctuation,
     ``most`` of them; the whole text if there are none."""
-    parts = F.filter(F.transform(F.split(F.trim(_col(text)), "[，。、“”‘’；：？！,\\s/()（）]+"), F.trim), lambda p: F.length(p) >= 2)
+    parts = F.filter(F.transform(F.split(F.trim(_col(text)), "[，。、“”‘’；：？！,\\s/()（）]+"), lambda p: F.trim(p)), lambda p: F.length(p) >= 2)
     return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(F.trim(_col(text))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import words as W
-from ..operators import corpus, labels, retrieval, segmentation
+from ..operators import corpus, labels, retrieval, segmentation, tasks
 from .catalog import query, table
 from .derived import ANSWER, BASE, CJK, D3, D5, D7, D11, K_, OBJECTS, ROWS, SPARK_ANSWER, SPARK_ROWS, SQL_ANSWER, WORDS, clean_cell, clean_query, distinct, grams_sql, gsub, joined, listed, normalize_rules, or_else, pick, shells_off, trim
 from .session import shared
@@ -246,3 +246,64 @@ def p13(spark, sf):
 def j10(spark, sf):
     left = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))
     return corpus.gram_match(left, table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+
+
+# -- tasks and legacy labels --------------------------------------------------------------------
+
+LEGACY = f"""i AS (SELECT p_partkey AS id, p_name || ' ' || p_size AS headword, p_type AS definition FROM part WHERE p_partkey % 2 = 0),
+ r AS (SELECT p_partkey AS rid, list_filter([CASE WHEN p_partkey % 6 = 1 THEN p_name || ' ' || p_size END, split_part(p_name, ' ', 2), CASE WHEN p_partkey % 4 = 1 THEN lower(p_type) ELSE p_brand END], lambda t: t IS NOT NULL) AS terms, CASE p_partkey % 10 WHEN 7 THEN 'dev' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM part WHERE p_partkey % 2 = 1),
+ t AS (SELECT rid, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM r), k AS (SELECT id, headword AS term, 0 AS tier FROM i UNION ALL SELECT id, definition, 1 FROM i),
+ e AS (SELECT rid, arg_min(id, pos * 1e12 + tier * 1e10 + id) AS id FROM t JOIN k USING (term) GROUP BY rid), o AS (SELECT * FROM t WHERE rid NOT IN (SELECT rid FROM e)),
+ g AS (SELECT DISTINCT rid, gram FROM (SELECT rid, gram, row_number() OVER (PARTITION BY rid, pos ORDER BY length(gram) DESC, gram) AS n FROM (SELECT rid, pos, unnest(list_distinct(flatten([{', '.join(grams_sql('term', n) for n in (1, 2, 3))}]))) AS gram FROM o)) WHERE n <= 8),
+ p AS (SELECT gram, id FROM (SELECT gram, id, row_number() OVER (PARTITION BY gram ORDER BY id) AS n FROM (SELECT DISTINCT id, unnest(flatten([{', '.join(grams_sql(c, n) for c in ('headword', 'definition') for n in (1, 2, 3))}])) AS gram FROM i)) WHERE n <= 200),
+ s AS (SELECT rid, id, sum(CASE WHEN term = headword THEN 20 WHEN contains(headword, term) THEN 8 ELSE 0 END + CASE WHEN term = definition THEN 12 WHEN contains(definition, term) THEN 4 ELSE 0 END) AS score FROM (SELECT DISTINCT rid, id FROM g JOIN p USING (gram)) JOIN i USING (id) JOIN o USING (rid) GROUP BY rid, id),
+ b AS (SELECT rid, id FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS n FROM s WHERE score > 0) WHERE n = 1),
+ m AS (SELECT x.rid, x.id, headword, split, CASE WHEN ('0x' || substr(md5(headword), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(md5(headword), 1, 8))::BIGINT % 100 < 90 THEN 'dev' ELSE 'test' END AS own FROM (SELECT * FROM e UNION ALL SELECT * FROM b) x JOIN i USING (id) JOIN r USING (rid))"""
+
+
+def _legacy(spark, sf):
+    part, key = table(spark, sf, "part"), F.col("p_partkey")
+    head = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    items = part.where("p_partkey % 2 = 0").select(key.alias("id"), head.alias("headword"), F.col("p_type").alias("definition"))
+    terms = F.array_compact(F.array(F.when(key % 6 == 1, head), F.split("p_name", " ")[1], F.when(key % 4 == 1, F.lower("p_type")).otherwise(F.col("p_brand"))))
+    return part.where("p_partkey % 2 = 1").select(key.alias("rid"), terms.alias("terms"), F.when(key % 10 == 7, "dev").when(key % 10 == 9, "test").otherwise("train").alias("split")), items
+
+
+@query("p15_legacy_labels", f"WITH {LEGACY} SELECT rid, id, headword, CASE WHEN split IN ('dev', 'test') THEN split ELSE own END AS part FROM m")
+def p15(spark, sf):
+    return tasks.routed(*_legacy(spark, sf))
+
+
+@query("p15_whole_groups", f"WITH {LEGACY} SELECT rid, id, headword, coalesce(max(CASE WHEN split IN ('dev', 'test') THEN split END) OVER (PARTITION BY headword), own) AS part FROM m")
+def p15_whole(spark, sf):
+    return tasks.routed(*_legacy(spark, sf), whole_groups=True)
+
+
+@query(
+    "p10_recall_tasks",
+    """WITH e AS (SELECT p_partkey AS id, p_name AS headword, p_type || ' ' || p_brand AS definition FROM part), a AS (SELECT c_custkey AS task_id, id AS anchor, trim(CASE WHEN substr(md5('42:' || c_custkey), 1, 1) < '8' THEN definition ELSE headword END) AS user_query FROM customer JOIN e ON id = c_custkey % 2000),
+ k AS (SELECT *, list_filter(regexp_split_to_array(user_query, '[，。、“”‘’；：？！,\\s/()（）]+'), lambda w: length(w) >= 2)[1:4] AS keywords FROM a), w AS (SELECT DISTINCT unnest(keywords) AS w FROM k), f AS (SELECT w, id FROM (SELECT w, id, row_number() OVER (PARTITION BY w ORDER BY id) AS n FROM w JOIN e ON contains(definition, w)) WHERE n <= 20),
+ h AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY id) AS rk FROM (SELECT DISTINCT task_id, id FROM (SELECT task_id, unnest(keywords) AS w FROM k) JOIN f USING (w))),
+ z AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS rk FROM e), c AS (SELECT * FROM h WHERE rk <= 20 UNION ALL SELECT task_id, id, rk FROM (SELECT task_id FROM k WHERE task_id NOT IN (SELECT task_id FROM h)), z WHERE rk <= 20),
+ l AS (SELECT task_id, list(id ORDER BY rk) AS ids FROM c GROUP BY task_id), n AS (SELECT k.*, (CASE WHEN list_contains(ids, anchor) THEN ids ELSE list_concat([anchor], ids) END)[1:20] AS ids FROM k JOIN l USING (task_id))
+ SELECT task_id, anchor, user_query, array_to_string(keywords, '|') AS keywords, (SELECT string_agg(i, ',' ORDER BY md5('42:' || task_id || ':' || i), i) FROM (SELECT unnest(ids) AS i)) AS candidates FROM n""",
+)
+def p10(spark, sf):
+    part = table(spark, sf, "part")
+    entries = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), F.concat_ws(" ", "p_type", "p_brand").alias("definition"))
+    anchors = table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"), (F.col("c_custkey") % 2000).alias("id"))
+    return tasks.recall_tasks(anchors, entries).withColumn("keywords", F.array_join("keywords", "|")).withColumn("candidates", F.array_join("candidates", ","))
+
+
+PAIRS_SQL = [(a, b) for a, b in W.DIALECT_PAIRS]
+FORMS = lambda x: "list_concat([" + x + "], list_filter([" + ", ".join(f"CASE WHEN contains({x}, '{a}') THEN replace({x}, '{a}', '{b}') END" for a, b in PAIRS_SQL) + "], lambda v: v IS NOT NULL))"
+
+
+@query(
+    "f15_dialect_keywords",
+    f"WITH x AS (SELECT id, list_concat({FORMS('message')}, {FORMS('other')}) AS every, list_filter([trim(coalesce(CASE WHEN id % 5 = 0 THEN NULL ELSE word END, '')), trim(message), trim(other), {or_else(shells_off(gsub(trim('message'), '^上海话[：:]\\s*'), W.SEARCH_SHELLS), trim('message'))}], lambda t: t <> '') AS terms FROM ({BASE})) SELECT id, array_to_string({distinct('every')}, '|') AS forms, array_to_string({distinct('terms')}, '|') AS terms FROM x",
+)
+def f15(spark, sf):
+    forms = tasks.dialect_keywords(F.array("message", "other"))
+    terms = tasks.candidate_terms(F.when(F.col("id") % 5 != 0, F.col("word")), F.array("message"), F.array("other"), "message")
+    return rows(spark, sf).select("id", F.array_join(forms, "|").alias("forms"), F.array_join(terms, "|").alias("terms"))

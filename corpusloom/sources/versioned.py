@@ -31,6 +31,27 @@ class AlreadyRunning(RuntimeError):
     """Another writer holds the lock."""
 
 
+def discover(spark: SparkSession, root: str, needed: tuple[str, ...] = ("versions", "data")) -> list[str]:
+    """Names of the subfolders of ``root`` that hold everything ``needed``, sorted."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    whole = lambda p: all(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, n)) for n in needed)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and whole(s.getPath()))
+
+
+def describe(spark: SparkSession, root: str, default: str = "primary") -> DataFrame:
+    """Health of the indexes under ``root``: name, path, version, folders,
+    running, is_default. Nothing of their data is read."""
+    rows = []
+    for name in discover(spark, root):
+        index = VersionedTable(spark, f"{root}/{name}")
+        number, content = index.version()
+        rows.append((name, index.root, number, len(content["folders"]), index.running(), name == default))
+    return spark.createDataFrame(rows, "name string, path string, version int, folders int, running boolean, is_default boolean")
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: str = "id bigint, headword string, definition string", stale_s: float = 3600):
         self.spark, self.root, self.schema, self.stale_s = spark, root.rstrip("/"), schema, stale_s

@@ -171,6 +171,24 @@ def test_follow_a_stream(spark, tmp_path):
     assert {(r["id"], r["headword"]) for r in index.read().collect()} == {(0, "a"), (1, "b")} and index.version()[0] == 3
 
 
+def test_discover_and_describe(spark, tmp_path):
+    root = f"{tmp_path}/indexes"
+    assert versioned.discover(spark, root) == [] and versioned.describe(spark, root).count() == 0
+    for name in ("second", "primary"):
+        versioned.VersionedTable(spark, f"{root}/{name}").rebuild(spark.createDataFrame([(1, "a", "x")], ENTRY))
+    (tmp_path / "indexes" / "unfinished").mkdir()
+    got = [(r["name"], r["version"], r["folders"], r["running"], r["is_default"]) for r in versioned.describe(spark, root).collect()]
+    assert got == [("primary", 1, 1, False, True), ("second", 1, 1, False, False)]
+
+
+def test_whole_groups_never_straddle(spark, sf):
+    from corpusloom.plans import labelling
+
+    got = labelling.p15_whole(spark, sf)
+    assert got.groupBy("headword").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+    assert got.select("part").distinct().count() == 3
+
+
 # -- grams ---------------------------------------------------------------------------
 
 
