@@ -18,9 +18,11 @@ The counts of a document are taken in one pass over its text and written as a
 table; labels are joined to that table only.
 
 Edge cases: null and empty texts have zero counts; a null language is a
-stratum of its own; repeated label rows count once per row; labels with null
-quality are left out; without labels only the base rule decides; an empty
-table gives an empty result; further columns are ignored.
+stratum of its own; a document with repeated label rows counts once, one with
+labels that contradict each other not at all; labels with null quality are left
+out; without labels only the base rule decides; null and repeated doc_ids are
+judged each on their own text; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +116,9 @@ def at_most(k: int, n: int, rate: float) -> float:
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, float]:
     """Certified cutoff of each stratum that has one. Gathers one number per
     stratum, label and cutoff."""
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_doc"), F.col("quality").alias("_quality"))
+    # one label a document, or the trials of the test would not be independent
+    own = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_doc"))
+    known = own.agg(F.min("quality").alias("_quality"), F.max("quality").alias("_most")).where("_quality = _most").drop("_most")
     table = measured.join(known, F.col("doc_id") == F.col("_doc"))
     reached = F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: score() >= c))
     found = table.groupBy("lang", "_quality", reached.alias("reached")).count().collect()

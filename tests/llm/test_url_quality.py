@@ -93,3 +93,10 @@ def test_quality_cutoff_is_certified_and_bites(spark):
     # good documents like the bad ones beyond the risk: the sequence ends before its first cutoff
     mixed = labels.withColumn("quality", F.expr("if(doc_id between 300 and 320, 1, quality)"))
     assert quality.thresholds(quality.counts(docs), mixed) == {}
+    # repeated rows don't make more trials, contradictory ones make none
+    few = labels.where("doc_id < 120 or doc_id between 300 and 339")
+    assert quality.thresholds(quality.counts(docs), few.unionByName(few).unionByName(few)) == quality.thresholds(quality.counts(docs), few) == {}
+    torn = labels.unionByName(labels.where("doc_id < 200").withColumn("quality", F.lit(0)))
+    assert quality.thresholds(quality.counts(docs), torn) == {}
+    nobody = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    assert quality.judge(nobody, labels).count() == docs.count() + 2
