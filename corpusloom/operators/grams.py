@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _col
-from ..plans.session import shared
+from ..plans.session import shared, sized
 
 SIZE = 5
 
@@ -46,7 +46,7 @@ def containing(texts: DataFrame, keywords: DataFrame, size: int = SIZE) -> DataF
         every = texts.where("text is not null").select("id", F.explode(grams_of("text", n)).alias("gram"))
         own = mine if own is None else own.unionByName(mine)
         posts = every if posts is None else posts.unionByName(every)
-    held = shared(posts.join(own.select("gram").distinct(), "gram", "left_semi"))
+    held = shared(posts.join(sized(own.select("gram").distinct()), "gram", "left_semi"))
     rare = own.join(held.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
     # a gram that no text has comes first and ends the search for its keyword
     key = rare.groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))

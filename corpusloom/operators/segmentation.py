@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,30 +141,36 @@ FIRST, LAST = "BS", "ES"
 
 
 def viterbi(rows: DataFrame) -> DataFrame:
-    """Best valid tag path of (id, emissions: array of 4 scores B M E S)."""
+    """Best valid tag path of (id, emissions: array of 4 scores B M E S), as
+    a fold whose state is the best path into each tag. Equal scores take the
+    earlier tag in the order B M E S; no emissions, and one that no valid path
+    ends, give no tags."""
     order = "BMES"
-
-    def run(frames):
-        for frame in frames:
-            paths = []
-            for emissions in frame["emissions"]:
-                score: dict[str, tuple[float, str]] = {}
-                for k, values in enumerate(emissions):
-                    now = dict(zip(order, map(float, values)))
-                    if k == 0:
-                        score = {t: (now[t], t) for t in FIRST}
-                        continue
-                    new: dict[str, tuple[float, str]] = {}
-                    for t in order:
-                        ways = [(s + now[t], p + t) for q, (s, p) in score.items() if t in FOLLOWS[q]]
-                        if ways:
-                            new[t] = max(ways, key=lambda w: w[0])
-                    score = new
-                ends = [score[t] for t in LAST if t in score]
-                paths.append(list(max(ends, key=lambda w: w[0])[1]) if ends else [])
-            yield pd.DataFrame({"id": frame["id"], "tags": paths})
-
-    return rows.select("id", "emissions").mapInPandas(run, "id long, tags array<string>")
+    kind = "struct<score:double,path:string>"
+    none = F.lit(None).cast(kind)
+    way = lambda score, path: F.struct(score.cast("double").alias("score"), path.alias("path"))
+    better = lambda x, y: F.when(x.isNull() | (y["score"] > x["score"]), y).otherwise(x)
+
+    def step(state, now):
+        into = []
+        for k, t in enumerate(order):
+            best = none
+            for q in order:
+                if t in FOLLOWS[q]:
+                    best = better(best, state[q])
+            first = way(now[k], F.lit(t)) if t in FIRST else none
+            into.append(F.when(state["begun"], F.when(best.isNotNull(), way(best["score"] + now[k], F.concat(best["path"], F.lit(t))))).otherwise(first).alias(t))
+        return F.struct(F.lit(True).alias("begun"), *into)
+
+    def end(state):
+        best = none
+        for t in LAST:
+            best = better(best, state[t])
+        return F.filter(F.split(F.coalesce(best["path"], F.lit("")), ""), lambda x: x != "")
+
+    start = F.struct(F.lit(False).alias("begun"), *[none.alias(t) for t in order])
+    emissions = F.transform("emissions", lambda e: F.transform(e, lambda v: v.cast("double")))
+    return rows.select("id", F.aggregate(emissions, start, step, end).alias("tags"))
 
 
 def core_span(text, probabilities, threshold: float = 0.5) -> Column:

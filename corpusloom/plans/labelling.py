@@ -190,6 +190,51 @@ def g01(spark, sf):
     return segmentation.segment(sentences, lexicon).withColumn("tags", F.array_join("tags", ","))
 
 
+#: Four scores for each of 1 to 6 characters of every key.
+SCORE = lambda i, j: f"((p_partkey * 7 + ({i}) * 13 + ({j}) * 29 + p_partkey * ({i}) * ({j}) % 11) % 97)"
+BEST = lambda x, y, px, py: (f"CASE WHEN {x} IS NULL OR {y} > {x} THEN {y} ELSE {x} END", f"CASE WHEN {x} IS NULL OR {y} > {x} THEN {py} ELSE {px} END")
+OPEN_, SHUT = BEST("b", "m", "pb", "pm"), BEST("e", "s", "pe", "ps")
+FINAL = BEST("e", "s", "pe", "ps")
+
+
+@query(
+    "g06_viterbi",
+    f"""WITH RECURSIVE v AS (SELECT p_partkey, p_partkey % 6 + 1 AS n, 1 AS i, {SCORE(1, 0)} AS b, NULL::BIGINT AS m, NULL::BIGINT AS e, {SCORE(1, 3)} AS s, 'B' AS pb, NULL::VARCHAR AS pm, NULL::VARCHAR AS pe, 'S' AS ps FROM part
+ UNION ALL SELECT p_partkey, n, i + 1, {SHUT[0]} + {SCORE('i + 1', 0)}, {OPEN_[0]} + {SCORE('i + 1', 1)}, {OPEN_[0]} + {SCORE('i + 1', 2)}, {SHUT[0]} + {SCORE('i + 1', 3)}, {SHUT[1]} || 'B', {OPEN_[1]} || 'M', {OPEN_[1]} || 'E', {SHUT[1]} || 'S' FROM v WHERE i < n)
+ SELECT p_partkey AS id, coalesce({FINAL[1]}, '') AS tags FROM v WHERE i = n""",
+)
+def g06(spark, sf):
+    emissions = f"transform(sequence(1, cast(p_partkey % 6 + 1 as int)), i -> array({', '.join(SCORE('i', j) for j in range(4))}))"
+    return segmentation.viterbi(table(spark, sf, "part").selectExpr("p_partkey AS id", f"{emissions} AS emissions")).withColumn("tags", F.array_join("tags", ""))
+
+
+@query(
+    "g07_core_span",
+    f"""WITH x AS (SELECT p_partkey, {SENTENCE[1]} AS t FROM part), c AS (SELECT p_partkey, t, i, {SCORE('i', 1)} / 97.0::DOUBLE AS p FROM x, unnest(range(1, length(t) + 1)) AS r(i)),
+ g AS (SELECT *, i - row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS run FROM c WHERE p >= 0.5), s AS (SELECT p_partkey, any_value(t) AS t, min(i) AS a, max(i) AS b, sum(p) AS total FROM g GROUP BY p_partkey, run),
+ m AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(total, 9) DESC, a) AS r FROM s) SELECT x.p_partkey AS id, coalesce({gsub("substr(m.t, a, b - a + 1)", "^[，。,.!！？?；;：:、]+|[，。,.!！？?；;：:、]+$")}, '') AS core FROM x LEFT JOIN m ON m.p_partkey = x.p_partkey AND r = 1""",
+)
+def g07(spark, sf):
+    base = table(spark, sf, "part").selectExpr("p_partkey", f"{SENTENCE[0]} AS t")
+    scores = f"transform(sequence(1, length(t)), i -> {SCORE('i', 1)} / 97.0D)"
+    return base.selectExpr("p_partkey AS id", "t", f"{scores} AS p").select("id", segmentation.core_span("t", "p").alias("core"))
+
+
+@query(
+    "p09_teacher_labels",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey // 5 AS b, o_custkey % 40 AS t FROM orders), g AS (SELECT * FROM o WHERE b % 8 <> 3), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY b DESC, k DESC) AS r FROM g)
+ SELECT 't' || t AS task_id, CASE WHEN k % 3 = 0 THEN '' ELSE k || ',' || (k + 7) END AS ids FROM r WHERE r = 1""",
+)
+def p09(spark, sf):
+    made = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.expr("o_orderkey div 5").alias("b"), F.concat(F.lit(" t"), (F.col("o_custkey") % 40).cast("string")).alias("task_id"))
+    ids = F.when(F.col("k") % 3 == 0, F.array(F.lit("none"))).otherwise(F.array(F.col("k").cast("string"), F.lit("x1"), (F.col("k") + 7).cast("string")))
+    batch = made.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "task_id", ids.alias("ids")))).alias("x"))
+    text = F.to_json(F.transform("x", lambda x: F.struct(x["task_id"].alias("task_id"), x["ids"].alias("ids"))))
+    raw = F.when(F.col("b") % 8 == 3, F.concat(F.lit("sorry: "), F.lit("no"))).otherwise(text)
+    none = F.array().cast("array<string>").alias("batch_queries")
+    return labels.teacher_labels(batch.select(F.col("b").alias("batch_index"), none, raw.alias("raw_response"))).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
 # -- joins and data sets ---------------------------------------------------------------------
 
 

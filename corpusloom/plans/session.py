@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,11 @@ def shared(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in ``folder``."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` as a table in ``folder``: a later join knows its size, and sends
+    it to the other side only while it is small."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..plans.session import folder
+from ..plans.session import sized
 
 BOM = "\ufeff"
 
@@ -25,13 +23,6 @@ def read_lines(spark: SparkSession, path: str, name: str = "query") -> DataFrame
     return spark.read.text(path).select(line.alias(name)).where(F.col(name) != "")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: a later join knows its size."""
-    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value, file, line (from 1) and n (from 0, over all files in the order of
     their paths) of every line.
@@ -46,7 +37,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = splits.groupBy("file").agg(F.sum("size").alias("size"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     base = files.select("file", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("above"))
-    known = written(splits.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, "file").drop("size"))
+    known = sized(splits.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, "file").drop("size"))
     line = F.col("before") + F.col("at") - F.col("first")
     return raw.join(known, ["file", "block"]).select("value", "file", (line + 1).alias("line"), (F.col("above") + line).alias("n"))
 
