@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import words as W
+from ..plans.session import shared, sized
 from .grams import containing
 
 K1, B = 1.5, 0.75
@@ -46,8 +47,9 @@ class Index:
         key columns and ``token``, repeats counted."""
         idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(self.avgdl, 1e-9))
-        # only the postings of queried tokens are counted and read on
-        asked = self.postings.join(queries.select("token").distinct(), "token", "left_semi")
+        # only the postings of queried tokens are kept, and texts are cut into
+        # tokens once for counting and scoring
+        asked = shared(self.postings.join(sized(queries.select("token").distinct()), "token", "left_semi"))
         some = queries.join(asked.groupBy("token").agg(F.count("*").alias("df")), "token")
         return some.join(asked, "token").groupBy(*key, "id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
