@@ -9,12 +9,30 @@ from ..functions import text as T
 from ..functions import tokens as K
 
 
-def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks=(1, 3, 5, 10), depth: int = 10) -> DataFrame:
-    """Metric, value. ``ranked``: qid, id, rk; ``gold``: qid, id.
+def same_label(entries: DataFrame, queries: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gold of queries whose right entries are all others of their label: the
+    right rows among ``ranked`` (qid, id), and qid, n_gold of every query that
+    has any. They are counted by label; only queries with several labels, which
+    may share entries, are paired. ``entries``: id, label; ``queries``: qid, label."""
+    asked, given = queries.where("label is not null").distinct(), entries.where("label is not null").distinct()
+    right = ranked.join(given, "id").join(asked, ["qid", "label"]).select("qid", "id").distinct()
+    several = asked.groupBy("qid").agg(F.count("*").alias("c"), F.min("label").alias("label"))
+    sizes = given.groupBy("label").agg(F.count("*").alias("n"))
+    own = given.select(F.col("id").alias("qid"), "label", F.lit(1).alias("own"))
+    one = several.where("c = 1").join(sizes, "label").join(own, ["qid", "label"], "left").select("qid", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_gold"))
+    pairs = asked.join(several.where("c > 1").select("qid"), "qid").join(given, "label").where("id <> qid")
+    total = one.where("n_gold > 0").unionByName(pairs.groupBy("qid").agg(F.countDistinct("id").alias("n_gold")))
+    return right.where("id <> qid"), total
+
+
+def ranking_metrics(ranked: DataFrame, gold: DataFrame, total: DataFrame | None = None, ks=(1, 3, 5, 10), depth: int = 10) -> DataFrame:
+    """Metric, value. ``ranked``: qid, id, rk; ``gold``: qid, id, of
+    which those among ``ranked`` are enough if ``total`` (qid, n_gold) is given.
     Queries without a hit count as zero; two forms of NDCG are given, which
     differ in their ideal (what was retrieved, or what there is)."""
     want = gold.select("qid", "id").distinct()
-    total = want.groupBy("qid").agg(F.count("*").alias("n_gold"))
+    if total is None:
+        total = want.groupBy("qid").agg(F.count("*").alias("n_gold"))
     hits = ranked.join(want, ["qid", "id"], "left_semi").where(F.col("rk") <= depth)
     per = hits.groupBy("qid").agg(F.min("rk").alias("first"), F.sum(1 / F.log2(F.col("rk") + 1.0)).alias("dcg"), *[F.count_if(F.col("rk") <= k).alias(f"h{k}") for k in ks])
     shown = ranked.where(F.col("rk") <= depth).groupBy("qid").agg(F.count("*").alias("shown"))
@@ -65,10 +83,11 @@ def confusion(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     return rows.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
-def failure_report(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
-    """Bucket of query length x band of the first right rank: n."""
+def failure_report(ranked: DataFrame, gold: DataFrame, queries: DataFrame, total: DataFrame | None = None) -> DataFrame:
+    """Bucket of query length x band of the first right rank: n.
+    ``gold`` and ``total`` as in ``ranking_metrics``."""
     first = ranked.join(gold.select("qid", "id").distinct(), ["qid", "id"], "left_semi").groupBy("qid").agg(F.min("rk").alias("first"))
-    base = queries.join(gold.select("qid").distinct(), "qid", "left_semi").join(first, "qid", "left").withColumn("first", F.coalesce("first", F.lit(-1)))
+    base = queries.join((gold if total is None else total).select("qid").distinct(), "qid", "left_semi").join(first, "qid", "left").withColumn("first", F.coalesce("first", F.lit(-1)))
     length = F.length("text")
     size = F.when(length <= 4, "<=4").when(length <= 8, "5-8").otherwise(">8")
     band = F.when(F.col("first") < 0, "not found").when(F.col("first") == 1, "1").when(F.col("first") <= 3, "2-3").when(F.col("first") <= 10, "4-10").otherwise("11+")

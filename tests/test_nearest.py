@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import nearest, retrieval
+from corpusloom.operators import evaluation, nearest, retrieval
 
 SCHEMA = "id long, v array<float>"
 
@@ -45,3 +45,16 @@ def test_buckets_decide_what_meets(spark):
     got = {r["id"] for r in nearest.best_of_blocks(q, e, 2, 30, 50, 6, 2, 2).where("qid = 0").collect()}
     assert got == {i for i in range(30) if i % 2 == 0}
     assert nearest.best_of_blocks(q, e, 2, 30, 50, 6, 2, 2).where("qid = 1").count() == 0
+
+
+def test_gold_is_counted_by_label(spark):
+    entries = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)] + [(3, "a"), (30, None), (31, "c")], "id long, label string")
+    queries = spark.createDataFrame([(0, "a"), (1, "b"), (3, "b"), (3, "a"), (30, None), (31, "c")], "qid long, label string")
+    ranked = spark.createDataFrame([(q, i, i + 1) for q in (0, 1, 3, 30, 31) for i in range(10) if i != q], "qid long, id long, rk long")
+    gold = entries.join(queries, "label").where("id <> qid").select("qid", "id")
+    key = lambda df: sorted(map(str, df.collect()))
+    right, total = evaluation.same_label(entries, queries, ranked)
+    assert key(evaluation.ranking_metrics(ranked, right, total)) == key(evaluation.ranking_metrics(ranked, gold))
+    text = queries.select("qid", F.lit("xx").alias("text")).distinct()
+    assert key(evaluation.failure_report(ranked, right, text, total)) == key(evaluation.failure_report(ranked, gold, text))
+    assert right.count() <= ranked.count()
