@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.session import sized
 from .labels import TAGS
 
 # fixed values: characters that are always punctuation tokens
@@ -42,6 +43,8 @@ def load_lexicon(rows: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.split("tags", "[+/]"), T.strip), lambda t: t != "")
     valid = F.filter(parts, lambda t: t.isin(*TAGS))
     base = rows.select("ord", T.strip(F.replace("word", F.lit("|"), F.lit(""))).alias("word"), F.when(F.size(valid) > 0, valid).otherwise(F.array(T.strip("tags"))).alias("tags")).where("word <> '' and word <> 'nan'")
+    # tags that a word has in many rows count once, at their first place
+    base = base.groupBy("word", "tags").agg(F.min("ord").alias("ord"))
     grouped = base.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("ord", "tags"))).alias("x"))
     return grouped.select("word", F.array_distinct(F.flatten(F.transform("x", lambda s: s["tags"]))).alias("tags"))
 
@@ -51,8 +54,11 @@ def segment(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     For every place the longest lexicon word that starts there is found by an
     equi join on substrings; the chain of places is then followed inside each
-    sentence's own row.
+    sentence's own row. The lexicon is stored, so that Spark knows its size and
+    sends it to the substrings while it is small: these have few frequent words,
+    which would be a task each.
     """
+    lexicon = sized(lexicon)
     longest = lexicon.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).first()[0]
     x = F.col("sentence")
     places = sentences.where(F.length("sentence") > 0).select("id", "sentence", F.explode(F.sequence(F.lit(1), F.length(x))).alias("at"))
