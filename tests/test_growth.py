@@ -2,7 +2,7 @@
 
 import hashlib
 
-from corpusloom.operators import corpus, retrieval, segmentation
+from corpusloom.operators import corpus, retrieval, segmentation, tasks
 
 
 def rows_of(df):
@@ -64,3 +64,36 @@ def test_lexical_fast_against_every_pair(spark):
         assert rows_of(got.select("qid", "id", "score", "rk")) == sorted(want)
 
 
+
+
+def test_equal_terms_are_matched_once(spark, monkeypatch):
+    stored = []
+    kept = tasks.shared
+    monkeypatch.setattr(tasks, "shared", lambda df: stored.append(kept(df)) or stored[-1])
+    items = spark.createDataFrame([(i, f"head {i % 5}", f"word{i % 3} x") for i in range(40)], "id long, headword string, definition string")
+    lists = [["word1"], ["head 3"], ["zzz"], ["ead 2", "word2"], ["word2", "ead 2"], ["word1", "word1"]]
+    rows = spark.createDataFrame([(i, lists[i % 6]) for i in range(600)], "rid long, terms array<string>")
+    got = dict(rows_of(tasks.best_matches(rows, items).select("rid", "id")))
+    assert {i: got.get(i) for i in range(6)} == {0: 1, 1: 3, 2: None, 3: 2, 4: 2, 5: 1}
+    assert len(got) == 500 and all(got[i] == got[i % 6] for i in got)
+    assert stored[-1].columns == ["terms", "kind"] and stored[-1].count() == 4
+
+
+def test_gram_match_against_every_pair(spark):
+    left = [(i, ["Ring#%d" % i, "bolt", "xyz9", "ring bolt"][i % 4]) for i in range(80)]
+    right = [(i, ["old ring", "hot bolt", "blue plate"][i % 3]) for i in range(30)]
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    posts = {}
+    for i, t in right:
+        for g in grams(t):
+            posts.setdefault(g, []).append(i)
+    want = []
+    for l, t in left:
+        score = {}
+        for g in grams(t):
+            for i in sorted(posts.get(g, []))[:6]:
+                score[i] = score.get(i, 0) + len(g)
+        if score:
+            want.append((l, *max(score.items(), key=lambda x: (x[1], -x[0]))))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    assert rows_of(corpus.gram_match(frame(left), frame(right), 6)) == sorted(want)
