@@ -60,6 +60,6 @@ def search(queries: DataFrame, entries: DataFrame, top_k: int = 20, top_n: int =
     lists = lexical.select("qid", "id", "rk", F.lit("lexical").alias("src")).unionByName(sparse.select("qid", "id", "rk", F.lit("sparse").alias("src"))).unionByName(dense)
     fused = R.fuse(lists, fused_n).select("qid", "id", F.col("score").alias("fused"))
     variants = forms.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "variant"))), lambda s: s["variant"]).alias("variants"))
-    rows = fused.join(entries, "id").join(vectors, "id").join(asked, "qid").join(variants, "qid")
-    rows = rows.select("qid", "id", "fused", R.dot("qv", "v").alias("dense"), R.field_score("variants", "headword", "definition").alias("field"))
+    rows = fused.join(R.field_entries(entries), "id").join(vectors, "id").join(asked, "qid").join(R.field_queries(variants), "qid")
+    rows = rows.select("qid", "id", "fused", R.dot("qv", "v").alias("dense"), R.field_score().alias("field"))
     return R.final_rerank(rows, top_n).select("qid", "rk", "id", "score")

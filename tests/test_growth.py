@@ -150,3 +150,26 @@ def test_bm25_in_blocks_against_every_pair(spark, monkeypatch):
             plan = got._jdf.queryExecution().toString()
             assert "CoGroupsInArrow" in plan and "hashpartitioning(token" not in plan.split("CoGroupsInArrow")[0]
             assert sorted((r.qid, r.ord, -1 if r.id is None else r.id, f"{r.score:.5f}", r.rk) for r in got.collect()) == sorted(want)
+
+
+def test_pairs_take_prepared_columns(spark, sf):
+    """Regular expressions on headwords and definitions run on entries, before
+    these meet the queries."""
+    import re
+
+    from corpusloom.plans import catalog
+
+    for name in ("r12_field_match", "r19_heuristic_rerank", "r20_features"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.rindex("Join Inner")].split("Generate")[0]
+        joined = "\n".join(line for line in above.split("\n") if not re.match(r"[\s:+-]*:", line))
+        assert "regexp_" not in joined.split("Join Inner")[0], name
+        assert "definition" not in joined or "regexp" not in joined.split("Join Inner")[0]
+
+
+def test_char_counts(spark):
+    from corpusloom.functions import tokens as K
+
+    texts = ["", "a", "aab", "abcabc", "路路x", "xyzz路"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string").select("a", "b", K.chars_in(K.char_counts("a"), "b").alias("n"), K.char_overlap("a", "b").alias("m"))
+    assert all(r.n == r.m == sum(min(r.a.count(c), r.b.count(c)) for c in set(r.a)) for r in rows.collect())
