@@ -31,7 +31,12 @@ chosen so that no pair of the minimum is missed:
   components remain are pairs across them tried, and a posting of more than
   ``MOST`` members is split by three bytes more before, in 4 ways: over all the
   bands that a pair can share this makes the chance of 1e-6 one of 2.4e-6, and
-  5e-6 if split twice.
+  5e-6 if split twice. Before all this, exactly, shingles that only one of the
+  texts in postings has are told: a text with more than a fifth of them links to
+  none and goes. Of the others each row of a posting holds how many shingles
+  other texts have too, in ``CLASSES`` classes by hash; the lesser counts of two
+  texts add up to no less than what they share, and a pair across components is
+  made only if that can be enough.
 
 Equal fingerprints (wide: equal shingle sets) are one entry.
 
@@ -61,6 +66,8 @@ MOST = 64
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 75, 8
 LEAST_SHARED = 432
+#: Into so many classes shingles are counted, to bound what two texts share.
+CLASSES = 32
 _RNG = np.random.default_rng(20240311)
 _TURN = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -285,7 +292,34 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*cut)).alias("e")).select("node", F.xxhash64("e.band", "e.bytes").alias("posting"))
 
 
-def _enough(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, least: int) -> DataFrame:
+def _likely(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, shingles, size (their number) and common (how many of them, by
+    class, another of ``nodes`` has as well) where enough are common for a link
+    to one of them."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            alone = batch.column("alone")
+            fewer = alone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            common = np.zeros((batch.num_rows, CLASSES), np.int64)
+            for number, values, sign in ((size, lists.flatten(), 1), (fewer, alone.flatten(), -1)):
+                kind = values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(CLASSES)
+                owner = np.repeat(np.arange(batch.num_rows), number)
+                common += sign * np.bincount(owner * CLASSES + kind.astype(np.int64), minlength=common.size).reshape(common.shape)
+            some = np.flatnonzero(common.sum(1) >= similarity * size - 1e-9)
+            counts = pa.FixedSizeListArray.from_arrays(pa.array(common[some].ravel().astype(np.int32)), CLASSES).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(some)), lists.take(pa.array(some)), pa.array(size[some].astype(np.int32)), counts], ["node", "shingles", "size", "common"])
+
+    sets = stored(shingle_sets(docs.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), shingle).withColumnRenamed("row", "node"), "near-met-sets")
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.collect_list("s").alias("alone"))
+    likely = stored(sets.join(alone, "node", "left").mapInArrow(run, "node long, shingles array<long>, size int, common array<int>"), "near-sets")
+    forget(sets)
+    return likely
+
+
+def _enough(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, least: int) -> DataFrame:
     """The pairs (a, b) whose tally of shared positional bytes reaches
     ``least`` and whose shingle sets are similar enough."""
 
@@ -297,13 +331,11 @@ def _enough(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("wide").alias(f"w{side}"))
     counted = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "wa", "wb").mapInArrow(tally, "a long, b long, shared int")
     near = stored(counted.where(F.col("shared") >= least), "near-pairs")
-    wanted = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
-    sets = stored(shingle_sets(docs.join(wanted, "row", "left_semi"), shingle), "near-sets")
-    of = lambda side: sets.select(F.col("row").alias(side), F.col("shingles").alias(f"s{side}"))
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = (1 + similarity) * both >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
     edges = stored(near.join(of("b"), "b").join(of("a"), "a").where(enough).select("a", "b"), "near-edges")
-    forget(near, sets)
+    forget(near)
     return edges
 
 
@@ -338,14 +370,18 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         if pairs.isEmpty():
             return
         tried.append(pairs)
-        found = _enough(pairs, nodes, docs, shingle, similarity, least)
+        found = _enough(pairs, nodes, sets, similarity, least)
         if not found.isEmpty():
             old, reached = reached, stored(joined_components(reached, found), "near-reached")
             forget(old)
         forget(found)
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    postings, large = _bands(nodes), None
+    postings = _bands(nodes)
+    shared = stored(postings.groupBy("posting").agg(F.count("*").alias("members")).where("members > 1").select("posting"), "near-shared")
+    met = stored(postings.join(shared, "posting"), "near-met")
+    sets = _likely(met.select("node").distinct(), docs, shingle, similarity)
+    postings, large = met.join(sets.select("node"), "node", "left_semi"), None
     for depth in range(4):
         sizes = stored(postings.groupBy("posting").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
         postings = stored(postings.join(sizes, "posting"), "near-postings")
@@ -364,9 +400,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         before, left = left, _open(left.select("posting", "node"), reached)
         forget(before, centres)
         small = left.where(F.col("members") <= most) if depth < 3 else left
-        x = small.select("posting", F.col("node").alias("a"), F.col("component").alias("ca"))
-        y = small.select("posting", F.col("node").alias("b"), F.col("component").alias("cb"))
-        tested(x.join(y, "posting").where("a < b and ca <> cb").select("a", "b").distinct())
+        small = small.join(sets.select("node", "size", "common"), "node")
+        x = small.select("posting", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("common").alias("ma"))
+        y = small.select("posting", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("common").alias("mb"))
+        both = F.expr("aggregate(zip_with(ma, mb, (p, q) -> least(p, q)), 0, (s, p) -> s + p)")
+        within = (1 + similarity) * both >= similarity * (F.col("na") + F.col("nb")) - 1e-9
+        tested(x.join(y, "posting").where(F.expr("a < b and ca <> cb") & within).select("a", "b").distinct())
         large = stored(left.where(F.col("members") > most), "near-large")
         forget(left)
         if depth == 3 or large.isEmpty():
@@ -375,7 +414,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         ways = [F.concat(*[F.expr(f"substring(wide, {1 + (way * 151 + part * 53 + depth * 17) % len(_ODD)}, 1)") for part in range(3)]) for way in range(4)]
         ways = F.array(*[F.struct(F.lit(k).alias("way"), w.alias("bytes")) for k, w in enumerate(ways)])
         postings = large.join(nodes, "node").select("node", "posting", F.explode(ways).alias("e")).select("node", F.xxhash64("posting", "e.way", "e.bytes").alias("posting"))
-    forget(large, *tried)
+    forget(large, shared, met, sets, *tried)
     classes = lows.join(reached, "node", "left").select("print", F.coalesce("component", "node").alias("group"))
     return prints.join(stored(classes, "near-classes"), "print").select("row", "doc_id", "group")
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from corpusloom.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +68,22 @@ def test_near_copies(spark, sf):
 def test_near_copies_of_the_table(spark, sf):
     folder = sf.replace("0.001", "0.01")
     assert check(spark, folder, spark.read.parquet(f"{folder}/documents.parquet")) > 0
+
+
+def test_few_pairs_of_texts_that_cannot_link(spark, sf, monkeypatch):
+    """Texts that share a passage, or an original with other words changed in
+    each, meet in many postings; pairs too far apart to link aren't made."""
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(base[:60] + [f"x{i}y{k}" for k in range(22)])) for i in range(150)]
+    rows += [(1000 + 80 * p + q, " ".join("new" + w if k in (p, q) else w for k, w in enumerate(base))) for p in range(8, 72, 8) for q in range(p + 8, 72, 4)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3).cache()
+    made, real = [], simhash.stored
+
+    def spy(table, name):
+        out = real(table, name)
+        made.extend([out.count()] if name == "near-tried" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stored", spy)
+    check(spark, sf, df)
+    assert sum(made) < 6 * len(rows)
