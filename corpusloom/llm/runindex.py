@@ -21,10 +21,13 @@ doc_id, or the same document and an earlier start).
    ``span`` bytes or more form chains of equal strings; all but the earliest
    of a chain go.
 4. An anchor whose distinct neighbourhoods have more bytes than a bucket (a
-   line that a large part of the corpus shares) would outgrow it; its strings are
-   hashed one by one and grouped by Spark instead, an exact way for the rest;
-   the at most ``LISTED`` strings that have more than their share of all rows
-   are looked up where they are read.
+   line that a large part of the corpus shares) would outgrow it. Its
+   neighbourhoods are cut into ``WAYS`` shorter ones, by how far in front of the
+   anchor a string starts, and these go by the bytes that all strings of their
+   cut have, so equal strings stay together; steps 2 to 4 are done again with
+   them. A cut of one start ends it, its strings being equal. The at most
+   ``LISTED`` cut neighbourhoods that have more than their share of all rows are
+   looked up where they are read.
 
 Edge cases: null and empty texts keep nothing and lose nothing; documents
 shorter than ``span`` lose nothing; matches never cross documents; rows with
@@ -47,11 +50,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, powers, spread, stored
+from .common import chunks, powers, stored
 
 SPAN, K = 100, 24
-#: Strings of anchors with many neighbourhoods that are sent to every task, at most.
+#: Cut neighbourhoods that are sent to every task, at most.
 LISTED = 1 << 16
+WAYS = 4
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -93,11 +97,11 @@ def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
 
 def find_anchors(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, ...]:
     """Of the texts' anchors: text, where its neighbourhood begins and how long
-    it is, hash, and the hash of the neighbourhood."""
+    it is, how far in it the anchor is, hash, and the hash of the neighbourhood."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.zeros(0, np.int64)
     if len(data) < span:
-        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes)))
     hashes = Hashes(_BYTE[data])
@@ -124,19 +128,20 @@ def find_anchors(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, ...]
     start = np.maximum(np.maximum(edge[at], place - width + 1), begin[text])
     end = np.minimum(last[at], place) + span
     around = _mix(hashes.of(start, end) + _mix(((place - start) * 4096 + (end - place)).astype(np.uint64)))
-    return text, start - begin[text], end - start, gram[place], around
+    return text, start - begin[text], end - start, place - start, gram[place], around
 
 
 def anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc, low and size (the neighbourhood), anchor, around (hashes)."""
+    """doc, low and size (the neighbourhood), lead (bytes of it in front of the
+    anchor), anchor, around (hashes)."""
 
     def run(batches):
         for batch, texts in chunks(batches, most=512 << 10):
-            text, low, size, anchor, around = find_anchors(texts, span)
+            text, low, size, lead, anchor, around = find_anchors(texts, span)
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[text] if len(text) else text
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "low", "size", "anchor", "around"])
+            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "low", "size", "lead", "anchor", "around"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, low int, size int, anchor long, around long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, low int, size int, lead int, anchor long, around long")
 
 
 class RunIndex:
@@ -246,23 +251,78 @@ def _joined(doc: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray,
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc, low, size, anchor, hot) with the neighbourhood's bytes
-    and where they begin."""
-    lists = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("low", "size", "anchor", "hot")).alias("wanted"))
+    """``wanted`` (doc, low, size, lead, anchor, hot) with the neighbourhood's
+    bytes and where they begin."""
+    lists = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("low", "size", "lead", "anchor", "hot")).alias("wanted"))
     both = docs.join(lists, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             for doc, text, some in zip(batch.column("doc").to_pylist(), texts, batch.column("wanted").to_pylist()):
                 for x in some:
                     low = x["low"]
-                    for column, value in zip(out, (doc, low, x["anchor"], x["hot"], text[low : low + x["size"]])):
+                    for column, value in zip(out, (doc, low, x["lead"], x["anchor"], x["hot"], text[low : low + x["size"]])):
                         column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["doc", "begin", "anchor", "hot", "body"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["doc", "begin", "lead", "anchor", "hot", "body"])
 
-    return both.mapInArrow(run, "doc long, begin int, anchor long, hot boolean, body binary")
+    return both.mapInArrow(run, "doc long, begin int, lead int, anchor long, hot boolean, body binary")
+
+
+def _cuts(hot: DataFrame, span: int) -> DataFrame:
+    """``hot`` (doc, begin, lead, low, high, body: neighbourhoods whose strings
+    start ``low`` to ``high`` bytes in front of the anchor) cut into ``WAYS``
+    such ranges, with the hashes of the bytes that all strings of a range have
+    (anchor) and of the body (around)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            bodies = batch.column("body").to_pylist()
+            size = np.array([len(b) for b in bodies], np.int64)
+            base = np.cumsum(size) - size
+            hashes = Hashes(_BYTE[np.frombuffer(b"".join(bodies), np.uint8)])
+            begin, lead, low, high = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("begin", "lead", "low", "high"))
+            width = -(-(high - low + 1) // WAYS)
+            for way in range(WAYS):
+                a = low + way * width
+                b = np.minimum(a + width - 1, high)
+                first, last = np.minimum(lead, b), np.maximum(lead - (size - span), a)
+                some = np.flatnonzero((a <= b) & (first >= last))
+                if not len(some):
+                    continue
+                at, a, b, first, last = base[some] + lead[some], a[some], b[some], first[some], last[some]
+                anchor = _mix(hashes.of(at - a, at - b + span) + _mix((a * 4096 + b).astype(np.uint64)))
+                around = _mix(hashes.of(at - first, at - last + span) + _mix((first * 4096 + last).astype(np.uint64)))
+                start, end = lead[some] - first, lead[some] - last + span
+                cut = [bodies[k][x:y] for k, x, y in zip(some.tolist(), start.tolist(), end.tolist())]
+                numbers = [pa.array(x.astype(np.int32)) for x in (begin[some] + start, first, a, b)]
+                yield pa.record_batch([batch.column("doc").take(pa.array(some)), *numbers, pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)), pa.array(cut, pa.binary())], ["doc", "begin", "lead", "low", "high", "anchor", "around", "body"])
+
+    columns = "doc", "begin", "lead", "low", "high", "body"
+    return hot.select(*columns).mapInArrow(run, "doc long, begin int, lead int, low int, high int, anchor long, around long, body binary")
+
+
+def _cut_until_cold(near: DataFrame, whole: DataFrame, span: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``whole`` with the spans of cut neighbourhoods that are copies of earlier
+    ones, and the neighbourhoods, cut or not, that buckets take (doc, begin,
+    anchor, body)."""
+    taken = "doc", "begin", "anchor", "body"
+    later = lambda rows: rows.where("doc <> _doc or begin <> _begin").select("doc", F.col("begin").alias("low"), (F.col("begin") + F.length("body")).alias("high"))
+    cold, hot = near.where("not hot").select(*taken), near.where("hot").withColumns({"low": F.lit(0), "high": F.lit(span - K)})
+    while not hot.isEmpty():
+        made = stored(_cuts(hot, span), "cuts")
+        first = F.min(F.struct("doc", "begin", "lead", "low", "high", "body")).alias("first")
+        groups = stored(made.groupBy("anchor", "around").agg(first, F.count("*").alias("n")), "cut-groups")
+        copies = groups.where("n > 1").select("anchor", "around", "n", F.col("first.doc").alias("_doc"), F.col("first.begin").alias("_begin"))
+        share = (copies.agg(F.sum("n")).first()[0] or 0) // LISTED
+        often, seldom = F.broadcast(copies.where(F.col("n") > share)), copies.where(F.col("n") <= share)
+        rest = made.join(often.select("anchor", "around"), ["anchor", "around"], "left_anti")
+        whole = whole.unionByName(later(made.join(often, ["anchor", "around"]))).unionByName(later(rest.join(seldom, ["anchor", "around"])))
+        several = stored(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.length("first.body")).alias("bytes")).where("kinds > 1"), "cut-kinds")
+        left = stored(groups.join(several, "anchor").select("first.*", "anchor", (F.col("bytes") > bucket_bytes).alias("hot")), "cut-texts")
+        cold, hot = cold.unionByName(left.where("not hot").select(*taken)), left.where("hot")
+    return whole, cold
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1 << 20) -> DataFrame:
@@ -271,14 +331,15 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1 << 2
     # each table that counts is stored before it is joined: a skewed join can then be split
     again = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated-anchors")
     hits = stored(found.join(again, "anchor"), "anchors")
-    groups = hits.groupBy("anchor", "around").agg(F.min(F.struct("doc", "low", "size")).alias("first"), F.count("*").alias("n"))
+    groups = hits.groupBy("anchor", "around").agg(F.min(F.struct("doc", "low", "size", "lead")).alias("first"), F.count("*").alias("n"))
     groups = stored(groups, "neighbourhoods")
     copies = groups.where("n > 1").select("anchor", "around", F.col("first.doc").alias("_doc"), F.col("first.low").alias("_low"))
     whole = hits.join(copies, ["anchor", "around"]).where("doc <> _doc or low <> _low").select("doc", "low", (F.col("low") + F.col("size")).alias("high"))
     several = stored(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("first.size").alias("bytes")).where("kinds > 1"), "neighbourhood-kinds")
-    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", "anchor", (F.col("bytes") > bucket_bytes).alias("hot"))
+    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", "first.lead", "anchor", (F.col("bytes") > bucket_bytes).alias("hot"))
     near = stored(_texts(docs, wanted), "neighbourhood-texts")
-    volume = near.where("not hot").agg(F.sum(F.length("body") + 1)).first()[0] or 0
+    whole, near = _cut_until_cold(near, whole, span, bucket_bytes)
+    volume = near.agg(F.sum(F.length("body") + 1)).first()[0] or 0
     buckets = max(1, -(-int(volume) // bucket_bytes))
 
     def index(key, frame):
@@ -293,62 +354,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1 << 2
         a, low, high = _joined(doc[owner[at]], start[at], span)
         return pd.DataFrame({"doc": a, "low": low.astype(np.int32), "high": high.astype(np.int32)})
 
-    cold = near.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(index, "doc long, low int, high int")
-
-    near = near.where("hot")
-
-    def strings(batches: Iterator[pa.RecordBatch]):
-        """doc, start and key of every string of the neighbourhoods."""
-        for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            for a in range(0, len(bodies), 2000):
-                part = bodies[a : a + 2000]
-                sizes = np.array([len(b) for b in part], np.int64)
-                number = np.maximum(sizes - span + 1, 0)
-                if not number.sum():
-                    continue
-                first = np.cumsum(sizes) - sizes
-                start = spread(first, number)
-                owner = np.repeat(np.arange(len(part)), number)
-                key = _mix(Hashes(_BYTE[np.frombuffer(b"".join(part), np.uint8)]).of(start, start + span))
-                doc = batch.column("doc").to_numpy(zero_copy_only=False)[a : a + 2000][owner]
-                begin = batch.column("begin").to_numpy(zero_copy_only=False)[a : a + 2000][owner]
-                yield doc, begin + start - first[owner], key.view(np.int64)
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        for doc, low, key in strings(batches):
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(low.astype(np.int32)), pa.array(key)], ["doc", "low", "key"])
-
-    each = near.mapInArrow(rows, "doc long, low int, key long")
-    oldest = each.groupBy("key").agg(F.min(F.struct("doc", "low")).alias("oldest"), F.count("*").alias("n")).where("n > 1")
-    oldest = stored(oldest.select("key", "oldest.doc", "oldest.low", "n"), "oldest-strings")
-    total = oldest.agg(F.sum("n")).first()[0] or 0
-    # of at most LISTED strings; they are looked up where the neighbourhoods are read
-    often = oldest.where(F.col("n") > total // LISTED).toPandas().sort_values("key")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(often[c].to_numpy(np.int64) for c in ("key", "doc", "low")))
-
-    def listed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = shared.value[0]
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        return at, keys[at] == key if len(keys) else np.zeros(len(key), bool)
-
-    def frequent(batches: Iterator[pa.RecordBatch]):
-        for doc, low, key in strings(batches):
-            at, there = listed(key)
-            later = np.flatnonzero(there)
-            later = later[(shared.value[1][at[later]] != doc[later]) | (shared.value[2][at[later]] != low[later])]
-            d, begin, end = _joined(doc[later], low[later], span)
-            yield pa.record_batch([pa.array(d, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc", "low", "high"])
-
-    def others(batches: Iterator[pa.RecordBatch]):
-        for doc, low, key in strings(batches):
-            some = np.flatnonzero(~listed(key)[1])
-            yield pa.record_batch([pa.array(doc[some], pa.int64()), pa.array(low[some].astype(np.int32)), pa.array(key[some])], ["doc", "low", "key"])
-
-    few = oldest.where(F.col("n") <= total // LISTED).select("key", F.col("doc").alias("_doc"), F.col("low").alias("_low"))
-    hot = near.mapInArrow(others, "doc long, low int, key long").join(few, "key").where("doc <> _doc or low <> _low").select("doc", "low", (F.col("low") + span).alias("high"))
-    hot = hot.unionByName(near.mapInArrow(frequent, "doc long, low int, high int"))
-    return whole.unionByName(cold).unionByName(hot)
+    cold = near.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(index, "doc long, low int, high int")
+    return whole.unionByName(cold)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -77,3 +77,16 @@ def test_run_index_is_smaller_than_its_text():
     body = b"the same text again and again, and then some more of it. " * 4
     index = runindex.RunIndex([body] * 20)
     assert index.runs < index.size / 5
+
+
+def test_hot_anchors_make_few_rows(spark, monkeypatch):
+    """A common line makes rows by its neighbourhoods, not by their bytes."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join("".join(rng.choice(list("abcde"), rng.integers(2, 8))) for _ in range(n))
+    line, made = word(14), []
+    rows = [(i, word(30) + line + word(30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: made.append(real(self, *a, **b)) or made[-1])
+    compare(df, bucket_bytes=2000)
+    assert max(m.count() for m in made) < sum(len(t) for _, t in rows) / 20
