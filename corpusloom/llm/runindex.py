@@ -336,7 +336,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1 << 2
     copies = groups.where("n > 1").select("anchor", "around", F.col("first.doc").alias("_doc"), F.col("first.low").alias("_low"))
     whole = hits.join(copies, ["anchor", "around"]).where("doc <> _doc or low <> _low").select("doc", "low", (F.col("low") + F.col("size")).alias("high"))
     several = stored(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("first.size").alias("bytes")).where("kinds > 1"), "neighbourhood-kinds")
-    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", "first.lead", "anchor", (F.col("bytes") > bucket_bytes).alias("hot"))
+    hot = F.col("bytes") > bucket_bytes  # where the anchor is matters to these only
+    wanted = groups.join(several, "anchor").select("first.doc", "first.low", "first.size", F.when(hot, F.col("first.lead")).otherwise(0).alias("lead"), "anchor", hot.alias("hot"))
     near = stored(_texts(docs, wanted), "neighbourhood-texts")
     whole, near = _cut_until_cold(near, whole, span, bucket_bytes)
     volume = near.agg(F.sum(F.length("body") + 1)).first()[0] or 0
