@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, stored
+from .common import Words, chunks, fresh, stored, without
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -110,22 +110,25 @@ class Templates:
     """Template tokens of a list of texts, in both readings of capitalised
     words that open a sentence."""
 
-    _known: dict[int, tuple[int, int, int]] = {}
+    #: Words seen by this worker: keys in order, and kind, code and end of each.
+    _known = tuple(np.zeros(0, kind) for kind in (np.uint64, np.int8, np.uint64, np.int8))
 
     def __init__(self, texts: list[bytes]):
         words = Words(texts, lower=False)
         keys, first, inverse = np.unique(words.key, return_index=True, return_inverse=True)
         known = Templates._known
-        if len(known) > 2_000_000:
-            known.clear()
-        listed = keys.tolist()
-        new = [i for i, key in enumerate(listed) if key not in known]
-        known.update(zip([listed[i] for i in new], _facts([words.bytes_of(first[i]) for i in new])))
-        facts = [known[key] for key in listed]
-        kind = np.array([f[0] for f in facts], np.int8)[inverse] if facts else np.zeros(0, np.int8)
-        code = np.array([f[1] for f in facts], np.uint64)[inverse] if facts else np.zeros(0, np.uint64)
-        ends = np.array([f[2] for f in facts], np.int8)[inverse] if facts else np.zeros(0, np.int8)
-        value = np.where(kind == NUM, words.key, code) if facts else code
+        if len(known[0]) > 1_000_000:
+            known = tuple(x[:0] for x in known)
+        at = np.searchsorted(known[0], keys)
+        new = np.ones(len(keys), bool)
+        new[at < len(known[0])] = known[0][at[at < len(known[0])]] != keys[at < len(known[0])]
+        if new.any():
+            facts = zip(*_facts([words.bytes_of(i) for i in first[new]]))
+            made = [keys[new], *(np.array(x, k.dtype) for x, k in zip(facts, known[1:]))]
+            known = tuple(np.insert(x, at[new], y) for x, y in zip(known, made))
+        Templates._known = known
+        kind, code, ends = (x[np.searchsorted(known[0], keys)][inverse] for x in known[1:])
+        value = np.where(kind == NUM, words.key, code)
         opens = np.ones(len(kind), bool)  # first in a text, a line or a sentence
         lines = np.cumsum(words.data == 10)
         opens[1:] = (ends[:-1] == 2) | (lines[words.start[1:]] != lines[words.start[:-1]]) | (words.doc[1:] != words.doc[:-1])
@@ -220,4 +223,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     null and repeated doc_ids play no part, and all columns pass through."""
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     bad = find(docs.select(text.alias("doc_id"), "text"), benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["doc_id"], "left_anti")
+    key = fresh(docs, "_text")
+    return without(docs.withColumn(key, text), key, stored(bad, "leaks")).drop(key)

@@ -60,7 +60,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, connected_components, forget, fresh, joined_components, spread, stored
+from .common import Words, chunks, connected_components, forget, fresh, joined_components, sieve, spread, stored, without
 
 MOST = 64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -312,7 +312,8 @@ def _likely(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             counts = pa.FixedSizeListArray.from_arrays(pa.array(common[some].ravel().astype(np.int32)), CLASSES).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(some)), lists.take(pa.array(some)), pa.array(size[some].astype(np.int32)), counts], ["node", "shingles", "size", "common"])
 
-    sets = stored(shingle_sets(docs.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), shingle).withColumnRenamed("row", "node"), "near-met-sets")
+    met = sieve(nodes)(docs, "row")[0].join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    sets = stored(shingle_sets(met, shingle).withColumnRenamed("row", "node"), "near-met-sets")
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.collect_list("s").alias("alone"))
     likely = stored(sets.join(alone, "node", "left").mapInArrow(run, "node long, shingles array<long>, size int, common array<int>"), "near-sets")
     forget(sets)
@@ -355,10 +356,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     stored table, ``row`` a key): groups are what pairs at ``similarity`` or
     more connect. ``least`` belongs to ``similarity``."""
     wide = stored(wide_fingerprints(docs, shingle), "near-wide")
-    lows = stored(wide.groupBy("print").agg(F.min(F.struct("row", "wide")).alias("low")).select("print", F.col("low.row").alias("node"), F.col("low.wide").alias("wide")), "near-nodes")
     prints = stored(wide.select("row", "doc_id", "print"), "near-prints")
-    forget(wide)
-    nodes = lows.select("node", "wide")
+    lows = stored(prints.groupBy("print").agg(F.min("row").alias("node")), "near-lows")
+    copies = stored(prints.join(lows, "print").where("row <> node").select("row"), "near-copies")
+    nodes = stored(without(wide.select(F.col("row").alias("node"), "wide"), "node", copies), "near-nodes")
+    forget(wide, copies)
     reached = stored(nodes.select("node", F.col("node").alias("component")).limit(0), "near-reached")
     tried = []
 
@@ -379,9 +381,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     postings = _bands(nodes)
     shared = stored(postings.groupBy("posting").agg(F.count("*").alias("members")).where("members > 1").select("posting"), "near-shared")
-    met = stored(postings.join(shared, "posting"), "near-met")
-    sets = _likely(met.select("node").distinct(), docs, shingle, similarity)
-    postings, large = met.join(sets.select("node"), "node", "left_semi"), None
+    met = stored(sieve(shared)(postings, "posting")[0].join(shared, "posting"), "near-met")
+    both = stored(met.select("node").distinct(), "near-met-nodes")
+    sets = _likely(both, docs, shingle, similarity)
+    wanted, every = sets.select("node"), nodes
+    nodes = stored(sieve(wanted)(every, "node")[0].join(wanted, "node", "left_semi"), "near-few-nodes")
+    forget(both, every)
+    postings, large = met.join(wanted, "node", "left_semi"), None
     for depth in range(4):
         sizes = stored(postings.groupBy("posting").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
         postings = stored(postings.join(sizes, "posting"), "near-postings")
@@ -414,7 +420,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         ways = [F.concat(*[F.expr(f"substring(wide, {1 + (way * 151 + part * 53 + depth * 17) % len(_ODD)}, 1)") for part in range(3)]) for way in range(4)]
         ways = F.array(*[F.struct(F.lit(k).alias("way"), w.alias("bytes")) for k, w in enumerate(ways)])
         postings = large.join(nodes, "node").select("node", "posting", F.explode(ways).alias("e")).select("node", F.xxhash64("posting", "e.way", "e.bytes").alias("posting"))
-    forget(large, shared, met, sets, *tried)
+    forget(large, shared, met, sets, nodes, *tried)
     classes = lows.join(reached, "node", "left").select("print", F.coalesce("component", "node").alias("group"))
     return prints.join(stored(classes, "near-classes"), "print").select("row", "doc_id", "group")
 
@@ -424,5 +430,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     row = fresh(docs, "_near_row")
     keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
     found = groups(keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, similarity)
+    found = stored(found, "near-groups")
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    return keyed.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
+    others = stored(found.join(best, "group").where("row <> best.row").select(F.col("row").alias("other")), "near-others")
+    forget(found)
+    return without(keyed, row, others).drop(row)
