@@ -139,7 +139,7 @@ def _tagged(spark, sf):
     words = F.split("p_name", " ")
     key = F.col("p_partkey")
     tags = tokens.bmes(words)
-    tags = F.when(key % 7 == 0, F.slice(tags, 1, F.size(tags) - 1)).otherwise(tags)
+    tags = F.when(key % 7 == 0, F.slice(tags, 1, F.greatest(F.size(tags) - 1, F.lit(0)))).otherwise(tags)
     tags = F.when(key % 11 == 0, F.concat(F.array(F.lit("E")), F.slice(tags, 2, F.size(tags)))).otherwise(tags)
     kinds = F.flatten(F.transform(words, lambda w, i: F.array_repeat(F.when(i == 0, "A").otherwise("N"), F.length(w))))
     kinds = F.when(key % 13 == 0, F.concat(F.array(F.lit("V")), F.slice(kinds, 2, F.size(kinds)))).otherwise(kinds)

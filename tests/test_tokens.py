@@ -29,3 +29,20 @@ def test_span_f1(spark):
 
     rows = spark.createDataFrame([(tags(["ab", "c"]), tags(["ab", "c"])), (tags(["abc"]), tags(["a", "bc"]))], "gold array<string>, pred array<string>")
     assert {r.metric: r.value for r in evaluation.span_f1(rows).collect()} == {"precision": 0.5, "recall": 0.666667, "f1": 0.571429, "tag_accuracy": 0.666667, "exact": 0.5}
+
+
+def test_bmes_valid(spark):
+    rows = ["", "S", "BE", "BMMESBE", "B", "SB", "BS", "BMBE", "M", "E", "SE", "SBM"]
+    get = lambda strict: [r for r, ok in zip(rows, values(spark, [(list(r),) for r in rows], "t array<string>", K.bmes_valid("t", strict))) if ok]
+    assert get(True) == ["", "S", "BE", "BMMESBE"]
+    assert get(False) == ["", "S", "BE", "BMMESBE", "B", "SB", "BS", "SBM"]
+
+
+def test_quality_figures_of_empty_names(spark, tmp_path):
+    from corpusloom.plans import catalog, serving  # noqa: F401
+
+    names = ["hot bolt", "", None, "a", "red ring", "big nut", "x y", "", "a"]
+    keys = [1, 2, 3, 4, 11, 13, 14, 7, 21]  # every 7th loses a tag, of a name that may have none
+    spark.createDataFrame(list(zip(keys, names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["e12_quality_figures"](spark, str(tmp_path)).first().asDict()
+    assert got == {"n": 9, "has_seg": 5, "has_pos": 6, "length_ok": 4, "bmes_ok": 4, "pos_consistent": 3, "pos_inconsistent": 1}
