@@ -46,3 +46,8 @@ def test_quality_figures_of_empty_names(spark, tmp_path):
     spark.createDataFrame(list(zip(keys, names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = catalog.QUERIES["e12_quality_figures"](spark, str(tmp_path)).first().asDict()
     assert got == {"n": 9, "has_seg": 5, "has_pos": 6, "length_ok": 4, "bmes_ok": 4, "pos_consistent": 3, "pos_inconsistent": 1}
+
+
+def test_slash_format(spark):
+    rows = [(["ab", "c"], ["N", "V"]), (["a/b"], ["X"]), ([""], ["S"]), ([], [])]
+    assert values(spark, rows, "w array<string>, t array<string>", K.slash_format("w", "t")) == ["ab/N#c/V", "a/b/X", "/S", ""]
