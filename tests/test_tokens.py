@@ -51,3 +51,9 @@ def test_quality_figures_of_empty_names(spark, tmp_path):
 def test_slash_format(spark):
     rows = [(["ab", "c"], ["N", "V"]), (["a/b"], ["X"]), ([""], ["S"]), ([], [])]
     assert values(spark, rows, "w array<string>, t array<string>", K.slash_format("w", "t")) == ["ab/N#c/V", "a/b/X", "/S", ""]
+
+
+def test_headword_parts(spark):
+    rows = ["a||b|c", " |x", "", "|", "one", "路|径 ", None]
+    got = [(x.joined, x.parts) for x in values(spark, [(r,) for r in rows], "h string", K.headword_parts(F.col("h")))]
+    assert got == [("abc", ["a", "b", "c"]), ("x", ["x"]), ("", []), ("", []), ("one", ["one"]), ("路径 ", ["路", "径 "]), (None, None)]
