@@ -57,3 +57,8 @@ def test_headword_parts(spark):
     rows = ["a||b|c", " |x", "", "|", "one", "路|径 ", None]
     got = [(x.joined, x.parts) for x in values(spark, [(r,) for r in rows], "h string", K.headword_parts(F.col("h")))]
     assert got == [("abc", ["a", "b", "c"]), ("x", ["x"]), ("", []), ("", []), ("one", ["one"]), ("路径 ", ["路", "径 "]), (None, None)]
+
+
+def test_char_tags(spark):
+    rows = [(["ab", "c", "d"], "vn"), (["ab", "c"], "X"), (["", "路x"], "vn"), ([""], "N"), ([], "vn")]
+    assert values(spark, rows, "s array<string>, t string", K.char_tags(F.col("s"), F.col("t"))) == [list("VVNN"), list("XXX"), list("NN"), [], []]
