@@ -62,3 +62,13 @@ def test_headword_parts(spark):
 def test_char_tags(spark):
     rows = [(["ab", "c", "d"], "vn"), (["ab", "c"], "X"), (["", "路x"], "vn"), ([""], "N"), ([], "vn")]
     assert values(spark, rows, "s array<string>, t string", K.char_tags(F.col("s"), F.col("t"))) == [list("VVNN"), list("XXX"), list("NN"), [], []]
+
+
+def test_candidate_lines(spark, tmp_path):
+    from corpusloom.plans import catalog, datasets  # noqa: F401
+
+    parts = [(i, "b1", f"n{i}", "t") for i in range(30, 5, -1)] + [(1, "b2", None, "t"), (2, "b2", "n", None), (3, "b3", None, "t"), (4, "b3", "n|", ""), (5, None, "x", "y")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_brand: r.lines for r in catalog.QUERIES["f34_candidate_lines"](spark, str(tmp_path)).collect()}
+    # as in SQL a line with a null is none, and a brand without a line has null
+    assert got == {"b1": "\n".join(f"ID:{i} | n{i} | t" for i in range(6, 26)), "b2": None, "b3": "ID:4 | n| | ", None: "ID:5 | x | y"}
