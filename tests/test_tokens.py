@@ -72,3 +72,10 @@ def test_candidate_lines(spark, tmp_path):
     got = {r.p_brand: r.lines for r in catalog.QUERIES["f34_candidate_lines"](spark, str(tmp_path)).collect()}
     # as in SQL a line with a null is none, and a brand without a line has null
     assert got == {"b1": "\n".join(f"ID:{i} | n{i} | t" for i in range(6, 26)), "b2": None, "b3": "ID:4 | n| | ", None: "ID:5 | x | y"}
+
+
+def test_replace_terms_longest_first(spark):
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("the", "THE"), ("and", "&"), ("then", "and"))])
+    rows = ["thethen", "then the", "band", "", "路the", None]
+    # what a longer key left is replaced by a shorter one
+    assert values(spark, [(r,) for r in rows], "t string", K.replace_terms(F.col("t"), pairs)) == ["THE&", "& THE", "b&", "", "路THE", None]
