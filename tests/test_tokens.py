@@ -79,3 +79,8 @@ def test_replace_terms_longest_first(spark):
     rows = ["thethen", "then the", "band", "", "路the", None]
     # what a longer key left is replaced by a shorter one
     assert values(spark, [(r,) for r in rows], "t string", K.replace_terms(F.col("t"), pairs)) == ["THE&", "& THE", "b&", "", "路THE", None]
+
+
+def test_final_render(spark):
+    rows = [("词项", ["开心", "高兴"]), ("动作短语", ["吃"]), (None, []), ("词项", None)]
+    assert values(spark, rows, "k string, w array<string>", K.final_render("k", "w")) == ["【单词】\n开心,高兴", "【短语】\n吃", "【短语】\n", None]
