@@ -84,3 +84,11 @@ def test_replace_terms_longest_first(spark):
 def test_final_render(spark):
     rows = [("词项", ["开心", "高兴"]), ("动作短语", ["吃"]), (None, []), ("词项", None)]
     assert values(spark, rows, "k string, w array<string>", K.final_render("k", "w")) == ["【单词】\n开心,高兴", "【短语】\n吃", "【短语】\n", None]
+
+
+def test_explanatory_keywords_are_a_violation(spark):
+    from corpusloom.operators import labels
+
+    rows = [("问", "问", "词项", "", "", ["解释"]), ("问", "解释", "词项", "", "", ["开心"]), ("问", "问", "x", "", "", ["说", "明"]), ("", "", "动作短语", "", "", None), ("", "", "动作短语", "", "", ["说明", "说明"])]
+    got = values(spark, rows, "query string, core_text string, type string, predicate string, object string, keywords array<string>", labels.violations())
+    assert got == [["explanatory_text"], [], ["invalid_type"], ["keywords_not_list"], ["duplicate_keyword", "empty_core_text", "empty_query", "explanatory_text", "missing_predicate"]]
