@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import corpus, retrieval, segmentation, tasks
 
 
@@ -28,6 +30,34 @@ def test_negatives_rank_few_hashes(spark):
             assert rows_of(corpus.negatives(p, q, n, buckets, ranked=ranked)) == plain_negatives(pairs, pool, n, buckets)
 
 
+def test_negatives_are_hashed_in_blocks(spark, monkeypatch):
+    from corpusloom.operators import drawn
+
+    for name, size in (("ASKER_BLOCK", 40), ("POOL_BLOCK", 50), ("CELLS", 64), ("RANKED", 30), ("TASK", 1000)):
+        monkeypatch.setattr(drawn, name, size)
+    # keys of every length, some with more bytes than md5 reads at once
+    pairs = [(q, i % 3) for i, q in enumerate(["", "路", "x" * 47, "y" * 60, *(str(7**k) for k in range(3, 22)), *map(str, range(70))])]
+    pool = ["", "é", "z" * 58, *(str(3**k) for k in range(30)), *map(str, range(200))]
+    p = spark.createDataFrame([*pairs, (None, 1), ("1", None)], "qid string, id long").withColumn("id", F.col("id").cast("string"))
+    q = spark.createDataFrame([(x,) for x in [*pool, "7", None]], "id string")
+    want = sorted((a, str(b), c, r) for a, b, c, r in plain_negatives([(a, str(b)) for a, b in pairs], pool, 7, 2))
+    for ranked in (None, 1):
+        got = corpus.negatives(p.distinct(), q, 7, 2, ranked=ranked)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroupsInArrow" in plan and "Join" not in plan  # no row, and no text, for a pair
+        assert sorted(set(rows_of(got))) == sorted(set(want))
+
+
+def test_first_word_of_md5():
+    import numpy as np
+
+    from corpusloom.operators import drawn
+
+    for heads, tails in (("42:7:", "1234567"), ("42:1234567:", "89"), ("a", "b" * 54), ("abcd", ""), ("", "x"), ("a" * 30, "b" * 40)):
+        matrix = lambda t: np.frombuffer(t.encode(), np.uint8).reshape(1, -1)
+        assert drawn._below(matrix(heads), matrix(tails), 2**32 - 1)[2].tolist() == [int(hashlib.md5((heads + tails).encode()).hexdigest()[:8], 16)]
+
+
 def test_lexicon_counts_tags_once(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2], ("N", "V", "N/V")[i % 3]) for i in range(3000)], "ord long, word string, tags string")
     lexicon = segmentation.load_lexicon(rows)
